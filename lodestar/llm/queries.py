@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from lodestar.llm.common import table
+from pyspark.sql import functions as F
+
+from lodestar.llm import quality, toxicity
+from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
 
 
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
