@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import quality, toxicity
+from lodestar.llm import decontaminate, quality, toxicity
 from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
@@ -30,11 +30,16 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE = {
