@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, quality, toxicity
+from lodestar.llm import decontaminate, quality, sentencepiece, toxicity
 from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
@@ -20,6 +20,10 @@ def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.load())
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,7 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
