@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, quality, sentencepiece, toxicity
+from lodestar.llm import decontaminate, pii, quality, sentencepiece, toxicity, url_filter
 from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
 
 
+#: Host and path of the rules that the URL query applies.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_url_filter(spark, sf_dir):
+    rules = [url_filter.prefix_rule(*r) for r in URL_RULES] + [url_filter.pattern_rule(p) for p in url_filter.PATTERNS]
+    return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -20,6 +29,10 @@ def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.load())
 
@@ -39,8 +52,10 @@ def op10_decontaminate(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op5_pii": op5_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
@@ -48,6 +63,28 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_url_filter": """
+        WITH parts AS (
+            SELECT page_id, lower(coalesce(url, '')) AS url,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(url, '(?s)^[a-z][a-z0-9+.-]*://([^/?#]*\\.)?archive\\.org([^a-z0-9_.%-]|$)') THEN 'allow'
+            WHEN regexp_matches(url, '(?s)^[a-z][a-z0-9+.-]*://([^/?#]*\\.)?doubleclick\\.net([^a-z0-9_.%-]|$)|/adserver/|/wp-login\\.php|/cgi-bin/|\\.exe$|\\.apk$') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
