@@ -71,16 +71,27 @@ class Model:
         return probability(self.margins(texts), self.a, self.c)
 
 
-def _fit(bags: list[set], y: np.ndarray, least: int, cost: float, smooth: float) -> Model:
-    frequency = Counter(g for b in bags for g in b)
-    names = sorted((g for g, n in frequency.items() if n >= least), key=repr)
+def _frequent(texts: list[str], least: int) -> list:
+    """Indicators that at least `least` texts have. Counts by hash value come first, so that the many rare ones are
+    never held."""
+    rough = np.zeros(1 << 22, dtype=np.int32)
+    for t in texts:
+        found = indicators(t)
+        rough[np.unique(np.fromiter(map(hash, found), dtype=np.int64, count=len(found)) & (len(rough) - 1))] += 1
+    maybe = rough >= least
+    exact = Counter(g for t in texts for g in indicators(t) if maybe[hash(g) & (len(rough) - 1)])
+    return sorted((g for g, n in exact.items() if n >= least), key=repr)
+
+
+def _fit(texts: list[str], y: np.ndarray, least: int, cost: float, smooth: float) -> Model:
+    names = _frequent(texts, least)
     number = {g: i for i, g in enumerate(names)}
-    rows = [np.array(sorted(number[g] for g in b if g in number), dtype=np.int64) for b in bags]
+    rows = [np.array(sorted(number[g] for g in number.keys() & indicators(t)), dtype=np.int32) for t in texts]
     counts = {s: np.full(len(names), smooth) for s in (-1, 1)}
     for r, s in zip(rows, y):
         counts[int(s)][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
-    x = SparseRows([(r, ratio[r] / max(1.0, len(r)) ** 0.5) for r in rows], len(names))
+    x = SparseRows([(r, (ratio[r] / max(1.0, len(r)) ** 0.5).astype(np.float32)) for r in rows], len(names))
     w, bias = fit_hinge(x, y, cost=cost, epochs=12)
     scaled = w * ratio
     return Model({g: float(v) for g, v in zip(names, scaled) if v}, bias)
@@ -88,11 +99,11 @@ def _fit(bags: list[set], y: np.ndarray, least: int, cost: float, smooth: float)
 
 def fit(rows: list[tuple[str, int]], least: int = 3, cost: float = 1.0, smooth: float = 1.0) -> Model:
     """rows: (text, 0 or 1)."""
-    bags, y = [indicators(t) for t, _ in rows], np.array([1 if q == 1 else -1 for _, q in rows])
+    y = np.array([1 if q == 1 else -1 for _, q in rows])
     if len(set(y.tolist())) < 2:
         return Model()
-    back = np.arange(len(bags)) % 4 == 0
-    model = _fit([b for b, h in zip(bags, back) if not h], y[~back], least, cost, smooth)
+    back = np.arange(len(rows)) % 4 == 0
+    model = _fit([t for (t, _), h in zip(rows, back) if not h], y[~back], least, cost, smooth)
     margin = model.margins([t for (t, _), h in zip(rows, back) if h])
     model.a, model.c = calibrate(margin, y[back])
     return model
