@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, pii, quality, sentencepiece, toxicity, url_filter
+from lodestar.llm import decontaminate, html_extract, pii, quality, sentencepiece, sharding, toxicity, url_filter
 from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
@@ -29,10 +29,19 @@ def op3_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
 
 
+def op6_sharding(spark, sf_dir):
+    found = sharding.interleave(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.load())
 
@@ -55,7 +64,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_html_extract": op4_html_extract,
     "op5_pii": op5_pii,
+    "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
