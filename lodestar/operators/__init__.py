@@ -1,0 +1 @@
+"""Search operators: DataFrame of items in, DataFrame of items out."""

@@ -1,4 +1,280 @@
 """Named queries over the supplied tables, each with an SQL equivalent where SQL can say it."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.engine import search_frame
+from lodestar.functions import files, text, urls
+from lodestar.operators.match import source_cap, structured_filter, text_match
+from lodestar.operators.merge import identity_key, merge
+from lodestar.operators.rank import score_column, top
+from lodestar.plans.query import Options, parse
+from lodestar.schema import items
+
+#: Recency counts from here, so results do not depend on the day.
+AS_OF = "TIMESTAMP'2026-01-01 00:00:00'"
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as items: title from the title element, platform and identity from the URL."""
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), F.length("html").cast("bigint").alias("n"))
+    resolved = rows.withColumn("__p", urls.resolve_platform(F.col("url")))
+    return items(
+        resolved, id=F.concat(F.lit("page:"), "page_id"), canonical_url=F.col("url"), platform=F.col("__p.platform"), platform_id=F.col("__p.platform_id"), title=F.col("title"),
+        item_type=F.lit("WEB_PAGE"), metadata_sources=F.array(F.lit("HTML_META")), file_size_bytes=F.col("n"), source_id=F.lit("pages"), ord=F.col("page_id"),
+    )
+
+
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: title is the first line, description the text; date, duration and type follow from the id."""
+    d = _table(spark, sf_dir, "documents")
+    day = F.date_add(F.expr("DATE'2020-01-01'"), (F.col("doc_id") % 2000).cast("int")).cast("timestamp")
+    return items(
+        d, id=F.concat(F.lit("doc:"), "doc_id"), canonical_url=F.concat(F.lit("https://corpus.example.org/"), "source", F.lit("/"), "doc_id"), platform=F.col("source"),
+        platform_id=F.col("doc_id").cast("string"), title=F.substring_index("text", "\n", 1), description=F.col("text"), item_type=F.lit("DOCUMENT"), publication_date=day,
+        duration_seconds=F.col("doc_id") % 600, tags=F.array("lang"), language=F.col("lang"), download_url=F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://dl.example.org/"), "doc_id")),
+        file_extension=F.when(F.col("doc_id") % 2 == 0, "txt").otherwise("pdf"), view_count=F.col("n_chars"), source_id=F.col("source"), ord=F.col("doc_id"),
+    )
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def _matching(text_query: str, **options):
+    """Ids of the documents that a query matches."""
+    def run(spark, sf_dir):
+        q = parse(text_query, Options(**options))
+        return text_match(structured_filter(document_items(spark, sf_dir), q.options), q).select("id")
+
+    return run
+
+
+# ---------------------------------------------------------------- boolean matching
+# A bounded ASCII word: separators of RE2 stand in for the look-around of the pattern.
+
+_DOCS = """docs AS (
+    SELECT doc_id, 'doc:' || doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description, lang, source, n_chars,
+           lower(lang) AS tags, 'https://corpus.example.org/' || source || '/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'txt' ELSE 'pdf' END AS ext,
+           source || ' corpus.example.org' AS site FROM documents)"""
+
+
+def _has(column: str, word: str) -> str:
+    return f"regexp_matches({column}, '(?i)(^|[^a-z0-9]){word}([^a-z0-9]|$)')"
+
+
+def _any(word: str) -> str:
+    return "(" + " OR ".join(_has(c, word) for c in ("title", "description", "tags", "url", "ext", "'document'", "site")) + ")"
+
+
+def _oracle(condition: str) -> str:
+    return f"WITH {_DOCS} SELECT id FROM docs WHERE {condition}"
+
+
+_PHRASE = r"on[\s\-_./]+the"
+for _name, _text, _options, _sql in (
+    ("q_term", "inging", {}, _oracle(_any("inging"))),
+    ("q_and", "thened AND ered", {}, _oracle(f"{_any('thened')} AND {_any('ered')}")),
+    ("q_implicit_and", "thened ered", {}, _oracle(f"{_any('thened')} AND {_any('ered')}")),
+    ("q_or", "inging OR erst", {}, _oracle(f"{_any('inging')} OR {_any('erst')}")),
+    ("q_not", "thened -ered", {}, _oracle(f"{_any('thened')} AND NOT {_any('ered')}")),
+    ("q_nested", "(thened OR inging) AND NOT (ered erst)", {}, _oracle(f"({_any('thened')} OR {_any('inging')}) AND NOT ({_any('ered')} AND {_any('erst')})")),
+    ("q_phrase", '"on the"', {}, _oracle(_any(_PHRASE))),
+    ("q_field_title", "title:the", {}, _oracle(_has("title", "the"))),
+    ("q_field_phrase", 'description:"on the" title:of', {}, _oracle(f"{_has('description', _PHRASE)} AND {_has('title', 'of')}")),
+    ("q_field_tags", "tags:fr", {}, _oracle(_has("tags", "fr"))),
+    ("q_meta", "meta:inging", {}, _oracle("(" + " OR ".join(_has(c, "inging") for c in ("description", "tags", "url", "ext", "site")) + ")")),
+    ("q_site", "site:example.org the", {}, _oracle(f"regexp_matches(site, '(?i)(^|[^a-z0-9])example[\\s\\-_./]+org([^a-z0-9.\\-]|$)') AND {_any('the')}")),
+    ("q_site_platform", "site:src3", {}, _oracle(_has("site", "src3"))),
+    ("q_ext", "ext:pdf the", {}, _oracle(f"ext = 'pdf' AND {_any('the')}")),
+    ("q_type", "type:document inging", {}, _oracle(_any("inging"))),
+    ("q_ext_below_or", "inging OR ext:pdf", {}, _oracle("ext = 'pdf'")),
+    ("q_title_only", "the", {"title_only": True}, _oracle(_has("title", "the"))),
+    ("q_title_mode", "the of", {"match_mode": "TITLE_ONLY"}, _oracle(f"{_has('title', 'the')} AND {_has('title', 'of')}")),
+    ("q_flexible", "inging thened erst", {"match_mode": "FLEXIBLE_MATCH"}, _oracle(f"({_any('inging')})::INT + ({_any('thened')})::INT + ({_any('erst')})::INT >= 2")),
+    ("q_negative_only", "-the", {}, _oracle(f"NOT {_any('the')}")),
+    ("q_filters", "the", {"language": "EN", "duration_min": 100, "duration_max": 300, "date_from": "2021-01-01", "date_to": "2023-12-31"},
+     _oracle(f"{_any('the')} AND lang = 'en' AND doc_id % 600 BETWEEN 100 AND 300 AND DATE '2020-01-01' + (doc_id % 2000)::INT BETWEEN DATE '2021-01-01' AND DATE '2023-12-31'")),
+):
+    query(_name, _sql)(_matching(_text, **_options))
+
+
+@query("q_stem")
+def q_stem(spark, sf_dir):
+    """Words of the same stem; the stemmer has no SQL counterpart."""
+    q = parse("title:hers", Options(match_mode="SEMANTIC_EXPANSION"))
+    return text_match(document_items(spark, sf_dir), q).select("id", F.col("provenance.match_type").alias("match_type"), F.size("provenance.match_spans").alias("n_spans"))
+
+
+@query("q_span_counts", f"""WITH {_DOCS} SELECT id, len(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9]+'), lambda w: w = 'the')) AS n_spans,
+    len(regexp_extract(lower(description), '(?s)^(.*?)(?:^|[^a-z0-9])the(?:[^a-z0-9]|$)', 1)) + CASE WHEN regexp_matches(lower(description), '^the([^a-z0-9]|$)') THEN 0 ELSE 1 END AS first_start
+    FROM docs WHERE {_has('description', 'the')}""")
+def q_span_counts(spark, sf_dir):
+    found = text_match(document_items(spark, sf_dir), parse("description:the")).withColumn("s", F.col("provenance.match_spans"))
+    return found.select("id", F.size("s").cast("bigint").alias("n_spans"), F.element_at("s", 1)["start"].cast("bigint").alias("first_start"))
+
+
+@query("q_match_type", f"""WITH {_DOCS} SELECT id, CASE WHEN {_has('title', 'the')} AND ({' OR '.join(_has(c, 'the') for c in ('description', 'tags', 'url', 'ext', 'site'))}) THEN 'TITLE_AND_METADATA'
+    WHEN {_has('title', 'the')} THEN 'WORD_BOUNDARY' ELSE 'METADATA_ONLY' END AS match_type FROM docs WHERE {_any('the')}""")
+def q_match_type(spark, sf_dir):
+    return text_match(document_items(spark, sf_dir), parse("the")).select("id", F.col("provenance.match_type").alias("match_type"))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+_SPLIT = "'^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?'"
+_NORMAL = f"""norm AS (
+    SELECT *, 'https' AS unused, lower(regexp_extract(url, {_SPLIT}, 1)) || '://' ||
+      regexp_replace(regexp_replace(lower(regexp_extract(url, {_SPLIT}, 2)), '^www\\.', ''), '^m\\.', '') AS front,
+      CASE WHEN regexp_extract(url, {_SPLIT}, 3) = '/' THEN '/' ELSE regexp_replace(regexp_extract(url, {_SPLIT}, 3), '/+$', '') END AS path,
+      array_to_string(list_filter(string_split(regexp_extract(url, {_SPLIT}, 4), '&'), lambda x: x <> '' AND NOT list_contains([{', '.join(repr(t) for t in urls.TRACKING)}], lower(split_part(x, '=', 1)))), '&') AS q
+    FROM pages), normal AS (SELECT *, front || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS normal_url FROM norm)"""
+
+
+@query("q_normalize_url", f"WITH {_NORMAL} SELECT page_id, normal_url FROM normal")
+def q_normalize_url(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal_url"))
+
+
+_MADE_URLS = ["https://www.mediafire.com/file/abc123/x.zip", "https://youtu.be/dQw4w9WgXcQ", "https://vimeo.com/123456789", "https://drive.google.com/file/d/F_9/view?usp=x", "https://cdn.bunkr.is/v/qq1", "https://debunkr.com/v/qq1"]
+
+
+def _made(column: str, n: str) -> str:
+    return f"CASE {n} % 6 " + " ".join(f"WHEN {k} THEN '{u}'" for k, u in enumerate(_MADE_URLS)) + f" END AS {column}"
+
+
+@query("q_platform", f"""WITH made AS (SELECT doc_id, {_made('url', 'doc_id')} FROM documents) SELECT doc_id,
+    CASE doc_id % 6 WHEN 0 THEN 'MediaFire' WHEN 1 THEN 'YouTube' WHEN 2 THEN 'Vimeo' WHEN 3 THEN 'Google Drive' WHEN 4 THEN 'Bunkr' ELSE 'Debunkr.com' END AS platform,
+    CASE doc_id % 6 WHEN 0 THEN 'abc123' WHEN 1 THEN 'dQw4w9WgXcQ' WHEN 2 THEN '123456789' WHEN 3 THEN 'F_9' WHEN 4 THEN 'qq1' END AS platform_id FROM made""")
+def q_platform(spark, sf_dir):
+    made = _table(spark, sf_dir, "documents").selectExpr("doc_id", _made("url", "doc_id"))
+    return made.withColumn("p", urls.resolve_platform(F.col("url"))).select("doc_id", F.col("p.platform").alias("platform"), F.col("p.platform_id").alias("platform_id"))
+
+
+@query("q_host_key", f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'mediafire' WHEN 3 THEN 'gdrive' WHEN 4 THEN 'bunkr' END AS host_key FROM documents""")
+def q_host_key(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _made("url", "doc_id")).select("doc_id", urls.file_host_key(F.col("url")).alias("host_key"))
+
+
+_NAMES = ["a.zip", "b.tar.gz", "c.PDF", "d.html", "e", "f.mp4?x=1", "g.example.com", "https://x.org/h.iso/", "https://x.org", "python 3.12", ".bashrc", "j.tar.xz"]
+
+
+def _named(n: str) -> str:
+    return f"CASE {n} % {len(_NAMES)} " + " ".join(f"WHEN {k} THEN '{u}'" for k, u in enumerate(_NAMES)) + " END AS name"
+
+
+@query("q_extension_type", f"""SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'pdf' WHEN 5 THEN 'mp4' WHEN 7 THEN 'iso' WHEN 9 THEN '12' WHEN 11 THEN 'tar.gz' END AS extension,
+    CASE doc_id % 12 WHEN 0 THEN 'ARCHIVE' WHEN 1 THEN 'ARCHIVE' WHEN 2 THEN 'DOCUMENT' WHEN 5 THEN 'VIDEO' WHEN 7 THEN 'SOFTWARE' WHEN 11 THEN 'ARCHIVE' ELSE 'FILE' END AS item_type FROM documents""")
+def q_extension_type(spark, sf_dir):
+    ext = files.file_extension(F.col("name"))
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _named("doc_id")).select("doc_id", ext.alias("extension"), files.item_type(ext).alias("item_type"))
+
+
+@query("q_sizes", """WITH s AS (SELECT doc_id, n_chars, (n_chars * n_chars * 977)::BIGINT AS b FROM documents) SELECT doc_id,
+    CASE WHEN b < 1024 THEN b || ' B' ELSE regexp_replace(printf('%.2f', b / CASE WHEN b < 1048576 THEN 1024.0 WHEN b < 1073741824 THEN 1048576.0 WHEN b < 1099511627776 THEN 1073741824.0 ELSE 1099511627776.0 END), '\\.?0+$', '')
+      || CASE WHEN b < 1048576 THEN ' KB' WHEN b < 1073741824 THEN ' MB' WHEN b < 1099511627776 THEN ' GB' ELSE ' TB' END END AS human,
+    (n_chars * 1048576)::BIGINT AS parsed, CASE WHEN n_chars = 0 THEN NULL ELSE n_chars * 60 + 5 END AS seconds FROM s""")
+def q_sizes(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    size = (F.col("n_chars") * F.col("n_chars") * 977).cast("bigint")
+    return d.select(
+        "doc_id", files.format_bytes(size).alias("human"), files.parse_size(F.concat(F.lit("size: "), "n_chars", F.lit(".0 MiB"))).alias("parsed"),
+        F.when(F.col("n_chars") != 0, files.iso_duration(F.concat(F.lit("PT"), "n_chars", F.lit("M5S")))).alias("seconds"),
+    )
+
+
+@query("q_clock", """SELECT doc_id, (n_chars // 3600) * 3600 + (n_chars % 3600) AS clock, (n_chars % 90) * 60 AS minutes, n_chars * 1000 AS views,
+    TIMESTAMP '2020-02-03 04:05:06' - INTERVAL 2 HOUR AS published FROM documents""")
+def q_clock(spark, sf_dir):
+    n = F.col("n_chars")
+    clock = F.format_string("%d:%02d:%02d", F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60)
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", files.clock_duration(clock).alias("clock"), files.clock_duration(F.concat((n % 90).cast("string"), F.lit(" min"))).alias("minutes"), files.view_count(F.concat(n.cast("string"), F.lit("k"))).alias("views"),
+        files.rfc822_datetime(F.lit("Mon, 03 Feb 2020 04:05:06 +0200")).alias("published"),
+    )
+
+
+@query("q_highlight", """SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '(?i)\\b(example)\\b', '<mark>\\1</mark>', 'g') AS marked FROM pages""")
+def q_highlight(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.highlight(F.col("url"), ["example"]).alias("marked"))
+
+
+# ---------------------------------------------------------------- merge, score, rank
+
+
+@query("q_identity", f"WITH {_NORMAL} SELECT 'page:' || page_id AS id, 'url:' || normal_url AS identity FROM normal")
+def q_identity(spark, sf_dir):
+    return page_items(spark, sf_dir).select("id", identity_key().alias("identity"))
+
+
+@query("q_merge", """SELECT min(doc_id) AS first_doc, count(*) AS n_merged, arg_max(split_part(text, chr(10), 1), {'n': length(split_part(text, chr(10), 1)), 'o': -doc_id}) AS title,
+    max(n_chars) AS view_count, arg_min(CASE WHEN doc_id % 3 = 0 THEN 'https://dl.example.org/' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN doc_id END) AS download_url,
+    array_to_string(list_distinct(list(lang)), ',') AS tags FROM documents GROUP BY md5(text)""")
+def q_merge(spark, sf_dir):
+    merged = merge(document_items(spark, sf_dir), key=F.md5(F.col("description").cast("binary")))
+    return merged.select(F.col("ord").alias("first_doc"), "n_merged", "title", "view_count", "download_url", F.array_join("tags", ",").alias("tags"))
+
+
+def _score_sql(word: str) -> str:
+    """Score of a one-word query on documents."""
+    hits = lambda c: f"len(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w = '{word}'))"
+    part = lambda n, w: f"coalesce(list_sum(list_transform(range(1, {n} + 1), lambda k: {w} / sqrt(k))), 0)"
+    return f"""WITH {_DOCS}, hits AS (SELECT *, {hits('title')} AS ht, {hits('description')} AS hd FROM docs), scored AS (
+        SELECT doc_id, id, title, round(CASE WHEN ht > 0 AND hd > 0 THEN 6 WHEN ht > 0 THEN 5 ELSE 3 END + 10 + {part('ht', 10.0)} + {part('hd', 1.5)}
+          + CASE WHEN ht > 0 AND hd > 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END + 1 + CASE WHEN length(description) > 20 THEN 1 ELSE 0 END + 1.0
+          + greatest(0, 1.5 - 0.5 * log10(greatest(1, date_diff('day', DATE '2020-01-01' + (doc_id % 2000)::INT, DATE '2026-01-01'))))::DOUBLE, 2) AS score
+        FROM hits WHERE ht > 0 OR hd > 0)"""
+
+
+@query("q_score", _score_sql("inging") + " SELECT id, score FROM scored")
+def q_score(spark, sf_dir):
+    q = parse("inging")
+    return text_match(document_items(spark, sf_dir), q).select("id", score_column(q, F.expr(AS_OF)).alias("score"))
+
+
+@query("q_rank_topk", _score_sql("the") + ", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id % 3 = 0 DESC, length(title), doc_id) AS rank FROM scored) SELECT id, score, rank::INT AS rank FROM best WHERE rank <= 25")
+def q_rank_topk(spark, sf_dir):
+    q = parse("the", Options(max_results=25))
+    return top(text_match(document_items(spark, sf_dir), q), q, F.expr(AS_OF)).select("id", F.col("relevance_score").alias("score"), "rank")
+
+
+@query("q_min_score", _score_sql("inging") + " SELECT id, score FROM scored WHERE score >= 20")
+def q_min_score(spark, sf_dir):
+    q = parse("inging", Options(max_results=500))
+    scored = text_match(document_items(spark, sf_dir), q).select("id", score_column(q, F.expr(AS_OF)).alias("score"))
+    return scored.where("score >= 20")
+
+
+@query("q_source_cap", "SELECT 'doc:' || doc_id AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 50")
+def q_source_cap(spark, sf_dir):
+    return source_cap(document_items(spark, sf_dir), Options(max_results=10)).select("id")
+
+
+@query("q_search_e2e", _score_sql("the").replace("FROM hits WHERE ht > 0 OR hd > 0)", "FROM hits WHERE (ht > 0 OR hd > 0) AND lang = 'en')")
+       + ", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id % 3 = 0 DESC, length(title), doc_id) AS rank FROM scored) SELECT id, title, score, rank::INT AS rank FROM best WHERE rank <= 30")
+def q_search_e2e(spark, sf_dir):
+    """Filter, match, merge by identity, score, order and cut."""
+    q = parse("the", Options(language="en"))
+    return search_frame(document_items(spark, sf_dir), q, F.expr(AS_OF), cap=False).select("id", "title", F.col("relevance_score").alias("score"), "rank")
+
+
+@query("q_search_pages")
+def q_search_pages(spark, sf_dir):
+    """Web pages that have "the" in their title and none of "de" in it, merged, scored and ranked."""
+    q = parse("title:the -title:de")
+    return search_frame(page_items(spark, sf_dir), q, F.expr(AS_OF), cap=False).select("id", "canonical_url", "title", F.col("relevance_score").alias("score"), "rank")
