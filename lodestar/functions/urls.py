@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions import let
+
 #: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "source", "feature", "si", "embed", "from")
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(?s:.*))?$"
@@ -56,45 +58,58 @@ def parts(url: Column) -> dict[str, Column]:
 def normalize_url(raw: Column) -> Column:
     """Scheme (https if none) and host in lower case, without "www." and "m." in front, path parameters, fragment,
     tracking parameters and trailing slashes. Null and empty give the empty string."""
-    url = F.trim(F.coalesce(raw, F.lit("")))
-    p = parts(url)
-    host = F.regexp_replace(F.regexp_replace(F.lower(p["netloc"]), r"^www\.", ""), r"^m\.", "")
-    path = F.regexp_replace(p["path"], r";[^/]*$", "")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    kept = F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
-    query = F.array_join(kept, "&")
-    front = F.when(p["scheme"] == "", "https").otherwise(p["scheme"])
-    out = F.concat(front, F.lit(":"), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(url == "", "").otherwise(out)
+    def build(u: Column) -> Column:
+        host = F.regexp_replace(F.regexp_replace(F.lower(u["netloc"]), r"^www\.", ""), r"^m\.", "")
+        path = F.regexp_replace(u["path"], r";[^/]*$", "")
+        kept = F.filter(F.split(u["query"], "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
+        made = F.struct(host.alias("host"), path.alias("path"), F.array_join(kept, "&").alias("query"), F.when(u["scheme"] == "", "https").otherwise(u["scheme"]).alias("scheme"))
+        return let(made, lambda m: F.concat(
+            m["scheme"], F.lit(":"), F.when(m["host"] != "", F.concat(F.lit("//"), m["host"])).otherwise(""), F.when(m["path"] == "/", "/").otherwise(F.regexp_replace(m["path"], "/+$", "")),
+            F.when(m["query"] != "", F.concat(F.lit("?"), m["query"])).otherwise(""),
+        ))
+
+    def split(url: Column) -> Column:
+        return F.when(url == "", "").otherwise(let(F.struct(*[v.alias(k) for k, v in parts(url).items()]), build))
+
+    return let(F.trim(F.coalesce(raw, F.lit(""))), split)
 
 
 def resolve_platform(url: Column) -> Column:
     """struct platform, platform_id, canonical_url."""
-    norm = normalize_url(url)
-    p = parts(norm)
-    subject = F.concat(F.lit("."), p["netloc"], p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))
+    def split(norm: Column) -> Column:
+        p = parts(norm)
+        subject = F.concat(F.lit("."), p["netloc"], p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))
+        return let(F.struct(norm.alias("norm"), p["netloc"].alias("netloc"), p["path"].alias("path"), subject.alias("subject"), F.coalesce(url, F.lit("")).alias("raw")), _resolve)
+
+    return let(normalize_url(url), split)
+
+
+def _resolve(u: Column) -> Column:
+    """The first platform whose pattern fits; each pattern runs once and only if none before it fitted."""
     pick = lambda name, found, canonical: F.struct(F.lit(name).alias("platform"), found.alias("platform_id"), canonical.alias("canonical_url"))
-    out = None
+    none = F.lit(None).cast("struct<platform:string,platform_id:string,canonical_url:string>")
+    tries = []
+
+    def attempt(name: str, text: Column, pattern: str, written: str | None, condition: Column | None = None) -> None:
+        def use(found: Column) -> Column:
+            return F.when(found != "", pick(name, found, F.concat(*_fill(written, found)) if written else u["norm"]))
 
-    def case(condition: Column, value: Column) -> None:
-        nonlocal out
-        out = F.when(condition, value) if out is None else out.when(condition, value)
+        found = let(F.regexp_extract(text, pattern, 1), use)
+        tries.append(found if condition is None else F.when(condition, found).otherwise(none))
 
     for name, pattern, written in HOSTED:
-        found = F.regexp_extract(subject, pattern, 1)
-        case(found != "", pick(name, found, F.concat(*_fill(written, found)) if written else norm))
+        attempt(name, u["subject"], pattern, written)
     for name, pattern, written in ANYWHERE:
-        for text in (norm, F.coalesce(url, F.lit(""))):
-            found = F.regexp_extract(text, pattern, 1)
-            case(found != "", pick(name, found, F.concat(*_fill(written, found))))
+        attempt(name, u["norm"], pattern, written)
+        attempt(name, u["raw"], pattern, written)
     bunkr, ids = BUNKR
     for pattern in ids:
-        found = F.regexp_extract(p["path"], pattern, 1)
-        case(p["netloc"].rlike(bunkr) & (found != ""), pick("Bunkr", found, norm))
-    case(p["netloc"].rlike(bunkr), pick("Bunkr", F.lit(None).cast("string"), norm))
-    capital = F.concat(F.upper(F.substring(p["netloc"], 1, 1)), F.substring(p["netloc"], F.lit(2), F.length(p["netloc"])))
-    other = F.struct(F.when(p["netloc"] == "", "Web").otherwise(capital).alias("platform"), F.lit(None).cast("string").alias("platform_id"), norm.alias("canonical_url"))
-    return out.otherwise(other)
+        attempt("Bunkr", u["path"], pattern, None, u["netloc"].rlike(bunkr))
+    null = F.lit(None).cast("string")
+    tries.append(F.when(u["netloc"].rlike(bunkr), pick("Bunkr", null, u["norm"])))
+    capital = F.concat(F.upper(F.substring(u["netloc"], 1, 1)), F.substring(u["netloc"], F.lit(2), F.length(u["netloc"])))
+    tries.append(F.struct(F.when(u["netloc"] == "", "Web").otherwise(capital).alias("platform"), null.alias("platform_id"), u["norm"].alias("canonical_url")))
+    return F.coalesce(*tries)
 
 
 def _fill(written: str, value: Column) -> list[Column]:
@@ -110,7 +125,10 @@ def hostname(url: Column) -> Column:
 
 def file_host_key(url: Column) -> Column:
     """Key of the file host that serves the URL: its host is a known domain or a subdomain of one; else null."""
-    host = hostname(F.coalesce(url, F.lit("")))
+    return let(hostname(F.coalesce(url, F.lit(""))), _host_key)
+
+
+def _host_key(host: Column) -> Column:
     out = None
     for key, domains in FILE_HOSTS.items():
         fits = F.lit(False)

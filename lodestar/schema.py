@@ -23,7 +23,7 @@ ORIGIN = {"source_id": "string", "ord": "bigint"}
 ITEM_TYPES = ("FILE", "ARCHIVE", "DOCUMENT", "SOFTWARE", "AUDIO", "VIDEO", "IMAGE", "DATASET", "WEB_PAGE")
 MATCH_TYPES = ("EXACT_PHRASE", "WORD_BOUNDARY", "METADATA_ONLY", "TITLE_AND_METADATA", "STEMMED_OR_EXPANDED", "FLEXIBLE")
 MATCH_MODES = ("TITLE_ONLY", "TITLE_AND_METADATA", "EXACT_MATCH", "FLEXIBLE_MATCH", "SEMANTIC_EXPANSION")
-METADATA_SOURCES = ("API", "JSON_LD", "OPENGRAPH", "OEMBED", "MRSS", "HTML_META", "FILE_HOST_EXTRACTOR", "OPEN_DIRECTORY", "SEARCH_ENGINE", "INFERRED")
+METADATA_SOURCES = ("OFFICIAL_API", "JSON_LD", "OPEN_GRAPH", "OEMBED", "HTML_META", "MRSS_FEED", "OPEN_DIRECTORY", "FILE_HOST_PAGE", "DIRECT_LINK", "INFERRED")
 #: Fields that a query searches, in the order of spans.
 FIELDS = ("title", "file_name", "description", "tags", "categories", "uploader", "url", "ext", "type", "site")
 
