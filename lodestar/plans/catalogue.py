@@ -12,6 +12,10 @@ from lodestar.operators.merge import identity_key, merge
 from lodestar.operators.rank import score_column, top
 from lodestar.plans.query import Options, parse
 from lodestar.schema import items
+from lodestar.sources import catalog
+from lodestar.sources.extract import extract_pages
+from lodestar.sources.feeds import distinct_hits
+from lodestar.sources.html_facts import page_facts
 
 #: Recency counts from here, so results do not depend on the day.
 AS_OF = "TIMESTAMP'2026-01-01 00:00:00'"
@@ -117,7 +121,7 @@ for _name, _text, _options, _sql in (
 @query("q_stem")
 def q_stem(spark, sf_dir):
     """Words of the same stem; the stemmer has no SQL counterpart."""
-    q = parse("title:hers", Options(match_mode="SEMANTIC_EXPANSION"))
+    q = parse("description:thening", Options(match_mode="SEMANTIC_EXPANSION"))
     return text_match(document_items(spark, sf_dir), q).select("id", F.col("provenance.match_type").alias("match_type"), F.size("provenance.match_spans").alias("n_spans"))
 
 
@@ -278,3 +282,96 @@ def q_search_pages(spark, sf_dir):
     """Web pages that have "the" in their title and none of "de" in it, merged, scored and ranked."""
     q = parse("title:the -title:de")
     return search_frame(page_items(spark, sf_dir), q, F.expr(AS_OF), cap=False).select("id", "canonical_url", "title", F.col("relevance_score").alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- sources and extractors
+
+
+@query("q_extract_pages", f"WITH {_NORMAL} SELECT page_id, 'html:' || normal_url AS id, 1 AS n_merged, trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) AS title FROM normal")
+def q_extract_pages(spark, sf_dir):
+    """All extractors over the raw pages; each of these pages has a title and no other metadata."""
+    found = extract_pages(_table(spark, sf_dir, "pages"))
+    return found.select(F.floor(F.col("ord") / 1_000_000).cast("bigint").alias("page_id"), "id", F.col("n_merged").cast("int").alias("n_merged"), "title")
+
+
+@query("q_extract_links", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, regexp_extract(html, '<a href="([^"]*)"', 1) AS first_href FROM pages""")
+def q_extract_links(spark, sf_dir):
+    facts = page_facts(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return facts.select("page_id", F.size("f.links").cast("bigint").alias("n_links"), F.element_at("f.links", 1)["href"].alias("first_href"))
+
+
+def _payloads(spark, sf_dir, field: str, row) -> DataFrame:
+    """Documents as payloads of ten results each."""
+    d = _table(spark, sf_dir, "documents").withColumn("ord", F.floor(F.col("doc_id") / 10))
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r"))))
+    rows = d.groupBy("ord").agg(F.transform(listed, lambda x: x["r"]).alias("rows"))
+    made = F.col("rows")
+    for name in reversed(field.split(".")):
+        made = F.struct(made.alias(name))
+    return rows.select("ord", F.to_json(made).alias("payload"))
+
+
+@query("q_source_hackernews", """SELECT 'hn:' || doc_id AS id, split_part(text, chr(10), 1) AS title, n_chars AS view_count, 'HN discussion (' || n_chars || ' points, 0 comments)' AS description, TIMESTAMP '2024-05-06 07:08:09' AS published FROM documents""")
+def q_source_hackernews(spark, sf_dir):
+    row = F.struct(F.col("doc_id").cast("string").alias("objectID"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("points"), F.lit("2024-05-06T07:08:09Z").alias("created_at"))
+    found = catalog.parse(_payloads(spark, sf_dir, "hits", row), "hackernews")
+    return found.select("id", "title", "view_count", "description", F.col("publication_date").alias("published"))
+
+
+@query("q_source_zenodo", """SELECT 'zenodo:' || doc_id || '/' || f AS id, 'Zenodo' AS platform, CASE f WHEN 'a.zip' THEN 'ARCHIVE' ELSE 'DOCUMENT' END AS item_type, n_chars AS file_size_bytes,
+    lang || ' — ' || f AS title FROM documents, (VALUES ('a.zip'), ('b.pdf')) t(f)""")
+def q_source_zenodo(spark, sf_dir):
+    file = lambda n: F.struct(F.lit(n).alias("key"), F.col("n_chars").alias("size"))
+    row = F.struct(F.col("doc_id").alias("id"), F.struct(F.col("lang").alias("title")).alias("metadata"), F.array(file("a.zip"), file("b.pdf")).alias("files"))
+    return catalog.parse(_payloads(spark, sf_dir, "hits.hits", row), "zenodo").select("id", "platform", "item_type", "file_size_bytes", "title")
+
+
+@query("q_source_crossref", """SELECT 'crossref:10.1/' || doc_id AS id, 'https://doi.org/10.1/' || doc_id AS canonical_url, 'A B' AS uploader_name, make_timestamp(2000 + doc_id % 20, 1 + doc_id % 12, 1, 0, 0, 0) AS published, n_chars AS like_count FROM documents""")
+def q_source_crossref(spark, sf_dir):
+    year, month = (2000 + F.col("doc_id") % 20).cast("int"), (1 + F.col("doc_id") % 12).cast("int")
+    row = F.struct(
+        F.concat(F.lit("10.1/"), "doc_id").alias("DOI"), F.array(F.struct(F.lit("A").alias("given"), F.lit("B").alias("family"))).alias("author"),
+        F.struct(F.array(F.array(year, month)).alias("date-parts")).alias("issued"), F.col("n_chars").alias("is-referenced-by-count"),
+    )
+    found = catalog.parse(_payloads(spark, sf_dir, "message.items", row), "crossref")
+    return found.select("id", "canonical_url", "uploader_name", F.col("publication_date").alias("published"), "like_count")
+
+
+@query("q_source_arxiv", """SELECT 'arxiv:' || doc_id AS id, 'http://arxiv.example.org/pdf/' || doc_id AS download_url, 'pdf' AS file_extension, lang AS title FROM documents""")
+def q_source_arxiv(spark, sf_dir):
+    entry = F.concat(F.lit("<entry><id>http://arxiv.example.org/abs/"), "doc_id", F.lit("</id><title>"), "lang", F.lit("</title></entry>"))
+    d = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("ord"), entry.alias("e"))
+    feed = d.groupBy("ord").agg(F.array_join(F.collect_list("e"), "\n").alias("payload"))
+    return catalog.parse(feed, "arxiv").select("id", "download_url", "file_extension", "title")
+
+
+@query("q_redirects", """SELECT doc_id, 'https://target.example.org/' || doc_id || '?a=b' AS target FROM documents""")
+def q_redirects(spark, sf_dir):
+    to = F.concat(F.lit("https://target.example.org/"), "doc_id", F.lit("?a=b"))
+    code = F.regexp_replace(F.translate(F.base64(to.cast("binary")), "+/", "-_"), "=+$", "")
+    href = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://engine.example/ck?p=1&u=a1"), code, F.lit("&ntb=1"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("//engine.example/l/?uddg="), F.url_encode(to), F.lit("&rut=1")))
+        .otherwise(F.concat(F.lit("https://r.engine.example/RU="), F.url_encode(to), F.lit("/RK=2/RS=x")))
+    )
+    return _table(spark, sf_dir, "documents").select("doc_id", urls.redirect_target(href).alias("target"))
+
+
+@query("q_distinct_hits", """SELECT n AS hits, 'https://h.example.org/' || k AS url FROM (SELECT doc_id % 50 AS k, count(*) AS n FROM documents GROUP BY 1)""")
+def q_distinct_hits(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 50)
+    tail = F.when(F.col("doc_id") < 50, "").when(F.col("doc_id") % 2 == 0, "/").otherwise("#x")
+    hits = d.select(F.concat(F.lit("https://h.example.org/"), "k", tail).alias("url"), F.lit("t").alias("title"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"), "k")
+    sizes = hits.groupBy("k").agg(F.count("*").alias("hits"))
+    return distinct_hits(hits).withColumn("k", F.substring_index("url", "/", -1).cast("bigint")).join(sizes, "k").select("hits", "url")
+
+
+@query("q_sources")
+def q_sources(spark, sf_dir):
+    """The registered sources."""
+    return catalog.sources(spark).drop("enabled")
+
+
+@query("q_union_sources", """SELECT source_id, count(*) AS n FROM (SELECT 'pages' AS source_id FROM pages UNION ALL SELECT source FROM documents) GROUP BY 1""")
+def q_union_sources(spark, sf_dir):
+    """The union of two scans, by source."""
+    return page_items(spark, sf_dir).unionByName(document_items(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n"))
