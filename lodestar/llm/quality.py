@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import text_column, training_sample
-from lodestar.llm.svm import SparseRows, calibrate, fit_hinge, probability
+from lodestar.llm.svm import SparseRows, calibrate, fit_hinge, held_back, probability
 
 PER_CLASS = 3000
 THRESHOLD = 0.3
@@ -102,7 +102,7 @@ def fit(rows: list[tuple[str, int]], least: int = 3, cost: float = 1.0, smooth:
     y = np.array([1 if q == 1 else -1 for _, q in rows])
     if len(set(y.tolist())) < 2:
         return Model()
-    back = np.arange(len(rows)) % 4 == 0
+    back = held_back(y)
     model = _fit([t for (t, _), h in zip(rows, back) if not h], y[~back], least, cost, smooth)
     margin = model.margins([t for (t, _), h in zip(rows, back) if h])
     model.a, model.c = calibrate(margin, y[back])

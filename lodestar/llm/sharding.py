@@ -3,7 +3,7 @@
 Rows are shuffled within each source by a seeded hash of their id, and ranked there. A row's fractional rank is
 (rank + 1/2) / rows of its source; sorted by it, every stretch of the whole order holds the sources in proportion.
 Cutting the order into equal stretches gives shards whose row counts differ by one at most and whose mixture is that of
-the whole, within one row of each source.
+the whole, up to the few rows that a cut between ties of sources can shift.
 
 Neither ranking puts a source, or the whole, into one task. Within a source rows fall into buckets by their hash, and
 the whole order into buckets by fractional rank; a row's rank is the number of rows in the buckets before its own, from

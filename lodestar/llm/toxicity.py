@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import text_column, training_sample
-from lodestar.llm.svm import DenseRows, calibrate, fit_hinge, probability
+from lodestar.llm.svm import DenseRows, calibrate, fit_hinge, held_back, probability
 
 GAP = 6
 DECAY = 0.8
@@ -234,7 +234,8 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 300, negatives: int = 6000
     """rows: (text, 0 or 1)."""
     bags = [(sorted({w for s in sentences(t) for w in words(s) if len(w) > 2}), t, y) for t, y in rows]
     bags = [b for b in bags if b[0]]
-    train, check = [b for i, b in enumerate(bags) if i % 4], bags[::4]
+    back = held_back(np.array([y for _, _, y in bags]))
+    train, check = [b for b, h in zip(bags, back) if not h], [b for b, h in zip(bags, back) if h]
     toxic, clean = [b for b, _, y in train if y == 1], [b for b, _, y in train if y == 0]
     if not toxic or not clean:
         return NOTHING
