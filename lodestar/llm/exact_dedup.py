@@ -24,6 +24,7 @@ from lodestar.llm.common import map_batches, materialise, text_column
 
 CHUNK_BITS = 12
 MAX_CHUNK = 1 << 16
+SALTS = 16
 _WINDOW = 32
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), dtype=np.uint32)
 
@@ -116,9 +117,14 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16, bits: int = CHUNK_BITS)
     if not clashes.isEmpty():
         rows = materialise(_with_long_identifiers(docs, rows, clashes, digest_bytes, bits), "identified")
 
-    best = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(best, "recipe").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
+    best = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    # a group of any size is spread over SALTS tasks; only groups of several rows, which are few and short, are repeated
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALTS))).join(best, ["recipe", "salt"], "left")
+    own = F.col("best").isNull()
+    return joined.select(
+        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (own | (F.col("row_no") == F.col("best.row_no"))).alias("kept"), "text_sha256",
     )
 
 
