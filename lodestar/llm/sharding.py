@@ -33,9 +33,10 @@ def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: st
     rows = rows.withColumn("__bucket", bucket)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket") if group is None else Window.partitionBy(group).orderBy("__bucket")
-    offsets = counts.withColumn("__before", F.sum("__n").over(before) - F.col("__n")).drop("__n")
+    whole = Window.partitionBy(group) if group else Window.partitionBy()
+    offsets = counts.withColumns({"__before": F.sum("__n").over(before) - F.col("__n"), "__size": F.sum("__n").over(whole)}).drop("__n")
     placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return placed.join(offsets, keys).withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")
+    return placed.join(offsets, keys).withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")  # __size stays: rows of the group
 
 
 def interleave(docs: DataFrame, seed: int = 0, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -49,11 +50,10 @@ def interleave(docs: DataFrame, seed: int = 0, shards: int = SHARDS, per_bucket:
     rows = materialise(rows, "sharding")
     total = rows.count()
     buckets = max(1, -(-total // per_bucket))
-    sizes = rows.groupBy("__source").agg(F.count("*").alias("__size"))
     tie = ["__hash", "doc_id", "text_crc32", "size"]
     bucket = F.floor(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
-    ranked = _with_rank(rows.join(sizes, "__source"), "__source", bucket, tie, "__rank")
-    ranked = ranked.withColumn("__share", (2 * F.col("__rank") + 1) / (2 * F.col("__size")))
+    ranked = _with_rank(rows, "__source", bucket, tie, "__rank")
+    ranked = ranked.withColumn("__share", (2 * F.col("__rank") + 1) / (2 * F.col("__size"))).drop("__size")
     ranked = materialise(ranked, "ranked")
     # the order is that of the exact fractions: equal doubles come from equal fractions while sources have < 2^52 rows
     placed = _with_rank(ranked, None, F.floor(F.col("__share") * buckets).cast("long"), ["__share", "__source", *tie], "__at")
