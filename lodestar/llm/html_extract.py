@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import text_column
 from lodestar.llm.url_filter import host_of
 
+SALTS = 32
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Fixed values of HTML: elements by how they nest.
@@ -271,4 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 )
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner").mapInArrow(run, schema)
+    # a host of any size is spread over SALTS tasks
+    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
+    return salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "winner").mapInArrow(run, schema)
