@@ -273,6 +273,6 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
     # a host of any size is spread over SALTS tasks
-    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     salted = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
     return salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "winner").mapInArrow(run, schema)
