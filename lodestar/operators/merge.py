@@ -30,7 +30,8 @@ def _truthy(name: str) -> Column:
 
 
 def _in_order(value: Column) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("ord"), value.alias("v")))), lambda s: s["v"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("ord"), value.alias("v")))), lambda s: s["v"])
+    return F.filter(listed, lambda v: v.isNotNull())
 
 
 def merge(items: DataFrame, key: Column | None = None) -> DataFrame:
@@ -49,13 +50,12 @@ def merge(items: DataFrame, key: Column | None = None) -> DataFrame:
     grouped = items.groupBy((identity_key() if key is None else key).alias("identity")).agg(*aggregates)
 
     both = lambda name: F.array_distinct(F.flatten(F.transform("__found", lambda p: p[name])))
-    first = F.get(F.filter("__found", lambda p: p.isNotNull()), F.lit(0))
+    first = F.get("__found", F.lit(0))
     joined = F.struct(
         first["discovery_source"].alias("discovery_source"), first["discovered_at"].alias("discovered_at"), both("matched_terms").alias("matched_terms"), both("matched_fields").alias("matched_fields"),
         first["match_type"].alias("match_type"), F.flatten(F.transform("__found", lambda p: p["match_spans"])).alias("match_spans"), first["query_variation_used"].alias("query_variation_used"),
         first["fetch_latency_ms"].alias("fetch_latency_ms"), first["raw_source_record_id"].alias("raw_source_record_id"), both("all_discovery_sources").alias("all_discovery_sources"),
     )
-    grouped = grouped.withColumn("__found", F.filter("__found", lambda p: p.isNotNull()))
     # of entries with the same name the last one counts
     entries = F.flatten("__maps")
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
