@@ -131,7 +131,7 @@ def test_merge(spark):
     r = got["0"]
     assert set(got) == {"0", "3", "4"} and r.n_merged == 3 and r.identity == "p:7" and r.canonical_url == "https://a.com/y" and r.title == "longer title"
     assert r.tags == ["b", "c", "a"] and r.view_count == 5 and r.like_count is None and r.item_type == "ARCHIVE" and r.download_url == "d" and r.file_size_bytes == 9 and r.raw_metadata == {"k": "1", "x": "0"}
-    assert got["3"].view_count == 0 and got["3"].uploader_name == "" and got["3"].identity == "url:https://b.com"
+    assert got["3"].view_count == 0 and got["3"].uploader_name == "" and got["3"].identity == "url:https://b.com/"
     assert merge(make(spark, rows).limit(0)).count() == 0
 
 
