@@ -105,21 +105,24 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16, bits: int = CHUNK_BITS)
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the
     largest doc_id is kept."""
     rows = materialise(recipes(docs, digest_bytes, bits), "recipes")
-    shared = rows.groupBy("recipe").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.size("recipe") > 0)).drop("n")
-    doubtful = materialise(rows.join(shared, "recipe", "left_semi").select("row_no", "doc_id", "recipe"), "candidates")
+    found = materialise(_grouped(rows), "groups")
 
-    # verify: within candidate groups a digest must stand for one content
+    # verify: within groups of several rows a digest must stand for one content
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    wanted = doubtful.select("doc_id").distinct()
+    wanted = found.where(F.col("group_size") > 1).select("doc_id").distinct()
     contents = _chunk_contents(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi"), digest_bytes, bits)
     clashes = contents.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("digest")
     clashes = materialise(clashes, "clashes")
-    if not clashes.isEmpty():
-        rows = materialise(_with_long_identifiers(docs, rows, clashes, digest_bytes, bits), "identified")
+    if clashes.isEmpty():
+        return found
+    return _grouped(materialise(_with_long_identifiers(docs, rows, clashes, digest_bytes, bits), "identified"))
 
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 by equal recipes. A group of any size is spread over SALTS tasks
+    after its partial aggregates have met; only groups of several rows, which are few and short, are repeated."""
     best = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
-    # a group of any size is spread over SALTS tasks; only groups of several rows, which are few and short, are repeated
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = rows.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALTS))).join(best, ["recipe", "salt"], "left")
     own = F.col("best").isNull()
     return joined.select(
