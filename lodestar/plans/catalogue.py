@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestar.engine import search_frame
 from lodestar.functions import files, text, urls
-from lodestar.operators.match import source_cap, structured_filter, text_match
+from lodestar.operators.match import contains_any, direct_only, source_cap, structured_filter, text_match
 from lodestar.operators.merge import identity_key, merge
 from lodestar.operators.rank import score_column, top
 from lodestar.plans.query import Options, parse
 from lodestar.schema import items
 from lodestar.sources import catalog
+from lodestar.sources.crawl import crawl_targets, file_host_targets
 from lodestar.sources.extract import extract_pages
 from lodestar.sources.feeds import distinct_hits
 from lodestar.sources.html_facts import page_facts
@@ -375,3 +376,30 @@ def q_sources(spark, sf_dir):
 def q_union_sources(spark, sf_dir):
     """The union of two scans, by source."""
     return page_items(spark, sf_dir).unionByName(document_items(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").selectExpr("doc_id", _made("base", "doc_id"))
+    return d.select(F.concat("base", F.lit("#"), "doc_id").alias("url"), F.lit("t").alias("title"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"))
+
+
+@query("q_crawl_targets", f"SELECT url || '#' || doc_id AS url, doc_id AS ord FROM (SELECT doc_id, {_made('url', 'doc_id')} FROM documents WHERE doc_id < 6)")
+def q_crawl_targets(spark, sf_dir):
+    """The first hits, each URL once without regard to its fragment."""
+    return crawl_targets(_hits(spark, sf_dir)).select("url", "ord")
+
+
+@query("q_file_host_targets", f"SELECT url || '#' || doc_id AS url, doc_id AS ord FROM (SELECT doc_id, {_made('url', 'doc_id')} FROM documents WHERE doc_id IN (0, 3, 4))")
+def q_file_host_targets(spark, sf_dir):
+    return file_host_targets(_hits(spark, sf_dir)).select("url", "ord")
+
+
+@query("q_direct_only", "SELECT 'doc:' || doc_id AS id FROM documents WHERE doc_id % 3 = 0")
+def q_direct_only(spark, sf_dir):
+    return direct_only(document_items(spark, sf_dir)).select("id")
+
+
+@query("q_substring", "SELECT 'doc:' || doc_id AS id FROM documents WHERE contains(lower(text), 'ingin') OR contains(lower(text), 'thth')")
+def q_substring(spark, sf_dir):
+    """Plain substrings, as feeds are filtered."""
+    return contains_any(document_items(spark, sf_dir), ["ingin", "thTH"]).select("id")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import catalog, feeds, json_payloads, live
+from lodestar.sources import catalog, crawl, feeds, json_payloads, live
 from lodestar.sources.extract import extract_pages, oembed_items
 
 
@@ -166,3 +166,17 @@ def test_live_source_reports_errors(spark):
     spark.dataSource.register(live.WebSource)
     rows = spark.read.format("lodestar_web").option("urls", "http://127.0.0.1/a\nhttp://localhost/b").load().collect()
     assert len(rows) == 2 and all(r.error and r.payload is None for r in rows)
+
+
+def test_crawl(spark):
+    hits = spark.createDataFrame([("https://a.org/x", "A", "s", 2), ("https://a.org/x#f", "B", "s", 1), ("https://mega.nz/file/q", "M", "", 3), ("https://c.org/z.zip", "", "zipped", 4)], "url string, title string, snippet string, ord long")
+    assert [r.url for r in crawl.crawl_targets(hits).collect()] == ["https://a.org/x#f", "https://mega.nz/file/q", "https://c.org/z.zip"]
+    assert [r.url for r in crawl.file_host_targets(hits).collect()] == ["https://mega.nz/file/q"]
+    pages = spark.createDataFrame([("https://a.org/x#f", "text/html", "<title>T</title>"), ("https://c.org/z.zip", "application/zip", None), ("https://other.org", None, "<title>O</title>")], "url string, content_type string, html string")
+    got = {r.title: r for r in crawl.crawled(hits, pages).collect()}
+    assert set(got) == {"T", "z.zip"} and got["z.zip"].item_type == "ARCHIVE" and got["z.zip"].download_url == "https://c.org/z.zip"
+    albums = spark.createDataFrame([("https://bunkr.is/", "<a href='/a/two'>x</a><a href='https://bunkr.su/a/one'>y</a><a href='/v/z'>z</a>")], "url string, html string")
+    assert [r.url for r in crawl.album_targets(albums).collect()] == ["https://bunkr.is/a/two", "https://bunkr.su/a/one"]
+    repos = parse(spark, "github", {"items": [{"full_name": f"o/{k}"} for k in range(5)]})
+    assert len(repos) == 5
+    assert crawl.page_of_query(" https://a.org/x ") == "https://a.org/x" and crawl.page_of_query("see https://a.org") is None
