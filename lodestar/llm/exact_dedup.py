@@ -109,7 +109,8 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16, bits: int = CHUNK_BITS)
 
     # verify: within groups of several rows a digest must stand for one content
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    wanted = found.where(F.col("group_size") > 1).select("doc_id").distinct()
+    # a table of its own, so that its size is known and texts stay where they are if it is small
+    wanted = materialise(found.where(F.col("group_size") > 1).select("doc_id").distinct(), "candidates")
     contents = _chunk_contents(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi"), digest_bytes, bits)
     clashes = contents.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("digest")
     clashes = materialise(clashes, "clashes")
