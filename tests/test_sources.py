@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestar.sources import catalog, crawl, feeds, json_payloads, live
 from lodestar.sources.extract import extract_pages, oembed_items
