@@ -182,11 +182,12 @@ def _keyed(fps: DataFrame, plan: list[Partition]) -> DataFrame:
         if part.threshold >= 2:
             flips += [(a, b) for k, a in enumerate(part.bits) for b in part.bits[:k]]
         if flips:
-            masks = F.array(*[F.lit(_mask(f)).cast("long") for f in flips])
+            # the lowest bit comes as a literal: the mask of bit 63 is the least long, which has no negative
+            masks = F.array(*[F.struct(F.lit(_mask(f)).cast("long").alias("all"), F.lit(_mask([min(f)])).cast("long").alias("low")) for f in flips])
             probes = fps.select("fp", F.lit(i).alias("part"), own.alias("own"), F.explode(masks).alias("m"))
             # of the pairs that differ in the bits of m, the one without the lowest of them probes
-            probes = probes.where((F.col("fp").bitwiseAND(F.col("m").bitwiseAND(-F.col("m")))) == 0)
-            rows = rows.union(probes.select("fp", "part", F.col("own").bitwiseXOR(F.col("m")).alias("key"), F.lit(True).alias("probe")))
+            probes = probes.where(F.col("fp").bitwiseAND(F.col("m.low")) == 0)
+            rows = rows.union(probes.select("fp", "part", F.col("own").bitwiseXOR(F.col("m.all")).alias("key"), F.lit(True).alias("probe")))
         out = rows if out is None else out.union(rows)
     return out
 

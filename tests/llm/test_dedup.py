@@ -136,6 +136,39 @@ def test_every_plan_is_exact():
             assert any(sum((x ^ y) >> b & 1 for b in p.bits) <= p.threshold for p in plan)
 
 
+@pytest.mark.parametrize("thresholds", [(1, 1), (0, 2), (2, 0), (0, 0, 1), (1, -1, 1), (0, 1, 0), (1, 0, 0)])
+def test_components_by_probes(spark, monkeypatch, thresholds):
+    """Plans of few partitions, as large tables get them: flipped bits meet, bit 63 among them."""
+    groups = len(thresholds)
+    plan = [simhash.Partition(tuple(range(g, 64, groups)), t) for g, t in enumerate(thresholds) if t >= 0]
+    assert sum(p.threshold + 1 for p in plan) == 4
+    monkeypatch.setattr(simhash, "make_plan", lambda *_: plan)
+    rng = random.Random(9)
+    fps = set()
+    for k in range(40):
+        x = rng.getrandbits(64)
+        y = x ^ (1 << 63) ^ (1 << rng.randrange(62)) ^ (1 << 62) if k % 2 else x ^ sum(1 << b for b in rng.sample(range(64), 3))
+        fps |= {x, y, x ^ (1 << 63)}
+    want = brute_components(sorted(fps))
+    same = defaultdict(set)
+    for f in fps:
+        same[want[f]].add(signed(f))
+    df = spark.createDataFrame([(signed(f),) for f in sorted(fps)], "fp long")
+    got = {r.fp: r.root for r in simhash.near_components(df).collect()}
+    assert len(same) <= 40 and all(got[signed(f)] == min(same[want[f]]) for f in fps)
+
+
+@pytest.mark.parametrize("widths", [(2,), (3,)])
+def test_components_by_forced_widths(spark, monkeypatch, widths):
+    """make_plan's own plans of few partitions; every single bit is flipped once."""
+    planned = simhash.make_plan
+    monkeypatch.setattr(simhash, "make_plan", lambda n, both, distance: planned(n, both, distance, widths))
+    base = random.Random(4).getrandbits(64)
+    fps = sorted({base} | {base ^ (1 << b) for b in range(64)})
+    got = simhash.near_components(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()
+    assert len(got) == 65 and {r.root for r in got} == {min(map(signed, fps))}
+
+
 def test_simhash_of_documents(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(4, long), (3, long + " end"), (7, long), (8, None), (9, "  "), (11, "alone here today"), (None, long)]
