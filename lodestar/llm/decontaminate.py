@@ -4,13 +4,12 @@ A document is contaminated by a benchmark item if some passage of it lies within
 of edits (insertions, deletions, substitutions of characters, after lower-casing and turning every run of other than
 letters and digits into one space).
 
-Edit distance is mapped to Hamming distance by the CGK random walk: it reads a string from the left, writes the present
-character at each step, and moves on or not as a random function of step and character says; strings with few edits
-fall into step again after each. Locality-sensitive hashing samples a few positions of the walk as a key; with `walks`
-walks and `tables` keys of each, an item and a near copy share two keys or more with the target recall. The windows that are
-hashed have the item's size and start where the text could: at offsets that share character 10-grams with an item. Each
-pair of window and item that shares so many keys is verified by exact edit distance against the text around the window, unless
-too few of the item's 5-grams occur there for so few edits.
+The search loses nothing. An item is cut into pieces of 5 characters, side by side. One edit spoils at most one piece, so
+a passage with at most k edits holds all but k of the pieces unchanged, at distances from their places in the item that
+differ by at most k. Every character of the text is looked up in the pieces of all items; where as many different pieces
+of an item meet as it must keep, the text around is verified by exact edit distance, unless too few of the item's
+5-grams (all of them, at every character) occur there for so few edits. Items that could lose all their pieces, which
+takes a larger `max_edits`, are verified against the whole text.
 
 The benchmark travels to the executors in blocks of at most BLOCK_CHARS characters, one pass for each block, so what is
 broadcast has a bound whatever the size of the benchmark. Documents never move.
@@ -23,8 +22,7 @@ are kept by the filter.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +32,16 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import text_column
 
 MAX_EDITS = 0.15
-WALKS = 4
-TABLES = 32
-SAMPLES = 3
-#: Keys that an item and a window must share. Chance rarely gives two of them.
-_AGREE = 2
 BLOCK_CHARS = 20_000_000
-_GRAM = 10
 _SHORT = 30
-#: One edit spoils at most this many runs of as many characters.
-_SPOILED = 5
-_DIAGONAL = 64
+#: One edit spoils at most this many runs of as many characters, and one of them where they lie side by side.
+_PIECE = 5
+#: Of the pieces that a passage must keep, this share, and as many at least, are looked for: few meet by chance.
+_SHARE, _LEAST = 0.7, 4
+#: Cells for each piece that occurs.
+_ROOM = 2
+#: Texts are searched together up to this many characters.
+_TOGETHER = 1 << 15
 _TEXT_BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,24 +64,21 @@ def normalise(text: str) -> np.ndarray:
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of each run of 10 characters."""
-    if len(codes) < _GRAM:
+    """Hash of each run of 5 characters."""
+    if len(codes) < _PIECE:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        b2 = _BASE * _BASE
         h1 = codes.astype(np.uint64) + np.uint64(7)
         h2 = h1[:-1] * _BASE + h1[1:]
-        h4 = h2[:-2] * b2 + h2[2:]
-        h8 = h4[:-4] * (b2 * b2) + h4[4:]
-        h = h8[:-2] * b2 + h2[8:]
-        return h * np.uint64(0xD6E8FEB86659FD93)
+        h4 = h2[:-2] * (_BASE * _BASE) + h2[2:]
+        return (h4[:-1] * _BASE + h1[4:]) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _small_grams(codes: np.ndarray) -> list[int]:
     """Number of each run of 5 characters."""
-    out = np.zeros(max(0, len(codes) - _SPOILED + 1), dtype=np.uint64)
+    out = np.zeros(max(0, len(codes) - _PIECE + 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(_SPOILED):
+        for k in range(_PIECE):
             out = out * _BASE + codes[k : k + len(out)]
     return out.tolist()
 
@@ -115,24 +109,10 @@ def within(item: np.ndarray, text: np.ndarray, most: int) -> int | None:
     return best if best <= most else None
 
 
-@dataclass
-class _Class:
-    """Items of similar lengths: sampled steps of each walk, the walks' random bits, and a table for each key."""
-
-    steps: np.ndarray
-    random: np.ndarray
-    tables: list = field(default_factory=list)
-
-
-def _size_class(length: int) -> int:
-    return int(np.log(length / _SHORT) / np.log(1.25))
-
-
 class Index:
     """A block of benchmark items, ready for lookup."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, walks: int = WALKS, tables: int = TABLES, seed: int = 11):
-        self.max_edits, self.walks, self.n_tables = max_edits, walks, tables
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
         self.ids, self.codes = [], []
         self.short: list[tuple[int, bytes]] = []
         for item_id, text in items:
@@ -143,105 +123,119 @@ class Index:
             elif len(codes):
                 self.short.append((item_id, np.concatenate([[32], codes, [32]]).astype(np.uint32).tobytes()))
         self.small = [_small_grams(c) for c in self.codes]
-        self.length = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.longest = int(self.length.max()) if len(self.length) else 0
-        gram, item, place = [], [], []
-        for k, c in enumerate(self.codes):
-            g = _grams(c)
-            gram.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        all_grams = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
-        order = np.argsort(all_grams, kind="stable")
-        self.grams, self.first, self.times = np.unique(all_grams[order], return_index=True, return_counts=True)
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        bits = max(20, int(np.ceil(np.log2(max(1, len(self.grams)) * 16))))
+        self.most = [int(max_edits * len(c)) for c in self.codes]
+        self.longest = max(map(len, self.codes), default=0)
+        #: pieces that a passage must keep of an item
+        keep = [len(c) // _PIECE - m for c, m in zip(self.codes, self.most)]
+        self.anywhere = [i for i, k in enumerate(keep) if k < 1]
+        seeded = [i for i, k in enumerate(keep) if k >= 1]
+        # the commonest pieces of an item go, each with one of those it must keep, while a share of the latter is left
+        whole = [_grams(c) for c in self.codes]
+        known, often = np.unique(np.concatenate(whole), return_counts=True) if whole else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        grams, places = [], []
+        for i in seeded:
+            g = whole[i][::_PIECE]
+            left = min(keep[i], max(_LEAST, int(np.ceil(_SHARE * keep[i]))))
+            rare = np.sort(np.argsort(often[np.searchsorted(known, g)], kind="stable")[: len(g) - keep[i] + left])
+            keep[i] = left
+            grams.append(g[rare])
+            places.append(rare * _PIECE)
+        sizes = [len(g) for g in grams]
+        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.grams, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
+        self.item = np.repeat(np.array(seeded, dtype=np.int64), sizes)[order]
+        self.place = np.concatenate(places)[order] if sizes else np.zeros(0, np.int64)
+        self.need = np.repeat(np.array([keep[i] for i in seeded], dtype=np.int64), sizes)[order]
+        self.narrow = np.repeat(np.array([1 / (self.most[i] + 1) for i in seeded], dtype=np.float64), sizes)[order]
+        self.spread = self.item * np.int64(0x9E3779B1)
+        #: texts lie so far apart that no two of them meet in one item's cells
+        self.gap = self.longest + 4 * (max(self.most, default=0) + 1)
+        # pieces by the first bits of their hash
+        bits = max(16, int(np.ceil(np.log2(max(1, len(self.grams)) * 16))))
         self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, dtype=bool)
-        self.seen[self.grams >> self.shift] = True
-        self.classes: dict[int, _Class] = {}
-        for k in sorted({_size_class(int(n)) for n in self.length}):
-            rng = np.random.default_rng([seed, k])
-            span = max(8, int(1.9 * _SHORT * 1.25**k))
-            steps = np.sort(rng.integers(0, span, size=(walks, tables * SAMPLES)), axis=1)
-            self.classes[k] = _Class(steps, rng.integers(0, 2, size=(walks, span, 256), dtype=np.uint8))
-        for k, cls in self.classes.items():
-            members = [i for i in range(len(self.codes)) if _size_class(int(self.length[i])) == k]
-            keys = self._keys(cls, [self.codes[i] for i in members])
-            cls.tables = [defaultdict(list) for _ in range(keys.shape[1])]
-            for row, i in zip(keys, members):
-                for t, key in enumerate(row.tolist()):
-                    cls.tables[t][key].append(i)
-
-    def _keys(self, cls: _Class, strings: list[np.ndarray]) -> np.ndarray:
-        """Keys of each string, one for each walk and table."""
-        n, width = len(strings), max(map(len, strings)) + 1
-        x = np.zeros((n, width), dtype=np.uint32)
-        for r, s in enumerate(strings):
-            x[r, : len(s)] = s
-        rows, out = np.arange(n), []
-        for walk in range(self.walks):
-            wanted = set(cls.steps[walk].tolist())
-            at = np.zeros(n, dtype=np.int64)
-            written = {}
-            for step in range(cls.random.shape[1]):
-                c = x[rows, at]
-                if step in wanted:
-                    written[step] = c
-                at = np.minimum(at + cls.random[walk, step, c & 255], width - 1)
-            mixed = np.random.default_rng(walk).permutation(len(cls.steps[walk]))
-            sampled = cls.steps[walk][mixed].reshape(self.n_tables, SAMPLES)
-            with np.errstate(over="ignore"):
-                for steps in sampled:
-                    key = np.zeros(n, dtype=np.uint64)
-                    for s in steps:
-                        key = (key + written[int(s)].astype(np.uint64) + np.uint64(1)) * _BASE
-                    out.append(key)
-        return np.stack(out, axis=1)
-
-    def _starts(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, offset) where a window of the item's size is worth hashing: several 10-grams of the item occur at
-        about the same distance from their place in it, and not all in one stretch, which is chance."""
-        h = _grams(codes)
-        at = np.flatnonzero(self.seen[h >> self.shift])
-        if len(at) < 3:
+        bucket = self.grams >> self.shift
+        self.bucket = np.full(1 << bits, -1, dtype=np.int32)
+        self.bucket[bucket[::-1]] = np.arange(len(bucket), dtype=np.int32)[::-1]
+        self.fullest = int(np.unique(bucket, return_counts=True)[1].max()) if len(bucket) else 0
+
+    def _places(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, least and largest offset) where an item could start: enough of its different pieces occur, and
+        at distances from their places in it that differ by less than twice the item's edits. Sorted."""
+        h = _grams(texts[0] if len(texts) == 1 else np.concatenate(texts))
+        k = self.bucket[h >> self.shift]
+        at = np.flatnonzero(k >= 0)
+        k, h = k[at], h[at]
+        hits = [(at[same], k[same] + j) for j in range(self.fullest) for same in [np.flatnonzero(self.grams[np.minimum(k + j, len(self.grams) - 1)] == h)]]
+        if not sum(len(x) for x, _ in hits):
             return []
-        k = np.searchsorted(self.grams, h[at])
-        k[k == len(self.grams)] = 0
-        good = self.grams[k] == h[at]
-        at, k = at[good], k[good]
+        at, k = (np.concatenate(x) for x in zip(*hits))
+        k = np.minimum(k, len(self.grams) - 1)
+        begin = np.cumsum([0, *map(len, texts)])
+        text = np.searchsorted(begin, at, side="right") - 1
         times = self.times[k]
-        total = int(times.sum())
-        if total < 3:
+        upto = np.cumsum(times)
+        total = int(upto[-1])
+        post = np.repeat(self.first[k] - upto + times, times) + np.arange(total)
+        diagonal = np.repeat(at + (text + 1) * self.gap, times) - self.place[post]
+        cell = ((diagonal + 0.5) * self.narrow[post]).astype(np.int64)
+        # counted in hashed cells first, where clashes only add
+        mask = (1 << (_ROOM * total).bit_length()) - 1
+        hashed = (cell + self.spread[post]) & mask
+        count = np.bincount(hashed + 1, minlength=mask + 3).astype(np.int32)
+        count[0], count[-1] = count[-2], count[1]
+        pair = count[1:-1] + np.maximum(count[:-2], count[2:])
+        left = np.flatnonzero(pair[hashed] >= self.need[post])
+        if not len(left):
+            return []
+        post, cell, diagonal = post[left], cell[left], diagonal[left]
+        order = np.lexsort((cell, self.item[post]))
+        post, cell, diagonal = post[order], cell[order], diagonal[order]
+        item, need, place = self.item[post], self.need[post], self.place[post]
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(item) != 0)) + 1, [len(cell)]])
+        lead, size = cuts[:-1], np.diff(cuts)
+        meets = np.zeros(len(lead), dtype=bool)
+        meets[:-1] = (item[lead[1:]] == item[lead[:-1]]) & (cell[lead[1:]] == cell[lead[:-1]] + 1)
+        both = size + np.where(meets, np.append(size[1:], 0), 0)
+        found = set()
+        for g in np.flatnonzero(both >= need[lead]).tolist():
+            a, b = int(cuts[g]), int(cuts[g + (2 if meets[g] else 1)])
+            if len(set(place[a:b].tolist())) >= need[a]:
+                low, high = int(diagonal[a:b].min()), int(diagonal[a:b].max())
+                found.add((int(item[a]), low, high))
+        if not found:
             return []
-        post = np.repeat(self.first[k], times) + np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-        item, diagonal = self.item[post], np.repeat(at, times) - self.place[post]
-        found = []
-        low = int(diagonal.min()) - _DIAGONAL
-        for shift in (0, _DIAGONAL // 2):
-            cell = item * ((len(codes) + 4 * self.longest) // _DIAGONAL + 4) + (diagonal - low + shift) // _DIAGONAL
-            order = np.argsort(cell, kind="stable")
-            sorted_cells = cell[order]
-            cuts = np.flatnonzero(np.diff(sorted_cells)) + 1
-            begin = np.concatenate([[0], cuts])
-            size = np.diff(np.concatenate([begin, [len(order)]]))
-            place = self.place[post[order]]
-            apart = np.maximum.reduceat(place, begin) - np.minimum.reduceat(place, begin) >= 2 * _GRAM
-            for b, n in zip(begin[(size > 2) & apart].tolist(), size[(size > 2) & apart].tolist()):
-                part = order[b : b + n]
-                d = diagonal[part]
-                found += [(int(item[part[0]]), int(d.min())), (int(item[part[0]]), int(d.max()))]
-        starts: list[tuple[int, int]] = []
-        for i, start in sorted(set(found)):
-            if not starts or starts[-1][0] != i or start - starts[-1][1] > 4:
-                starts.append((i, start))
-        return starts
+        # back from the offsets with gaps to the text and the offset in it
+        starts = begin[:-1] + (np.arange(len(texts)) + 1) * self.gap
+        out = []
+        for i, low, high in found:
+            t = int(np.searchsorted(starts, low + self.longest, side="right")) - 1
+            out.append((t, i, low - int(starts[t]), high - int(starts[t])))
+        return sorted(out)
+
+    def _verify(self, pieces: list[tuple[int, np.ndarray]], out: list[dict[int, int]]) -> None:
+        """Put the least numbers of edits into out, for texts and the parts of them in pieces."""
+        places = self._places([codes for _, codes in pieces]) if len(self.grams) else []
+        places += [(p, i, 0, len(codes)) for p, (_, codes) in enumerate(pieces) for i in self.anywhere]
+        for p, i, low, high in places:
+            t, codes = pieces[p]
+            item_id, most = self.ids[i], self.most[i]
+            bound = min(most, out[t].get(item_id, most + 1) - 1)
+            if bound < 0:
+                continue
+            part = codes[max(0, low - most) : max(0, high + len(self.codes[i]) + most)]
+            wanted = len(self.small[i]) - _PIECE * bound
+            if wanted > 0 and sum(map(set(_small_grams(part)).__contains__, self.small[i])) < wanted:
+                continue
+            edits = within(self.codes[i], part, bound)
+            if edits is not None:
+                out[t][item_id] = edits
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """For each text, the least number of edits by item id."""
-        windows: dict[int, list] = defaultdict(list)
         out: list[dict[int, int]] = [{} for _ in texts]
+        pieces: list[tuple[int, np.ndarray]] = []
+        held = 0
         for t, text in enumerate(texts):
             whole = normalise(text or "")
             if self.short and len(whole):
@@ -252,39 +246,18 @@ class Index:
                         at = spaced.find(needle, at + 1)
                     if at >= 0:
                         out[t][item_id] = 0
-            if not self.longest:
+            if not self.longest or not len(whole):
                 continue
-            margin = 2 * self.longest + _DIAGONAL
-            for block in range(0, max(1, len(whole)), _TEXT_BLOCK):
-                codes = whole[max(0, block - margin) : block + _TEXT_BLOCK]
-                for i, start in self._starts(codes):
-                    n = int(self.length[i])
-                    windows[_size_class(n)].append((t, codes, max(0, start), n))
-        for k, found in windows.items():
-            keys = self._keys(self.classes[k], [c[s : s + n] for _, c, s, n in found])
-            near = []
-            for w, row in enumerate(keys.tolist()):
-                shared = Counter(i for table, key in zip(self.classes[k].tables, row) if key in table for i in table[key])
-                near += [(found[w][0], i, w) for i, n in shared.items() if n >= _AGREE]
-            best: dict[tuple[int, int], int] = {}
-            around: dict[tuple[int, int], set[int]] = {}
-            for t, i, w in sorted(near):
-                if best.get((t, i), 1) == 0:
-                    continue
-                _, codes, start, _ = found[w]
-                n = int(self.length[i])
-                most = int(self.max_edits * n)
-                part = codes[max(0, start - most - _DIAGONAL) : start + n + most + _DIAGONAL]
-                if (w, n) not in around:
-                    around[w, n] = set(_small_grams(part))
-                if sum(map(around[w, n].__contains__, self.small[i])) < len(self.small[i]) - _SPOILED * most:
-                    continue
-                edits = within(self.codes[i], part, most)
-                if edits is not None:
-                    best[t, i] = min(edits, best.get((t, i), edits))
-            for (t, i), edits in best.items():
-                item_id = self.ids[i]
-                out[t][item_id] = min(edits, out[t].get(item_id, edits))
+            # parts of a long text overlap by more than any passage
+            margin = 2 * self.longest + max(self.most)
+            for block in range(0, len(whole), _TEXT_BLOCK):
+                pieces.append((t, whole[max(0, block - margin) : block + _TEXT_BLOCK]))
+                held += len(pieces[-1][1])
+                if held >= _TOGETHER:
+                    self._verify(pieces, out)
+                    pieces, held = [], 0
+        if pieces:
+            self._verify(pieces, out)
         return out
 
 

@@ -166,6 +166,31 @@ def test_recall_of_edited_passages(rate, least):
     assert all(set(f) <= {k} for k, f in enumerate(found))
 
 
+@pytest.mark.parametrize("size", [30, 34, 36, 40, 50, 60, 80, 120, 230, 384])
+def test_every_passage_within_the_edits_is_found(size):
+    """At the most edits allowed, evenly spread or random; texts of other items' words, in company and alone."""
+    rng = random.Random(size)
+    items = [(i + " " + j)[:size].strip().ljust(size, "q") for i, j in zip(passages(40, size), passages(40, size + 1))]
+    items = [(i * 3)[:size - 1].strip().ljust(size, "q") for i in items]
+    index = decontaminate.Index(list(enumerate(items)))
+    most = int(0.15 * size)
+    texts = []
+    for k, item in enumerate(items):
+        c = list(item)
+        places = [int((n + 0.5) * size / most) for n in range(most)] if k % 2 else rng.sample(range(size), most)
+        for n, p in enumerate(sorted(places, reverse=True)):
+            kind = (n + k // 2) % 3 if k % 4 < 2 else 0
+            c[p : p + 1] = [rng.choice("xyz")] if kind == 0 else [c[p], rng.choice("xyz")] if kind == 1 else []
+        texts.append(" ".join(passages(3, 100 + k)) + "\n" + "".join(c) + ". " + passages(1, 200 + k)[0])
+    found = index.search(texts)
+    for k, (text, got) in enumerate(zip(texts, found)):
+        plain = decontaminate.normalise(text)
+        for i in {k, (k + 1) % len(items), *got}:
+            assert got.get(i) == decontaminate.within(decontaminate.normalise(items[i]), plain, most), (k, i)
+        assert k in got and index.search([text]) == [got]
+    assert decontaminate.Index([(1, items[0])], max_edits=0.3).search(texts[:1])[0][1] == found[0][0]
+
+
 def test_decontamination_frames(spark):
     items = passages(5, 1)
     long = " ".join(passages(3, 5))
