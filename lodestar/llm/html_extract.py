@@ -3,7 +3,10 @@
 Every page is read once by a tolerant tokeniser that keeps a stack of open block elements. Its containers are scored:
 each block of text counts for its parent, and half for the parent's parent, by its length outside links; elements that
 are never main text (menus, headers, footers, sidebars, forms, and those whose class, id or role says advert, notice,
-comments or the like) do not count. The best container's path, as tags and classes with digits generalised, is the
+comments or the like) do not count. A name alone proves little, as layout wrappers and page builders use the same words:
+a name does not count where it negates the word (has-sidebar), or where the element holds the page's main element, most of
+its text together with an article or its first heading, or nearly all of its text; and a page that would have no text is
+read without names. The best container's path, as tags and classes with digits generalised, is the
 page's vote. Votes are added up per host in Spark, and the path with most votes wins. Every page then is read again:
 the text of its containers on its host's winning path is its main text, or that of its own best container where it has
 none there. So a page with little text, or much of something else, is read as the other pages of its host suggest.
@@ -53,6 +56,17 @@ _ASIDE_WORDS = frozenset(
     " respond reply replies disqus discussion notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social related recommended recommendations pagination pager skip search searchbox form paywall disclaimer hidden".split()
 )
+#: Words of which a name is taken at its word, however much text the element holds, unless an article or heading is in it.
+_FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor sponsored sponsors comment comments commentlist respond disqus"
+    " cookie cookies consent gdpr popup newsletter paywall disclaimer copyright breadcrumb breadcrumbs pagination pager".split()
+)
+_NEGATIONS = frozenset("has have with no without not hide overflow".split())
+#: Page builders call every block a widget.
+_BUILDERS = frozenset("elementor siteorigin sow fusion wpb avia".split())
+_HEADER_WORDS = frozenset("header masthead banner".split())
+_ARTICLE_WORDS = frozenset("article entry post story content title headline".split())
+_MOST, _NEARLY_ALL = 0.5, 0.8
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -64,12 +78,14 @@ class _Node:
     parent: "_Node | None"
     aside: bool
     number: int
+    names: frozenset = frozenset()
+    apart: bool = False
     score: float = 0.0
 
 
 @dataclass
 class Page:
-    """Blocks of a page in order (text, node), and its nodes."""
+    """Blocks of a page in order (text, node, length outside links), and its nodes."""
 
     blocks: list = field(default_factory=list)
     nodes: list = field(default_factory=list)
@@ -80,6 +96,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_aside(tag: str, own: dict[str, str]) -> bool:
+    """Whatever it is called."""
     if tag in _ASIDE_TAGS:
         return True
     if not own or tag in ("html", "body"):
@@ -88,10 +105,78 @@ def _is_aside(tag: str, own: dict[str, str]) -> bool:
         return True
     if "style" in own and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own["style"], re.I):
         return True
-    if tag in ("article", "main"):
-        return bool({w.lower() for w in _WORDS.findall(own.get("class", ""))} & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"})
-    named = f"{own.get('class', '')} {own.get('id', '')}"
-    return any(w.lower() in _ASIDE_WORDS for w in _WORDS.findall(named))
+    return tag in ("article", "main") and bool({w.lower() for w in _WORDS.findall(own.get("class", ""))} & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"})
+
+
+def _names(tag: str, own: dict[str, str]) -> frozenset:
+    """Words of class and id that speak for an aside."""
+    if tag in ("html", "body", "article", "main") or not ("class" in own or "id" in own):
+        return frozenset()
+    found, every = set(), set()
+    for name in f"{own.get('class', '')} {own.get('id', '')}".split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        every.update(words)
+        mine = {w for k, w in enumerate(words) if w in _ASIDE_WORDS and not _NEGATIONS & set(words[:k])}
+        if mine and _ARTICLE_WORDS & set(words):
+            mine -= _HEADER_WORDS
+        found |= mine
+    if every & _BUILDERS:
+        found -= {"widget", "widgets"}
+    return frozenset(found)
+
+
+def _judge(page: Page, by_name: bool) -> None:
+    """Which nodes are aside, and the score of the others."""
+    nodes = page.nodes
+
+    def settle(named) -> None:
+        for n in nodes[1:]:
+            n.apart = n.parent.apart or n.aside or named(n)
+
+    if by_name and any(n.names for n in nodes):
+        inside = [0.0] * len(nodes)
+        lead = [0] * len(nodes)  # 2: main, 1: article or first heading
+
+        def gather() -> None:
+            inside[:] = [0.0] * len(nodes)
+            for _, node, worth in page.blocks:
+                if not node.apart:
+                    inside[node.number] += worth
+            for n in reversed(nodes[1:]):
+                lead[n.number] = max(lead[n.number], 0 if n.apart else 2 if n.tag == "main" else 1 if n.tag in ("article", "h1") else 0)
+                inside[n.parent.number] += inside[n.number]
+                lead[n.parent.number] = max(lead[n.parent.number], lead[n.number])
+
+        def holds(n, alone: bool) -> bool:
+            share = inside[n.number] / inside[0] if inside[0] else 0.0
+            return lead[n.number] == 2 or lead[n.number] == 1 and share > _MOST or alone and share > _NEARLY_ALL
+
+        settle(lambda n: False)
+        gather()
+        foreign = {n.number for n in nodes if n.names & _FOREIGN_WORDS and not holds(n, False)}
+        settle(lambda n: n.number in foreign)
+        gather()
+
+        def in_article(n) -> bool:
+            node = n.parent
+            while node is not None:
+                if node.tag in ("article", "main"):
+                    return n.names <= _HEADER_WORDS
+                node = node.parent
+            return False
+
+        layout = {n.number for n in nodes if n.names - _FOREIGN_WORDS and not n.apart and not holds(n, True) and not in_article(n)}
+        settle(lambda n: n.number in foreign or n.number in layout)
+    else:
+        settle(lambda n: False)
+    for text, node, worth in page.blocks:
+        if not node.apart:
+            holder = node.parent if node.tag in _LEAF and node.parent is not None else node
+            while holder.tag in _LEAF and holder.parent is not None:
+                holder = holder.parent
+            holder.score += worth
+            if holder.parent is not None:
+                holder.parent.score += worth / 2
 
 
 def _step(tag: str, own: dict[str, str]) -> str:
@@ -99,7 +184,7 @@ def _step(tag: str, own: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def read(source: str) -> Page:
+def read(source: str, by_name: bool = True) -> Page:
     page = Page()
     root = _Node("", "", None, False, 0)
     page.nodes.append(root)
@@ -115,15 +200,7 @@ def read(source: str) -> Page:
             parts.clear()
             if text:
                 node = stack[-1]
-                page.blocks.append((text, node))
-                if not node.aside:
-                    worth = max(0.0, len(text) - 2.0 * links)
-                    holder = node.parent if node.tag in _LEAF and node.parent is not None else node
-                    while holder.tag in _LEAF and holder.parent is not None:
-                        holder = holder.parent
-                    holder.score += worth
-                    if holder.parent is not None:
-                        holder.parent.score += worth / 2
+                page.blocks.append((text, node, max(0.0, len(text) - 2.0 * links)))
         links = 0
 
     def close(k: int) -> None:
@@ -184,16 +261,17 @@ def read(source: str) -> Page:
             aside = False  # an article's own header holds its title
         if parent.tag == "header" and not parent.aside and tag not in _HEADINGS and tag not in ("div", "hgroup"):
             aside = True
-        node = _Node(tag, f"{parent.path}/{_step(tag, own)}", parent, aside, len(page.nodes))
+        node = _Node(tag, f"{parent.path}/{_step(tag, own)}", parent, aside, len(page.nodes), _names(tag, own))
         page.nodes.append(node)
         stack.append(node)
     flush()
+    _judge(page, by_name)
     return page
 
 
 def best(page: Page) -> _Node | None:
     """Container of the highest score, the outer of two that are equal."""
-    found = max((n for n in page.nodes if not n.aside and n.tag not in _LEAF), key=lambda n: (n.score, -n.number), default=None)
+    found = max((n for n in page.nodes if not n.apart and n.tag not in _LEAF), key=lambda n: (n.score, -n.number), default=None)
     if found is None or found.score <= 0:
         return None
     # an article or main element around it is the container
@@ -206,7 +284,7 @@ def best(page: Page) -> _Node | None:
 
 
 def vote(source: str) -> str | None:
-    found = best(read(source)) if source else None
+    found = (best(read(source)) or best(read(source, by_name=False))) if source else None
     return found.path if found is not None else None
 
 
@@ -214,8 +292,11 @@ def extract(source: str, winner: str | None) -> str:
     """Main text by the winning path of the host, or by the page's own best container."""
     if not source:
         return ""
-    page = read(source)
-    chosen = {n.number for n in page.nodes if winner is not None and n.path == winner and not n.aside}
+    return _main_text(read(source), winner) or _main_text(read(source, by_name=False), winner)
+
+
+def _main_text(page: Page, winner: str | None) -> str:
+    chosen = {n.number for n in page.nodes if winner is not None and n.path == winner and not n.apart}
 
     def text(inside: set[int]) -> str:
         kept: dict[int, bool] = {}
@@ -227,7 +308,7 @@ def extract(source: str, winner: str | None) -> str:
                 kept[node.number] = node.number in inside or within(node.parent)
             return kept[node.number]
 
-        return "\n".join(t for t, node in page.blocks if not node.aside and within(node))
+        return "\n".join(t for t, node, _ in page.blocks if not node.apart and within(node))
 
     out = text(chosen) if chosen else ""
     if not out:

@@ -264,6 +264,34 @@ def test_main_text():
     assert html_extract.extract("<p>" * 20_000 + "x", None) == "x"
 
 
+ARTICLE = "<h1>Title</h1><p>First paragraph of the text, with enough words in it.</p><p>Second paragraph of the text.</p>"
+ARTICLE_TEXT = "Title\nFirst paragraph of the text, with enough words in it.\nSecond paragraph of the text."
+
+
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "site has-sidebar", "no-sidebar content", "with-menu", "widget", "page-form", "share-legal related", "overflow-hidden", "reply-page"])
+def test_layout_wrappers_hold_the_article(wrapper):
+    side = "<div class='sidebar'><p>Other things to read about</p></div><div class='comments'><p>I liked it</p></div><div class='ad'><p>Buy now</p></div>"
+    for inner in (ARTICLE, f"<article>{ARTICLE}</article>", f"<div class='text'>{ARTICLE}</div>"):
+        assert html_extract.extract(f"<body><div class='{wrapper}'>{inner}{side}</div></body>", None) == ARTICLE_TEXT
+        assert html_extract.extract(f"<body><div id='top-menu'><p>Home</p></div><div class='{wrapper}'>{inner}</div>{side}</body>", None) == ARTICLE_TEXT
+
+
+def test_names_do_not_cost_text():
+    blocks = "".join(f"<div class='elementor-element elementor-widget elementor-widget-text-editor'><p>{t}</p></div>" for t in ("One block of the text.", "Another block of it.", "The third."))
+    menu = "<div class='elementor-widget elementor-widget-nav-menu'><p>Home</p></div>"
+    assert html_extract.extract(f"<body><div class='elementor'>{menu}{blocks}</div></body>", None) == "One block of the text.\nAnother block of it.\nThe third."
+    titled = "<div class='%s'><h1>Title</h1></div><p>First paragraph.</p>"
+    assert html_extract.extract(f"<body><div class='box'>{titled % 'article-header'}</div></body>", None) == "Title\nFirst paragraph."
+    assert html_extract.extract(f"<body><article>{titled % 'header'}</article></body>", None) == "Title\nFirst paragraph."
+    # nothing but names against it
+    only = "".join(f"<div class='widget w{k}'><p>Text {k}.</p></div>" for k in range(3))
+    assert html_extract.extract(f"<body><div>{only}</div></body>", None) == "Text 0.\nText 1.\nText 2."
+    assert html_extract.vote(f"<body><div>{only}</div></body>") == "/body/div"
+    # what is foreign stays out, however long
+    long = "<div class='comments'><p>%s</p></div><div class='ad'><p>%s</p></div>" % ("very much liked " * 50, "buy " * 300)
+    assert html_extract.extract(f"<body><div class='wrap'><p>Short article.</p>{long}</div></body>", None) == "Short article."
+
+
 def test_pages_follow_the_vote_of_their_host(spark):
     odd = "<html><body><div class='wrap'><div class='content post-9'><p>Short.</p></div></div><div class='teasers'><p>%s</p></div></body></html>" % ("other words " * 20)
     rows = [(k, f"http://h.example.org/{k}", PAGE % k) for k in range(5)] + [(8, "http://h.example.org/8", odd), (9, "http://alone.example.org/", odd), (10, None, None), (11, "no", ""), (0, "http://h.example.org/0", PAGE % 0)]
