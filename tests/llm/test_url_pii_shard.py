@@ -78,6 +78,24 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(1), "other key").first().text != pii.pseudonymise(df.limit(1), "key").first().text
 
 
+def test_ibans_end_at_their_countrys_length(spark):
+    def iban(country, length):
+        body = ("12345678901234567890" * 2)[: length - 4]
+        return f"{country}{98 - int(body + ''.join(str(int(c, 36)) for c in country) + '00') % 97:02d}{body}"
+
+    valid = ["ES9121000418450200051332", "BE68 5390 0754 7034", *(iban(c, n) for n, many in pii._IBAN_LENGTHS.items() for c in many.split())]
+    valid += [" ".join(v[k : k + 4] for k in range(0, len(v), 4)) for v in valid if " " not in v] + [iban("ZZ", 22)]
+    rows = [(k, f"to {v}{after} paid", v) for k, v in enumerate(valid) for after in ([" 2023", " EUR", " BIC", " 1", " 500 EUR", ", 7", ""] if v[:2] != "ZZ" else [",", ""])]
+    df = spark.createDataFrame(rows, "k long, text string, v string")
+    for r in pii.pseudonymise(df, "key").collect():
+        assert r.n_pseudonyms == 1 and r.v not in r.text, r
+        before = [t for k, t, v in rows if v == r.v]
+        new = r.text[3 : 3 + len(r.v)]
+        assert any(t.replace(r.v, new) == r.text for t in before)
+        bare = new.replace(" ", "")
+        assert bare[:2] == r.v[:2] and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
 def test_permutations_are_one_to_one(spark):
     days = spark.range(0, 146_097, 11).select(F.date_format(F.date_add(F.expr("DATE'1800-01-01'"), F.col("id").cast("int")), "yyyy-MM-dd").alias("t"))
     ssn = spark.range(1, 4000).select(F.concat(F.lit("123-45-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))
