@@ -14,8 +14,8 @@ takes a larger `max_edits`, are verified against the whole text.
 The benchmark travels to the executors in blocks of at most BLOCK_CHARS characters, one pass for each block, so what is
 broadcast has a bound whatever the size of the benchmark. Documents never move.
 
-Defined results: null or empty texts and items match nothing; items of fewer than 30 characters must occur exactly,
-between word boundaries; texts of any length are scanned whole, in blocks that overlap by more than the longest item;
+Defined results: null or empty texts and items match nothing; items of fewer than 30 characters must occur
+between word boundaries, within the same share of edits; texts of any length are scanned whole, in blocks that overlap by more than the longest item;
 equal rows get equal results; items that repeat an id are all compared; empty tables give empty results; other columns
 are kept by the filter.
 """
@@ -74,6 +74,10 @@ def _grams(codes: np.ndarray) -> np.ndarray:
         return (h4[:-1] * _BASE + h1[4:]) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _small_grams(codes: np.ndarray) -> list[int]:
     """Number of each run of 5 characters."""
     out = np.zeros(max(0, len(codes) - _PIECE + 1), dtype=np.uint64)
@@ -109,19 +113,49 @@ def within(item: np.ndarray, text: np.ndarray, most: int) -> int | None:
     return best if best <= most else None
 
 
+def at_words(item: str, text: str, start: int, most: int) -> int | None:
+    """Least edit distance of item to a part of text from start to the end of a word, if at most `most`."""
+    m = len(item)
+    where: dict[str, int] = defaultdict(int)
+    for k, c in enumerate(item):
+        where[c] |= 1 << k
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, now, best = full, 0, m, most + 1
+    for at in range(start, min(len(text), start + m + most + 1)):
+        c = text[at]
+        if c == " " and now < best:
+            best = now
+        eq = where.get(c, 0)
+        zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        right_plus = minus | (full & ~(zero | plus))
+        right_minus = plus & zero
+        if right_plus & top:
+            now += 1
+        elif right_minus & top:
+            now -= 1
+        right_plus = (right_plus << 1 | 1) & full
+        right_minus = (right_minus << 1) & full
+        plus = right_minus | (full & ~(zero | right_plus))
+        minus = right_plus & zero
+    return best if best <= most else None
+
+
 class Index:
     """A block of benchmark items, ready for lookup."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
         self.ids, self.codes = [], []
-        self.short: list[tuple[int, bytes]] = []
+        #: id, item, edits, and one piece more than edits, with their places
+        self.short: list[tuple[int, str, int, list[tuple[int, str]]]] = []
         for item_id, text in items:
             codes = normalise(text or "")
             if len(codes) >= _SHORT:
                 self.ids.append(item_id)
                 self.codes.append(codes)
             elif len(codes):
-                self.short.append((item_id, np.concatenate([[32], codes, [32]]).astype(np.uint32).tobytes()))
+                item, most = _string(codes), int(max_edits * len(codes))
+                size = max(1, len(item) // (most + 1))
+                self.short.append((item_id, item, most, [(k * size, item[k * size : (k + 1) * size]) for k in range(most + 1)]))
         self.small = [_small_grams(c) for c in self.codes]
         self.most = [int(max_edits * len(c)) for c in self.codes]
         self.longest = max(map(len, self.codes), default=0)
@@ -231,6 +265,22 @@ class Index:
             if edits is not None:
                 out[t][item_id] = edits
 
+    def _short_items(self, text: str, found: dict[int, int]) -> None:
+        for item_id, item, most, pieces in self.short:
+            if f" {item} " in text:
+                found[item_id] = 0
+                continue
+            starts = set()
+            for place, piece in pieces if most else ():
+                at = text.find(piece)
+                while at >= 0:
+                    starts.update(s for s in range(max(1, at - place - most), min(len(text), at - place + most + 1)) if text[s - 1] == " ")
+                    at = text.find(piece, at + 1)
+            for start in sorted(starts):
+                edits = at_words(item, text, start, min(most, found.get(item_id, most + 1) - 1))
+                if edits is not None:
+                    found[item_id] = edits
+
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """For each text, the least number of edits by item id."""
         out: list[dict[int, int]] = [{} for _ in texts]
@@ -239,13 +289,7 @@ class Index:
         for t, text in enumerate(texts):
             whole = normalise(text or "")
             if self.short and len(whole):
-                spaced = np.concatenate([[32], whole, [32]]).astype(np.uint32).tobytes()
-                for item_id, needle in self.short:
-                    at = spaced.find(needle)
-                    while at >= 0 and at % 4:
-                        at = spaced.find(needle, at + 1)
-                    if at >= 0:
-                        out[t][item_id] = 0
+                self._short_items(f" {_string(whole)} ", out[t])
             if not self.longest or not len(whole):
                 continue
             # parts of a long text overlap by more than any passage

@@ -191,6 +191,39 @@ def test_every_passage_within_the_edits_is_found(size):
     assert decontaminate.Index([(1, items[0])], max_edits=0.3).search(texts[:1])[0][1] == found[0][0]
 
 
+@pytest.mark.parametrize("size", [3, 6, 7, 13, 14, 19, 20, 27, 29])
+def test_short_items_are_found_within_the_edits(size):
+    rng = random.Random(size)
+    items = [(i[:size - 1].strip() + "qqqqqqqqq")[:size] for i in passages(20, size)]
+    index = decontaminate.Index(list(enumerate(items)))
+    most = int(0.15 * size)
+    texts = []
+    for k, item in enumerate(items):
+        c = list(item)
+        for p in sorted(rng.sample(range(1, size - 1), most), reverse=True):
+            kind = rng.randrange(3)
+            c[p : p + 1] = ["x"] if kind == 0 else [c[p], "x"] if kind == 1 else []
+        texts += [passages(1, k)[0] + ". " + "".join(c) + "? " + passages(1, k + 50)[0], "".join(c), passages(1, k)[0] + "".join(c) + "zzzzzz"]
+    for t, (text, got) in enumerate(zip(texts, index.search(texts))):
+        words = "".join(map(chr, decontaminate.normalise(text))).split(" ")
+        for i in {t // 3, *got}:
+            runs = [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, min(len(words), a + size) + 1)]
+            near = [r for r in runs if abs(len(r) - len(items[i])) <= most]
+            want = min((global_distance(items[i], r) for r in near), default=99)
+            assert got.get(i) == (want if want <= most else None), (text, items[i])
+        assert t % 3 == 2 or t // 3 in got
+
+
+def global_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_decontamination_frames(spark):
     items = passages(5, 1)
     long = " ".join(passages(3, 5))
