@@ -1,14 +1,15 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel, with Nystroem landmarks.
 
-Two strings are alike in as far as they share subsequences of three characters; an occurrence that spans k + 1
-characters counts decay^k, up to a span of GAP + 1. So "i.d.i.o.t" and "id-iot" stay close to "idiot". A string's
+Two strings are alike in as far as they share subsequences of three letters or digits; an occurrence that spans k + 1
+of them counts decay^k, up to a span of GAP + 1. Signs and spaces between do not count, so "i...d...i...o...t" and
+"id-iot" equal "idiot", and "idxiot" stays close to it. A string's
 features are divided by a norm that depends on its length. The strings compared are the words of a sentence (a run of
 single characters such as "i d i o t" is one word); a sentence scores as its highest word, a document as its highest
 sentence.
 
 Labels are those of whole documents, passed on to their sentences. A toxic document is known to have one toxic
 sentence at least, not which, so training alternates: fit, then let the highest word of each toxic document be its
-positive example. Negative examples are words of clean documents, the highest-scoring ones first. Frequent positive words also enter with characters put between theirs. Kernel values
+positive example. Negative examples are words of clean documents, the highest-scoring ones first. Kernel values
 against the landmarks, whitened by the landmarks' own kernel matrix, feed a linear hinge-loss model. That model is a
 weighted sum of landmarks' features, hence one weight per subsequence: scoring looks weights up and never compares
 strings pair by pair.
@@ -45,8 +46,8 @@ _PAD = " " * (GAP + 3)
 
 
 def _alphabet() -> np.ndarray:
-    """Number of each character: 0 for white space, 1 for what is neither letter nor digit (it fills gaps and has no
-    weight), ASCII and small Latin-1 letters and digits one each, others shared."""
+    """Number of each character: 0 for white space, 1 for what is neither letter nor digit (it is
+    passed over), ASCII and small Latin-1 letters and digits one each, others shared."""
     table = np.zeros(1 << 16, dtype=np.int32)
     own = [c for c in [*range(0x21, 0x7F), *range(0xDF, 0x100)] if chr(c).isalnum() and not chr(c).isupper()]
     for code in range(1 << 16):
@@ -80,13 +81,13 @@ _NORMS = _norms()
 def features(word: str) -> dict[int, float]:
     """Weight of each subsequence of the word, divided by the norm for its length."""
     c, out = _numbers(word.lower()), defaultdict(float)
+    c = c[c > 1]
     n = len(c)
     for i in range(n):
         for b in range(2, min(GAP, n - 1 - i) + 1):
             for a in range(1, b):
-                if min(c[i], c[i + a], c[i + b]) > 1:
-                    out[(int(c[i]) * SIZE + int(c[i + a])) * SIZE + int(c[i + b])] += DECAY**b
-    norm = _NORMS[min(int((c > 1).sum()), len(_NORMS) - 1)]
+                out[(int(c[i]) * SIZE + int(c[i + a])) * SIZE + int(c[i + b])] += DECAY**b
+    norm = _NORMS[min(n, len(_NORMS) - 1)]
     return {k: v / norm for k, v in out.items()}
 
 
@@ -155,10 +156,14 @@ class Model:
         word = np.zeros(n, dtype=np.int32)
         word[first] = 1
         word = np.cumsum(word, dtype=np.int32)
+        # letters and digits alone, each with the number of its word
+        letters = c > 1
+        c, word = c[letters], word[letters] - 1
+        n = len(c)
         total = np.zeros(n, dtype=np.float32)
         high, mid = c * (SIZE * SIZE), c * SIZE
         for b in range(2, GAP + 1):
-            m = n - b
+            m = max(0, n - b)
             part = np.zeros(m, dtype=np.float32)
             ends_here = high[:m] + c[b:]
             for a in range(1, b):
@@ -166,8 +171,8 @@ class Model:
             part *= np.float32(DECAY**b)
             part *= word[b:] == word[:m]
             total[:m] += part
-        raw = np.add.reduceat(total, first)
-        length = np.add.reduceat((c > 1).astype(np.int32), first)
+        raw = np.bincount(word, weights=total, minlength=len(first))
+        length = np.bincount(word, minlength=len(first))
         margin = raw / _NORMS[np.minimum(length, len(_NORMS) - 1)] + self.bias
         owner = np.searchsorted(ends, first, side="right")
         has = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -247,9 +252,8 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 300, negatives: int = 6000
     for _ in range(_ROUNDS):
         found = Counter(witness)
         positive = sorted(found, key=lambda w: (-found[w], w))
-        spread = [v for w in positive[: landmarks // 2] if w.isalpha() for v in (".".join(w), " ".join(w), w[: len(w) // 2] + "_" + w[len(w) // 2 :])]
-        marks = positive[: landmarks // 2] + spread[: landmarks // 6] + (hard[: landmarks // 4] + plain)[: landmarks - min(landmarks // 2, len(positive))]
-        weights, bias = _fit_words(positive + spread, plain + hard, marks, cost)
+        marks = positive[: landmarks // 2] + (hard[: landmarks // 4] + plain)[: landmarks - min(landmarks // 2, len(positive))]
+        weights, bias = _fit_words(positive, plain + hard, marks, cost)
         model = Model(weights, bias, 1.0, 0.0)
         one = lambda b: model.margins(b)
         witness = [b[int(np.argmax(one(b)))] for b in toxic]

@@ -71,6 +71,15 @@ def test_toxicity_tolerates_gaps(tox):
         assert tox.margins([text])[0] > clean, text
 
 
+@pytest.mark.parametrize("between", [".", "...", "_-_", " - ", " . ", "*" * 9, " "])
+def test_signs_between_letters_do_not_hide_a_word(tox, between):
+    for word in ("blornak", "blornaker"):
+        plain = tox.margins([word])[0]
+        assert tox.scores([word])[0] >= 0.5
+        assert tox.scores([f"bade cuda, {between.join(word)}"])[0] >= 0.5
+        assert abs(tox.margins([between.join(word)])[0] - plain) < 1e-4
+
+
 def test_toxicity_scores_do_not_depend_on_company(tox):
     texts = ["", "  ", "bade cuda", "x" * 300_000, "a b c d", "you blornak", "Éİß 漢字"] + [t for t, _ in corpus(20, 9)]
     together = tox.scores(texts)
