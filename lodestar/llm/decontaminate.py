@@ -16,7 +16,7 @@ broadcast has a bound whatever the size of the benchmark. Documents never move.
 
 Defined results: null or empty texts and items match nothing; items of fewer than 30 characters must occur
 between word boundaries, within the same share of edits; texts of any length are scanned whole, in blocks that overlap by more than the longest item;
-equal rows get equal results; items that repeat an id are all compared; empty tables give empty results; other columns
+equal rows get equal results; items that repeat an id, or have none, are all compared and reported by it; empty tables give empty results; other columns
 are kept by the filter.
 """
 
@@ -315,8 +315,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[list[tuple[int
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         block = sorted({(r.item_id, r.text) for r in mine.collect()}, key=lambda x: (x[0] is None, x))
         if block:
-            out.append([(i, t) for i, t in block if i is not None])
-    return [b for b in out if b]
+            out.append(block)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, most: int = BLOCK_CHARS) -> DataFrame:
@@ -334,7 +334,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     ids = part.column("doc_id").to_pylist()
-                    found = [(d, i, e, 1 - e / sizes.value[i]) for d, hits in zip(ids, sent.value.search(part.column("text").to_pylist())) for i, e in sorted(hits.items())]
+                    found = [(d, i, e, 1 - e / sizes.value[i]) for d, hits in zip(ids, sent.value.search(part.column("text").to_pylist())) for i, e in sorted(hits.items(), key=lambda x: (x[0] is None, x[0] or 0))]
                     cols = list(zip(*found)) or [[], [], [], []]
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "edits", "similarity"])
 

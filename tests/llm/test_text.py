@@ -247,6 +247,16 @@ def test_decontamination_frames(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_count(spark):
+    items = passages(3, 1)
+    docs = spark.createDataFrame([(1, "see " + items[0]), (2, items[1] + " " + items[0]), (3, passages(1, 8)[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, items[0]), (5, items[1]), (None, items[2])], "item_id long, text string")
+    for most in (20_000_000, 100):
+        got = [tuple(r) for r in decontaminate.contaminated(docs, bench, most=most).select("doc_id", "item_id", "edits").collect()]
+        assert sorted(got, key=str) == sorted([(1, None, 0), (2, None, 0), (2, 5, 0)], key=str)
+        assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, most=most).collect()] == [3]
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
