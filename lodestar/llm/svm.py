@@ -78,6 +78,24 @@ def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 1e-6), float(theta[1])
 
 
+def fit_logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.1, weight: float = 1.0) -> np.ndarray:
+    """Intercept and weights of a logistic regression with smoothed targets, by Newton's method. weight: that of a row
+    whose label is true."""
+    pos, neg = int(label.sum()), int((~label).sum())
+    target = np.where(label, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    design = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    each = np.where(label, weight, 1.0)
+    theta, prior = np.zeros(design.shape[1]), ridge * np.eye(design.shape[1])
+    prior[0, 0] = 1e-3
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -35, 35)))
+        step = np.linalg.solve((design * (each * p * (1 - p) + 1e-9)[:, None]).T @ design + prior, design.T @ (each * (p - target)) + prior @ theta)
+        theta -= step if np.abs(step).max() < 5 else step * 5 / np.abs(step).max()
+        if np.abs(step).max() < 1e-8:
+            break
+    return theta
+
+
 def probability(margin: np.ndarray, a: float, c: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * margin + c, -35, 35)))
 

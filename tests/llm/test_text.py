@@ -1,5 +1,7 @@
 import os
 import random
+from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -65,35 +67,89 @@ def test_toxicity_held_out(tox):
     assert (got == want).mean() > 0.95
 
 
-def test_toxicity_tolerates_gaps(tox):
-    clean = float(tox.margins(["bade cuda filo"])[0])
-    for text in ("you bl-ornak", "you b.l.o.r.n.a.k there", "ve_shti", "b l o r n a k"):
-        assert tox.margins([text])[0] > clean, text
-
-
-@pytest.mark.parametrize("between", [".", "...", "_-_", " - ", " . ", "*" * 9, " "])
+@pytest.mark.parametrize("between", [".", "...", "_-_", " - ", " . ", "*" * 9, " ", ". ", "«"])
 def test_signs_between_letters_do_not_hide_a_word(tox, between):
     for word in ("blornak", "blornaker"):
-        plain = tox.margins([word])[0]
-        assert tox.scores([word])[0] >= 0.5
-        assert tox.scores([f"bade cuda, {between.join(word)}"])[0] >= 0.5
-        assert abs(tox.margins([between.join(word)])[0] - plain) < 1e-4
+        assert tox.scores([f"bade cuda {word} filo."])[0] >= 0.5
+        assert tox.scores([f"bade cuda, {between.join(word)} filo."])[0] >= 0.5
+
+
+@pytest.mark.parametrize("insult", INSULTS)
+def test_one_sign_space_or_letter_inside(tox, insult):
+    for at in range(2, len(insult) - 1):
+        for inside in ("-", ".", "*", " "):
+            assert tox.scores([f"bade cuda {insult[:at]}{inside}{insult[at:]} filo."])[0] >= 0.5, (at, inside)
+    assert tox.scores([f"bade cuda {insult[:4]}x{insult[4:]} filo."])[0] >= 0.5
+    assert tox.scores(["bade cuda filo."])[0] < 0.5
 
 
 def test_toxicity_scores_do_not_depend_on_company(tox):
-    texts = ["", "  ", "bade cuda", "x" * 300_000, "a b c d", "you blornak", "Éİß 漢字"] + [t for t, _ in corpus(20, 9)]
+    texts = ["", "  ", "bade cuda", "x" * 300_000, "a b c d", "you blornak", "Éİß 漢字", "...", "\n\n", "i. o. u. bade"] + [t for t, _ in corpus(20, 9)]
     together = tox.scores(texts)
-    assert np.allclose(together, [tox.scores([t])[0] for t in texts], atol=1e-6)
+    assert together.tolist() == [tox.scores([t])[0] for t in texts]
     assert together[0] == together[1] < 0.5
     long = "bade cuda filo. " * 200_000 + "you blornak"
     assert tox.scores([long])[0] > 0.5
-
-
-def test_margin_equals_the_kernel_expansion(tox):
-    """Scoring by table equals the sum over a word's own features."""
-    for word in ("blornaker", "bade", "id-iot", "aaa"):
-        want = sum(v * tox.weights[u] for u, v in toxicity.features(word).items()) + tox.bias
-        assert abs(tox.margins([word])[0] - want) < 1e-4
+    assert tox.scores(["you blornak. " * 3])[0] == tox.scores(["you blornak."])[0]
+
+
+def test_scores_do_not_depend_on_the_vocabularys_room(tox, monkeypatch):
+    texts = [t for t, _ in corpus(60, 10)]
+    want = tox.scores(texts)
+    monkeypatch.setattr(toxicity, "_KEEP", 40)
+    monkeypatch.setattr(toxicity, "_TOGETHER", 200)
+    assert (tox.scores(texts[::-1])[::-1] == want).all()
+
+
+def plain_kernel(a, b):
+    """Gap-weighted subsequences of two words, one by one."""
+    def count(w):
+        w, out = f"\x01{w}\x03", defaultdict(float)
+        for order in toxicity.ORDERS:
+            for places in combinations(range(len(w)), order):
+                if places[-1] - places[0] < toxicity.SPAN:
+                    out["".join(w[p] for p in places)] += toxicity.DECAY ** (places[-1] - places[0])
+        norm = sum(max(0, len(w) - q[-1]) * v * v for q, v in toxicity._OFFSETS) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+    x, y = count(a), count(b)
+    return sum(v * y.get(k, 0.0) for k, v in x.items())
+
+
+def test_features_give_the_kernel():
+    words = ["blornak", "blorxnak", "bade", "aaaa", "no", "漢字かな"]
+    row, sub, value = toxicity.features(words)
+    full = np.zeros((len(words), toxicity._TABLE), dtype=np.float32)
+    full[row, sub] = value
+    want = [[plain_kernel(a, b) for b in words] for a in words]
+    assert np.allclose(full @ full.T, want, atol=1e-4)
+
+
+def test_margins_against_brute_force(tox):
+    """Highest margin, numbers and shares of a text, from the windows and the words' own features."""
+    table = np.zeros(toxicity._TABLE)
+    table[tox.subs] = tox.weights
+
+    def worth(word):
+        _, sub, value = toxicity.features([toxicity.letters(word)])
+        return float(table[sub] @ value) if len(sub) else 0.0
+
+    for text in [t for t, _ in corpus(30, 12)] + ["bade bade cuda. bade bade cuda.", "one b l o r n a k two", "blo rnak", ""]:
+        margins, words = [], set()
+        for w in toxicity.windows(text):
+            total = sum(worth(x) for x in set(w))
+            words |= set(w)
+            for a, b in zip(w, w[1:]):
+                extra = worth(a + b) - max(0, worth(a)) - max(0, worth(b)) if a[:2] in tox.begins else 0
+                total += max(0, extra)
+                if extra + tox.bias > 0:
+                    words.add(a + b + " joined")
+            margins.append(total / len(set(w)) ** 0.5 + tox.bias)
+        said = sum(w.endswith(" joined") or worth(w) + tox.bias > 0 for w in words)
+        plain = sum(not w.endswith(" joined") for w in words)
+        hits = sum(m > 0 for m in margins)
+        top = [min(max(m, -1.5), 1.5) for m in sorted(margins)[::-1][:3]]
+        want = [*top, *[-1.5] * (3 - len(top)), np.log1p(hits), (hits / max(1, len(margins))) ** 0.5, np.log1p(len(margins)), np.log1p(said), (said / max(1, plain)) ** 0.5]
+        assert np.allclose(tox.shapes([text])[0], want, atol=1e-3), text
 
 
 def test_training_without_both_classes():
