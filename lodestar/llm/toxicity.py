@@ -27,6 +27,7 @@ results; other columns are kept by the filter and ignored by the scorer.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 from itertools import combinations, repeat
 from zlib import crc32
@@ -58,8 +59,10 @@ _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) for k in range(WINDOW)]
 _SHAPE = 8
 #: Evidence from which a word makes a first witness.
 _SURE = 10.0
+#: Symbols of a run that is counted as evidence.
+_GRAM = 5
 #: Texts are read together up to this many characters.
-_TOGETHER = 1 << 21
+_TOGETHER = 1 << 20
 #: ASCII signs: those that end sentences, and the others.
 _ENDS = b".!?"
 _INNER = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _ENDS)
@@ -175,6 +178,19 @@ def _different(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def _contributions(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Sum of a table's weights over each word's normalised features."""
+    out = [np.zeros(0)]
+    for at in range(0, len(words), 4096):
+        part = words[at : at + 4096]
+        found, owner = _subsequences(part)
+        total = np.zeros(len(owner))
+        for places, number, weight in found:
+            total[places] += table[number] * weight
+        out.append(np.bincount(owner, weights=total, minlength=len(part)) / _norms(part))
+    return np.concatenate(out)
+
+
 class _Vocabulary:
     """Number, contribution and hash of each word, learnt when first met; word 0 ends a sentence."""
 
@@ -196,16 +212,9 @@ class _Vocabulary:
             new = sorted(words - {_STOP_WORD})
         if not new:
             return
-        values = []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found, owner = _subsequences(part)
-            total = np.zeros(len(owner))
-            for places, number, weight in found:
-                total[places] += self.table[number] * weight
-            values.append(np.bincount(owner, weights=total, minlength=len(part)) / _norms(part))
+        values = _contributions(new, self.table)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.value = np.concatenate([self.value, np.rint(np.concatenate(values) / _UNIT).astype(np.int64)])
+        self.value = np.concatenate([self.value, np.rint(values / _UNIT).astype(np.int64)])
         self.hash = np.concatenate([self.hash, np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in new], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)])
         self.leads = np.concatenate([self.leads, np.array([w[:2] in self.begins for w in new], dtype=bool)])
 
@@ -327,32 +336,27 @@ class Model:
 
 
 class _Corpus:
-    """Training documents as numbers of words, by window and document, and the features of all the words."""
+    """Training documents as numbers of words, by window and document."""
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        word, window, doc = [], [0], [0]
+        word, window, doc = array("i"), array("i", [0]), array("i")
         for t in texts:
             for w in windows(t):
                 own = sorted({number.setdefault(x, len(number)) for x in map(letters, w) if x})
                 if own:
-                    word += own
+                    word.extend(own)
                     window.append(len(word))
             doc.append(len(window) - 1)
         self.names = list(number)
-        self.word, self.window, self.doc = np.array(word, dtype=np.int64), np.array(window, dtype=np.int64), np.array(doc, dtype=np.int64)
+        self.word, self.window, self.doc = np.array(word, dtype=np.int32), np.array(window, dtype=np.int64), np.array([0, *doc], dtype=np.int64)
         self.grams = _grams(self.names)
-        parts = [features(self.names[at : at + 8192]) for at in range(0, len(self.names), 8192)]
-        self.row = np.concatenate([r + at * 8192 for at, (r, _, _) in enumerate(parts)]).astype(np.int32) if parts else np.zeros(0, np.int32)
-        self.sub = np.concatenate([s for _, s, _ in parts]) if parts else np.zeros(0, np.int32)
-        self.value = np.concatenate([v for _, _, v in parts]) if parts else np.zeros(0, np.float32)
-        self.first = np.searchsorted(self.row, np.arange(len(self.names) + 1))
 
     def worth(self, model: Model) -> np.ndarray:
         """Contribution of every word."""
         table = np.zeros(_TABLE, dtype=np.float32)
         table[model.subs] = model.weights
-        return np.bincount(self.row, weights=table[self.sub] * self.value, minlength=len(self.names))
+        return _contributions(self.names, table)
 
     def window_sums(self, value: np.ndarray) -> np.ndarray:
         return np.add.reduceat(value[self.word], self.window[:-1]) / np.sqrt(np.diff(self.window))
@@ -368,22 +372,24 @@ def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _grams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, gram): the runs of 5 symbols of each word between its marks; the whole of a shorter one."""
-    number: dict[str, int] = {}
-    word, gram = [], []
-    for k, name in enumerate(names):
-        marked = f"\x01{name}\x02"
-        for g in {marked[i : i + 5] for i in range(max(1, len(marked) - 4))}:
-            word.append(k)
-            gram.append(number.setdefault(g, len(number)))
-    return np.array(word, dtype=np.int64), np.array(gram, dtype=np.int64)
+    """(word, gram): the runs of 5 symbols of each word between its marks, as numbers; the whole of a shorter one."""
+    line = "".join(f"\x01{name}\x03".ljust(_GRAM, "\x04") for name in names)
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.cumsum(codes == 1, dtype=np.int32) - 1
+    at = np.flatnonzero(owner[: 1 - _GRAM] == owner[_GRAM - 1 :]) if len(owner) else np.zeros(0, np.int64)
+    h = np.zeros(len(at), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(_GRAM):
+            h = (h ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return owner[at], (h & np.uint64(_TABLE - 1)).astype(np.int32)
 
 
 def _evidence(corpus: _Corpus, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """For each word, how surely one of its runs of symbols is in more toxic documents of `rows` than chance would have it."""
     word, gram = corpus.grams
     first = np.searchsorted(word, np.arange(len(corpus.names) + 1))
-    counts = np.zeros((2, int(gram.max(initial=-1)) + 1))
+    counts = np.zeros((2, _TABLE), dtype=np.float32)
     for d in rows.tolist():
         a, b = corpus.window[corpus.doc[d]], corpus.window[corpus.doc[d + 1]]
         own = np.unique(corpus.word[a:b])
@@ -420,10 +426,10 @@ def _machines(corpus: _Corpus, toxic: np.ndarray, rows: np.ndarray, costs: tuple
         carries = np.maximum(worth, 0.0)
         marks = [common, *(np.argsort(-np.bincount(corpus.words_of(w), minlength=len(corpus.names)) * carries, kind="stable")[: landmarks // n] for w, n in ((positive, 2), (hard, 4)) if len(w))]
         marks = np.unique(np.concatenate(marks))
-        at = _spans(corpus.first[marks], corpus.first[marks + 1])
-        columns, place = np.unique(corpus.sub[at], return_inverse=True)
+        row, sub, value = features([corpus.names[k] for k in marks.tolist()])
+        columns, place = np.unique(sub, return_inverse=True)
         phi = np.zeros((len(marks), len(columns)), dtype=np.float32)
-        phi[np.searchsorted(marks, corpus.row[at]), place] = corpus.value[at]
+        phi[row, place] = value
         scale, vector = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         good = scale > 1e-3 * scale.max()
         project = (phi.T @ (vector[:, good] / np.sqrt(scale[good])).astype(np.float32)).astype(np.float32)
@@ -449,16 +455,19 @@ def _window_vectors(corpus: _Corpus, chosen: np.ndarray, columns: np.ndarray, pr
     column = np.full(_TABLE, -1, dtype=np.int32)
     column[columns] = np.arange(len(columns))
     out = np.zeros((len(chosen), project.shape[1]), dtype=np.float32)
-    for at in range(0, len(chosen), 256):
-        part = chosen[at : at + 256]
+    for at in range(0, len(chosen), 128):
+        part = chosen[at : at + 128]
         sizes = corpus.window[part + 1] - corpus.window[part]
-        words = corpus.words_of(part)
-        entries = _spans(corpus.first[words], corpus.first[words + 1])
-        row = np.repeat(np.repeat(np.arange(len(part)), sizes), corpus.first[words + 1] - corpus.first[words])
-        k = column[corpus.sub[entries]]
-        hit = np.flatnonzero(k >= 0)
-        cells = np.bincount(row[hit] * len(columns) + k[hit], weights=corpus.value[entries[hit]], minlength=len(part) * len(columns))
-        out[at : at + 256] = (cells.reshape(len(part), -1).astype(np.float32) @ project) / np.sqrt(sizes)[:, None]
+        own, word = np.unique(corpus.words_of(part), return_inverse=True)
+        row, sub, value = features([corpus.names[k] for k in own.tolist()])
+        k = column[sub]
+        hit = k >= 0
+        row, k, value = row[hit], k[hit], value[hit]
+        first = np.searchsorted(row, np.arange(len(own) + 1))
+        entries = _spans(first[word], first[word + 1])
+        window = np.repeat(np.repeat(np.arange(len(part)), sizes), first[word + 1] - first[word])
+        cells = np.bincount(window * len(columns) + k[entries], weights=value[entries], minlength=len(part) * len(columns))
+        out[at : at + 128] = (cells.reshape(len(part), -1).astype(np.float32) @ project) / np.sqrt(sizes)[:, None]
     return out
 
 
