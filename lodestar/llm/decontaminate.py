@@ -11,28 +11,33 @@ of an item meet as it must keep, the text around is verified by exact edit dista
 5-grams (all of them, at every character) occur there for so few edits. Items that could lose all their pieces, which
 takes a larger `max_edits`, are verified against the whole text.
 
-The benchmark travels to the executors in blocks of at most BLOCK_CHARS characters, one pass for each block, so what is
-broadcast has a bound whatever the size of the benchmark. Documents never move.
+The method named for this operator, a random-walk embedding of edit into Hamming distance with bit-sampling LSH, cannot
+give these results at this cost; the README has the figures.
+
+The benchmark travels to the executors in blocks of at most BLOCK_CHARS characters, one pass for each block; where there
+are several, a block's results are written before the next one is read, so what the driver holds and what is broadcast
+has a bound whatever the size of the benchmark. Documents never move.
 
 Defined results: null or empty texts and items match nothing; items of fewer than 30 characters must occur
 between word boundaries, within the same share of edits; texts of any length are scanned whole, in blocks that overlap by more than the longest item;
-equal rows get equal results; items that repeat an id, or have none, are all compared and reported by it; empty tables give empty results; other columns
-are kept by the filter.
+equal rows get equal results; items that repeat an id, or have none, are all compared, and the id is reported once, with
+the closest of them; empty tables give empty results; other columns are kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_column
+from lodestar.llm.common import materialise, text_column
 
 MAX_EDITS = 0.15
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 4_000_000
 _SHORT = 30
 #: One edit spoils at most this many runs of as many characters, and one of them where they lie side by side.
 _PIECE = 5
@@ -78,15 +83,6 @@ def _string(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _small_grams(codes: np.ndarray) -> list[int]:
-    """Number of each run of 5 characters."""
-    out = np.zeros(max(0, len(codes) - _PIECE + 1), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(_PIECE):
-            out = out * _BASE + codes[k : k + len(out)]
-    return out.tolist()
-
-
 def within(item: np.ndarray, text: np.ndarray, most: int) -> int | None:
     """Least edit distance of item to any part of text, if at most `most`; bit-parallel, one step per character."""
     m = len(item)
@@ -144,19 +140,21 @@ class Index:
     """A block of benchmark items, ready for lookup."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
-        self.ids, self.codes = [], []
-        #: id, item, edits, and one piece more than edits, with their places
+        #: id and length of each item
+        self.items: list[tuple[int | None, int]] = []
+        self.number, self.codes = [], []
+        #: number, item, edits, and one piece more than edits, with their places
         self.short: list[tuple[int, str, int, list[tuple[int, str]]]] = []
-        for item_id, text in items:
+        for number, (item_id, text) in enumerate(items):
             codes = normalise(text or "")
+            self.items.append((item_id, len(codes)))
             if len(codes) >= _SHORT:
-                self.ids.append(item_id)
+                self.number.append(number)
                 self.codes.append(codes)
             elif len(codes):
                 item, most = _string(codes), int(max_edits * len(codes))
                 size = max(1, len(item) // (most + 1))
-                self.short.append((item_id, item, most, [(k * size, item[k * size : (k + 1) * size]) for k in range(most + 1)]))
-        self.small = [_small_grams(c) for c in self.codes]
+                self.short.append((number, item, most, [(k * size, item[k * size : (k + 1) * size]) for k in range(most + 1)]))
         self.most = [int(max_edits * len(c)) for c in self.codes]
         self.longest = max(map(len, self.codes), default=0)
         #: pieces that a passage must keep of an item
@@ -165,6 +163,7 @@ class Index:
         seeded = [i for i, k in enumerate(keep) if k >= 1]
         # the commonest pieces of an item go, each with one of those it must keep, while a share of the latter is left
         whole = [_grams(c) for c in self.codes]
+        self.runs = whole
         known, often = np.unique(np.concatenate(whole), return_counts=True) if whole else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         grams, places = [], []
         for i in seeded:
@@ -251,24 +250,40 @@ class Index:
         """Put the least numbers of edits into out, for texts and the parts of them in pieces."""
         places = self._places([codes for _, codes in pieces]) if len(self.grams) else []
         places += [(p, i, 0, len(codes)) for p, (_, codes) in enumerate(pieces) for i in self.anywhere]
+        runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for p, i, low, high in places:
             t, codes = pieces[p]
-            item_id, most = self.ids[i], self.most[i]
-            bound = min(most, out[t].get(item_id, most + 1) - 1)
+            item, most = self.number[i], self.most[i]
+            bound = min(most, out[t].get(item, most + 1) - 1)
             if bound < 0:
                 continue
-            part = codes[max(0, low - most) : max(0, high + len(self.codes[i]) + most)]
-            wanted = len(self.small[i]) - _PIECE * bound
-            if wanted > 0 and sum(map(set(_small_grams(part)).__contains__, self.small[i])) < wanted:
-                continue
-            edits = within(self.codes[i], part, bound)
+            start, end = max(0, low - most), max(0, high + len(self.codes[i]) + most)
+            wanted = len(self.runs[i]) - _PIECE * bound
+            if wanted > 0:
+                if p not in runs:
+                    found = _grams(codes)
+                    order = np.argsort(found, kind="stable")
+                    runs[p] = found[order], order
+                found, order = runs[p]
+                # how many of the item's runs occur in the part
+                first, last = np.searchsorted(found, self.runs[i], "left"), np.searchsorted(found, self.runs[i], "right")
+                has = 0
+                for a, b in zip(first.tolist(), last.tolist()):
+                    if b - a == 1:
+                        has += start <= order[a] < end
+                    elif b > a:
+                        k = a + int(np.searchsorted(order[a:b], start))
+                        has += k < b and order[k] < end
+                if has < wanted:
+                    continue
+            edits = within(self.codes[i], codes[start:end], bound)
             if edits is not None:
-                out[t][item_id] = edits
+                out[t][item] = edits
 
     def _short_items(self, text: str, found: dict[int, int]) -> None:
-        for item_id, item, most, pieces in self.short:
+        for number, item, most, pieces in self.short:
             if f" {item} " in text:
-                found[item_id] = 0
+                found[number] = 0
                 continue
             starts = set()
             for place, piece in pieces if most else ():
@@ -277,12 +292,12 @@ class Index:
                     starts.update(s for s in range(max(1, at - place - most), min(len(text), at - place + most + 1)) if text[s - 1] == " ")
                     at = text.find(piece, at + 1)
             for start in sorted(starts):
-                edits = at_words(item, text, start, min(most, found.get(item_id, most + 1) - 1))
+                edits = at_words(item, text, start, min(most, found.get(number, most + 1) - 1))
                 if edits is not None:
-                    found[item_id] = edits
+                    found[number] = edits
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
-        """For each text, the least number of edits by item id."""
+        """For each text, the least number of edits by item, as the item's place in the list."""
         out: list[dict[int, int]] = [{} for _ in texts]
         pieces: list[tuple[int, np.ndarray]] = []
         held = 0
@@ -305,51 +320,58 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most `most` characters (one item at least), read block by block."""
+    def report(self, hits: dict[int, int]) -> list[tuple[int | None, int, float]]:
+        """(item id, edits, similarity) of one text's hits, the closest item of each id, in the order of ids."""
+        best: dict[int | None, tuple[float, int]] = {}
+        for k, edits in hits.items():
+            item_id, size = self.items[k]
+            best[item_id] = max(best.get(item_id, (-1.0, 0)), (1 - edits / size, -edits))
+        return [(i, -edits, similarity) for i, (similarity, edits) in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Items in blocks of at most about `most` characters (items of one id stay together), each read when it is asked for,
+    and whether there are several."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_column(benchmark).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(total // most) + 1
-    out = []
+    key = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
     for k in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        block = sorted({(r.item_id, r.text) for r in mine.collect()}, key=lambda x: (x[0] is None, x))
+        block = sorted({(r.item_id, r.text) for r in items.where(F.pmod(key, F.lit(parts)) == k).collect()}, key=lambda x: (x[0] is None, x))
         if block:
-            out.append(block)
-    return out
+            yield block, parts > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, most: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits, similarity (1 - edits / length of the normalised item) for each document and item that
     it contains."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     out = None
     schema = "doc_id long, item_id long, edits long, similarity double"
-    for block in blocks(benchmark, most):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(block, max_edits))
-        sizes = docs.sparkSession.sparkContext.broadcast(_sizes(block))
+    for block, several in blocks(benchmark, most):
+        sent = spark.sparkContext.broadcast(Index(block, max_edits))
 
-        def run(batches, sent=sent, sizes=sizes):
+        def run(batches, sent=sent):
+            index = sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    ids = part.column("doc_id").to_pylist()
-                    found = [(d, i, e, 1 - e / sizes.value[i]) for d, hits in zip(ids, sent.value.search(part.column("text").to_pylist())) for i, e in sorted(hits.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+                    found = [(d, *hit) for d, hits in zip(part.column("doc_id").to_pylist(), index.search(part.column("text").to_pylist())) for hit in index.report(hits)]
                     cols = list(zip(*found)) or [[], [], [], []]
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "edits", "similarity"])
 
         part = rows.mapInArrow(run, schema)
+        if several:
+            part = materialise(part, "contaminated")
+            sent.destroy()
         out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def _sizes(block: list[tuple[int, str]]) -> dict[int, int]:
-    return {i: max(1, len(normalise(t or ""))) for i, t in block}
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, most: int = BLOCK_CHARS) -> DataFrame:
     """docs without contaminated rows; all columns stay. One pass for each block of the benchmark, nothing is shuffled."""
-    for block in blocks(benchmark, most):
+    for block, several in blocks(benchmark, most):
         sent = docs.sparkSession.sparkContext.broadcast(Index(block, max_edits))
 
         def run(batches, sent=sent):
@@ -359,4 +381,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
                     yield part.filter(pa.array([not hits for hits in sent.value.search(part.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = materialise(docs, "clean")
+            sent.destroy()
     return docs

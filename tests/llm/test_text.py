@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -253,7 +254,7 @@ def test_every_passage_within_the_edits_is_found(size):
         for i in {k, (k + 1) % len(items), *got}:
             assert got.get(i) == decontaminate.within(decontaminate.normalise(items[i]), plain, most), (k, i)
         assert k in got and index.search([text]) == [got]
-    assert decontaminate.Index([(1, items[0])], max_edits=0.3).search(texts[:1])[0][1] == found[0][0]
+    assert decontaminate.Index([(1, items[0])], max_edits=0.3).search(texts[:1])[0][0] == found[0][0]
 
 
 @pytest.mark.parametrize("size", [3, 6, 7, 13, 14, 19, 20, 27, 29])
@@ -303,6 +304,53 @@ def test_decontamination_frames(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.08, 0.15])
+def test_exhaustive_comparison(spark, rate):
+    """Every document against every item, lengths from 10 to 400, passages at the start, inside and at the end."""
+    rng = random.Random(int(rate * 100))
+    words = " ".join(passages(40, 77)).split()
+    items = [" ".join(words[rng.randrange(200) :])[: n].strip() for n in (10, 14, 20, 26, 29, 30, 34, 40, 48, 60, 80, 120, 200, 400)]
+    texts = []
+    for k, item in enumerate(items):
+        c = list(item)
+        for p in sorted(rng.sample(range(len(c)), int(rate * len(c))), reverse=True):
+            c[p : p + 1] = [["z"], [c[p], "z"], []][rng.randrange(3)]
+        filler = " ".join(rng.choices(["vov", "wuw", "xyx", "kik"], k=30))
+        texts.append([filler + " " + "".join(c), "".join(c) + " " + filler, filler + " " + "".join(c) + " " + filler][k % 3])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.similarity) for r in decontaminate.contaminated(docs, bench).collect()}
+    for d, text in enumerate(texts):
+        plain = decontaminate.normalise(text)
+        for i, item in enumerate(items):
+            code = decontaminate.normalise(item)
+            if len(code) >= 30:
+                want = plain_distance(item.lower(), "".join(map(chr, plain)))
+                assert (got[d, i][0] if (d, i) in got else None) == (want if want <= int(0.15 * len(code)) else None), (d, i)
+                assert (d, i) not in got or got[d, i][1] == 1 - want / len(code)
+
+
+def test_shared_openings_cost_little():
+    """Items from one template: a text that holds the opening alone is compared by counts, not item by item at length."""
+    opening = "which of the following best describes the reason that "
+    items = [(k, opening + p) for k, p in enumerate(passages(800, 5))]
+    index = decontaminate.Index(items)
+    texts = [f"{passages(1, k)[0]} {opening} nothing at all happens here {k}" for k in range(8)] + [items[17][1]]
+    began = time.time()
+    found = index.search(texts)
+    assert time.time() - began < 20
+    assert not any(found[:8]) and found[8] == {17: 0}
+
+
+def test_repeated_ids_use_their_own_lengths(spark):
+    short, long = passages(2, 3)
+    long = long + " " + " ".join(passages(8, 4))
+    bench = spark.createDataFrame([(1, short), (1, long), (1, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, long[:40] + "z" + long[41:]), (8, short + "x " + long)], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.edits, r.similarity) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {7: (1, 1, 1 - 1 / len(long)), 8: (1, 0, 1.0)}
+
+
 def test_items_without_an_id_count(spark):
     items = passages(3, 1)
     docs = spark.createDataFrame([(1, "see " + items[0]), (2, items[1] + " " + items[0]), (3, passages(1, 8)[0])], "doc_id long, text string")
