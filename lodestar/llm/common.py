@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests on one
     machine) a local folder is chosen."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(found)
@@ -34,6 +36,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many ids are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: A key with more rows is spread over several tasks.
+HOT_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is written and counted to be small; its rows must be short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column, written, no repeats; a null there is an id). Texts stay
+    where they are if the ids are few enough to broadcast; else they are shuffled by id once."""
+    gone = small(ids.select(ids[0].alias("__gone"), F.lit(True).alias("__is")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], size: str, by: Column, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column __salt to join on as well: a key whose `size` (number of rows in left, a column of right)
+    is above `hot` is spread over size / hot tasks by the hash of `by`. At most rows / hot keys are that large; their
+    hashes are a table of that size, broadcast while it is small."""
+    hot = hot or HOT_ROWS
+    key = F.xxhash64(*on)
+    large = right.where(F.col(size) > hot).groupBy(key.alias("__key")).agg(F.max(F.ceil(F.col(size) / hot)).cast("long").alias("__salts"))
+    large = small(materialise(large, "hot"))
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    a = left.withColumn("__key", key).join(large, "__key", "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts)).drop("__key", "__salts")
+    b = right.withColumn("__key", key).join(large, "__key", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__key", "__salts")
+    return a, b
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

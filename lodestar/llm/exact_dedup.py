@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_batches, materialise, text_column
+from lodestar.llm.common import map_batches, materialise, small, spread, text_column, without
 
 CHUNK_BITS = 12
 MAX_CHUNK = 1 << 16
-SALTS = 16
 _WINDOW = 32
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), dtype=np.uint32)
 
@@ -111,6 +110,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16, bits: int = CHUNK_BITS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     # a table of its own, so that its size is known and texts stay where they are if it is small
     wanted = materialise(found.where(F.col("group_size") > 1).select("doc_id").distinct(), "candidates")
+    wanted = small(wanted)
     contents = _chunk_contents(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi"), digest_bytes, bits)
     clashes = contents.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("digest")
     clashes = materialise(clashes, "clashes")
@@ -120,11 +120,11 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16, bits: int = CHUNK_BITS)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 by equal recipes. A group of any size is spread over SALTS tasks
-    after its partial aggregates have met; only groups of several rows, which are few and short, are repeated."""
+    """doc_id, keep_id, group_size, kept, text_sha256 by equal recipes. A large group is spread over as many tasks as its
+    size asks for, after its partial aggregates have met."""
     best = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALTS))).join(best, ["recipe", "salt"], "left")
+    left, right = spread(rows, materialise(best, "copies"), ["recipe"], "group_size", F.col("row_no"))
+    joined = left.join(right, ["recipe", "__salt"], "left")
     own = F.col("best").isNull()
     return joined.select(
         "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -133,10 +133,10 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _with_long_identifiers(docs: DataFrame, rows: DataFrame, clashes: DataFrame, digest_bytes: int, bits: int) -> DataFrame:
-    """rows with every clashing digest in a recipe replaced by digest and SHA-512 of the chunk. Only rows that have
-    such a digest are read again."""
-    entries = rows.select("row_no", F.explode("recipe").alias("digest")).join(clashes, "digest", "left_semi")
-    hit = entries.groupBy("row_no").agg(F.collect_set("digest").alias("bad"))
+    """rows with every clashing digest in a recipe replaced by digest and SHA-512 of the chunk. Only texts that have
+    such a digest are read again, each different one once."""
+    entries = rows.select("text_sha256", F.explode("recipe").alias("digest")).join(clashes, "digest", "left_semi")
+    hit = entries.groupBy("text_sha256").agg(F.collect_set("digest").alias("bad"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -146,26 +146,26 @@ def _with_long_identifiers(docs: DataFrame, rows: DataFrame, clashes: DataFrame,
                 d = _digest(c, digest_bytes)
                 ids.append(d + hashlib.sha512(c).digest() if d in bad else d)
             out.append(ids)
-        return pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array(out, pa.list_(pa.binary()))], names=["row_no", "longer"])
+        return pa.RecordBatch.from_arrays([batch.column("text_sha256"), pa.array(out, pa.list_(pa.binary()))], names=["text_sha256", "longer"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), text_column(docs).alias("text"))
-    longer = map_batches(texts.join(hit, "row_no"), make, "row_no long, longer array<binary>")
-    return rows.join(longer, "row_no", "left").select("doc_id", "row_no", "text_sha256", F.coalesce("longer", "recipe").alias("recipe"))
+    texts = docs.select(F.sha2(text_column(docs), 256).alias("text_sha256"), text_column(docs).alias("text"))
+    texts = texts.join(hit, "text_sha256").groupBy("text_sha256").agg(F.min("text").alias("text"), F.first("bad").alias("bad"))
+    longer = map_batches(texts, make, "text_sha256 string, longer array<binary>")
+    return rows.join(longer, "text_sha256", "left").select("doc_id", "row_no", "text_sha256", F.coalesce("longer", "recipe").alias("recipe"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay."""
+    """docs without the rows that exact_dedup() drops; all columns stay. Rows go by id, and texts do not move while the
+    ids that go are few enough to broadcast. Only rows of an id that has kept and dropped rows are told apart by text."""
     found = materialise(exact_dedup(docs), "exact")
-    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).withColumn("__n", F.lit(1))
-    sha = F.sha2(text_column(docs), 256)
-    out = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (sha == stay["__sha"]), "left_semi")
-    again = found.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if again.isEmpty():
-        return out
-    # rows that repeat id and text: one of each stays
-    key = F.struct(out["doc_id"].cast("long").alias("a"), F.sha2(text_column(out), 256).alias("b"))
-    twice = again.select(F.struct(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b")).alias("__key"))
-    keyed = out.withColumn("__key", key)
-    return (
-        keyed.join(twice, "__key", "left_anti").unionByName(keyed.join(twice, "__key", "left_semi").dropDuplicates(["__key"])).drop("__key")
-    )
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("kept"))
+    gone = materialise(ids.where("kept = 0").select("doc_id"), "dropped")
+    mixed = materialise(ids.where("kept > 0 and kept < n").select("doc_id"), "mixed")
+    if mixed.isEmpty():
+        return without(docs, gone)
+    some = small(mixed.select(F.col("doc_id").alias("__id")))
+    some = docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["__id"]), "left_semi")
+    some = some.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("a"), F.sha2(text_column(some), 256).alias("b")))
+    stay = found.where("kept").select(F.struct(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b")).alias("__key"))
+    some = some.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return without(without(docs, gone), mixed).unionByName(some)

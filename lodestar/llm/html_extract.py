@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_column
+from lodestar.llm.common import materialise, spread, text_column
 from lodestar.llm.url_filter import host_of
 
-SALTS = 32
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Fixed values of HTML: elements by how they nest.
@@ -318,7 +317,7 @@ def _main_text(page: Page, winner: str | None) -> str:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, winner. Votes are added up within a batch, then per host and path, so a host of any size is a few rows."""
+    """host, winner, pages (their number). Votes are added up within a batch, then per host and path, so a host of any size is a few rows."""
 
     def run(batches):
         for batch in batches:
@@ -326,20 +325,19 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 votes = Counter()
                 for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    path = vote(source)
-                    if path is not None:
-                        votes[host, path] += 1
+                    votes[host, vote(source)] += 1
                 keys = list(votes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["host", "path", "votes"]
                 )
 
     votes = pages.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("top")).select("host", F.col("top.path").alias("winner"))
+    top = F.max(F.when(F.col("path").isNotNull(), F.struct("votes", "path")))
+    return votes.groupBy("host").agg(top.alias("top"), F.sum("votes").alias("pages")).select("host", F.col("top.path").alias("winner"), "pages")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
+def main_text(pages: DataFrame, most_hosts: int = 200_000) -> DataFrame:
+    """page_id, url, text, n_chars of every row. Winners of at most `most_hosts` hosts are broadcast."""
     rows = pages.select("page_id", "url", host_of(F.col("url").cast("string")).alias("host"), text_column(pages, "html").alias("html"))
     winners = winning_paths(rows.select("host", "html"))
 
@@ -353,7 +351,10 @@ def main_text(pages: DataFrame) -> DataFrame:
                 )
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
-    # a host of any size is spread over SALTS tasks
-    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    salted = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
-    return salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "winner").mapInArrow(run, schema)
+    winners = materialise(winners, "winners")
+    if winners.count() <= most_hosts:  # one short row for each host: pages stay where they are
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:  # a host of any size is spread over as many tasks as its pages ask for
+        left, right = spread(rows, winners, ["host"], "pages", F.monotonically_increasing_id())
+        joined = left.join(right, ["host", "__salt"], "left")
+    return joined.select("page_id", "url", "html", "winner").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestar.llm.common import map_batches, materialise, text_column
+from lodestar.llm.common import map_batches, materialise, small, spread, text_column, without
 from lodestar.llm.components import components
 
 BITS = 64
@@ -38,6 +38,8 @@ DENSE = 256
 #: A bucket of more fingerprints is dealt to several tasks.
 HOT = 50_000
 _BLOCK = 1 << 15
+#: How often a bucket may be dealt again.
+_LEVELS = 3
 
 
 def fingerprint(text: str) -> int:
@@ -299,24 +301,32 @@ def _search(keyed: DataFrame, plan: list[Partition], distance: int) -> DataFrame
 
 
 def _split_hot(keyed: DataFrame, plan: list[Partition], distance: int, hot: int) -> DataFrame:
-    """Rows of buckets with more than `hot` rows go to sub-buckets by parts of their remaining bits, again so that
-    close fingerprints share one at least. At most rows / hot buckets can be that large."""
-    large = keyed.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key").collect()
-    if not large:
-        return keyed.withColumn("sub", F.lit(0).cast("long"))
-    is_hot = F.lit(False)
-    for i in {r["part"] for r in large}:
-        is_hot |= (F.col("part") == i) & F.col("key").isin([r["key"] for r in large if r["part"] == i])
-    rest = keyed.where(~is_hot).withColumn("sub", F.lit(0).cast("long"))
-    for i in sorted({r["part"] for r in large}):
-        free = [b for b in range(BITS) if plan[i].threshold or b not in plan[i].bits]
-        groups = distance + 1
-        subs = F.array(*[
-            # one bit of the mask's own number tells the groups apart where their values are equal
-            F.xxhash64(F.lit(g), F.col("fp").bitwiseAND(F.lit(_mask(free[g::groups])))) for g in range(groups)
-        ])
-        rest = rest.unionByName(keyed.where(is_hot & (F.col("part") == i)).withColumn("sub", F.explode(subs)))
-    return rest
+    """keyed with a column sub: rows of buckets with more than `hot` rows go to sub-buckets by parts of their remaining
+    bits, so that close fingerprints share one at least, and those of sub-buckets that are still that large again, up to
+    _LEVELS times. The large buckets are a table that is joined; nothing is collected."""
+    groups = distance + 1
+    now, done = keyed.withColumns({"sub": F.lit(0).cast("long"), "path": F.lit(0)}), None
+    frees = {(i, 0): [b for b in range(BITS) if p.threshold or b not in p.bits] for i, p in enumerate(plan)}
+    for _ in range(_LEVELS):
+        large = materialise(now.groupBy("part", "key", "sub").count().where(F.col("count") > hot).select("part", "key", "sub", F.lit(True).alias("hot")), "hot")
+        if large.isEmpty():
+            break
+        marked = now.join(small(large), ["part", "key", "sub"], "left")
+        cool = marked.where(F.col("hot").isNull()).drop("hot")
+        done = cool if done is None else done.unionByName(cool)
+        # masks of the parts of the bits that are left, by the path of parts taken so far
+        masks, after = [], {}
+        for (i, path), free in frees.items():
+            masks.append((i * 1000 + path, [_mask(free[g::groups]) for g in range(groups)]))
+            for g in range(groups):
+                after[i, path * groups + g + 1] = [b for b in free if b not in free[g::groups]]
+        table = F.create_map(*[x for k, m in masks for x in (F.lit(k), F.array(*[F.lit(v).cast("long") for v in m]))])
+        mine = F.element_at(table, F.col("part") * 1000 + F.col("path"))
+        # the number of the part tells parts with equal values from one another
+        to = F.transform(mine, lambda m, g: F.struct(F.xxhash64("sub", g, F.col("fp").bitwiseAND(m)).alias("sub"), (F.col("path") * groups + g + 1).alias("path")))
+        split = marked.where(F.col("hot").isNotNull()).select("fp", "part", "key", "probe", F.explode(to).alias("to"))
+        now, frees = materialise(split.select("fp", "part", "key", "probe", "to.sub", "to.path"), "split"), after
+    return (now if done is None else done.unionByName(now)).drop("path")
 
 
 def near_components(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
@@ -336,14 +346,19 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     rows = materialise(fingerprints(docs), "simhash")
     roots = near_components(rows, distance, hot)
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(roots, "fp")
-    ids = materialise(least.groupBy("root").agg(F.min("low").alias("component_id")).join(roots, "root").select("fp", "component_id"), "classes")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("__n")).join(roots, "fp"), "roots")
+    lows = least.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("__members"))
+    # a component of many fingerprints, and a fingerprint of many rows, are spread over several tasks
+    left, right = spread(least, materialise(lows, "lows"), ["root"], "__members", F.col("fp"))
+    ids = materialise(left.join(right, ["root", "__salt"]).select("fp", "component_id", "__n"), "classes")
+    left, right = spread(rows, ids, ["fp"], "__n", F.col("doc_id"))
+    return left.join(right, ["fp", "__salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; all columns stay. Rows that repeat a
-    kept id stay together."""
+    kept id stay together. Texts do not move while the ids that go are few enough to broadcast."""
     found = simhash_components(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where(~F.col("stays")).select("doc_id")
+    return without(docs, materialise(gone, "dropped"))

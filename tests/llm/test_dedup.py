@@ -169,6 +169,58 @@ def test_components_by_forced_widths(spark, monkeypatch, widths):
     assert len(got) == 65 and {r.root for r in got} == {min(map(signed, fps))}
 
 
+def test_hot_buckets_are_dealt_again(spark, monkeypatch):
+    """Near copies that agree in most bits stay together in a bucket's parts, so those are split again."""
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(40, 64), k)) for k in (1, 2, 3, 4) for _ in range(150)} | {rng.getrandbits(64) for _ in range(200)}
+    want = brute_components(sorted(fps))
+    df = spark.createDataFrame([(signed(f),) for f in sorted(fps)], "fp long")
+    got = {r.fp: r.root for r in simhash.near_components(df, hot=40).collect()}
+    same = defaultdict(set)
+    for f in fps:
+        same[want[f]].add(signed(f))
+    assert all(got[signed(f)] == min(same[want[f]]) for f in fps)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Large groups of copies, hubs and fingerprints take the same way as small ones."""
+    from lodestar.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(components, "HOT_ROWS", 3)
+    texts = ["one two three four five"] * 40 + ["one two three four five six"] * 2 + [f"text {k} of its own" for k in range(20)] + ["", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        same = [j for j, u in enumerate(texts) if (u or "") == (t or "")]
+        assert (got[k].keep_id, got[k].group_size, got[k].kept) == (max(same), len(same), k == max(same))
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 130)], "u long, v long")
+    roots = {r.node: r.root for r in components.components(edges).collect()}
+    assert roots == {k: 0 for k in range(60)} | {k: 100 for k in range(100, 131)}
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    prints = {k: simhash.fingerprint(t or "") for k, t in enumerate(texts)}
+    want = brute_components(sorted(set(prints.values())))
+    for k in found:
+        assert found[k] == min(j for j in prints if want[prints[j]] == want[prints[k]])
+
+
+@pytest.mark.parametrize("room", [0, 1000])
+def test_rows_that_go(spark, monkeypatch, room):
+    """With and without a broadcast; ids that repeat, ids that are missing, other columns."""
+    from lodestar.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", room)
+    rows = [(1, "a", 1), (2, "a", 2), (2, "b", 3), (2, "a", 4), (3, "c", 5), (None, "c", 6), (None, "d", 7), (4, None, 8), (5, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    kept = sorted(tuple(r) for r in exact_dedup.keep_first(docs).select("doc_id", "text").collect() if r.doc_id is not None)
+    assert kept == [(2, "a"), (2, "b"), (3, "c"), (5, "")]
+    assert [tuple(r) for r in exact_dedup.keep_first(docs).where("doc_id is null").select("text").collect()] == [("d",)]
+    assert exact_dedup.keep_first(docs).columns == docs.columns
+    assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.keep_one(docs).columns == docs.columns
+
+
 def test_simhash_of_documents(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(4, long), (3, long + " end"), (7, long), (8, None), (9, "  "), (11, "alone here today"), (None, long)]
