@@ -1,22 +1,26 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled once from a model file: a normaliser (space to the mark U+2581, a mark in front), a trie
-whose paths read the characters of a piece and write its number, and byte-fallback arcs that read a character no piece
-has and write its UTF-8 bytes' numbers. It is composed with each input on the fly, and the encoding is the path of
-least total weight in the tropical semiring.
-
-For unigram models an arc weighs minus its piece's score. For byte-pair models arcs weigh nothing, and the piece trie
-is composed with an acceptor of neighbouring pieces: it lets b follow a only if merging the text of a and b by the
-model's own priorities ends in exactly (a, b), and weighs infinity otherwise. Merges never cross a boundary that each
-pair keeps, so exactly one path stays finite, and it is the sequence that repeated merging gives.
+Three transducers are compiled once from a model file. The normaliser rewrites the longest text at each place that the
+model's character map knows (read from its double-array trie) and a space to the mark U+2581, and leaves the rest. The
+pieces are a trie whose paths read the characters of a piece and write its number. The fallback reads one character
+that is no piece and writes the numbers of its UTF-8 bytes. They are composed with each input on the fly: an arc leads
+from one place of the normalised text to another, and the encoding is the path of least total weight in the tropical
+semiring.
+
+For unigram models an arc weighs minus its piece's score, and places are settled in order. For byte-pair models arcs
+weigh nothing, and the pieces are composed with an acceptor of neighbouring pieces as well, so that a state is a place
+and the piece before it: b may follow a only if merging the text of a and b by the model's own priorities ends in exactly
+(a, b), and weighs infinity otherwise. Merges never cross a boundary that each pair keeps, so exactly one path stays
+finite, and it is the sequence that repeated merging gives; as all finite weights are zero, the search for the least
+weight may take any open state first, and takes that which is farthest.
 
 Composition stops at places that no piece crosses (before a mark that follows another character, and around
 characters without a piece), so the path of a text is the concatenation of its segments' paths; these are kept in a
 bounded table.
 
 Defined results: null counts as the empty text, which has no ids; texts of any length are encoded whole, a slice at a
-time; a mark U+2581 in a text is read as a space; decoding an encoding gives the text back otherwise; other columns are
-ignored.
+time; a mark U+2581 in a text is read as a space; decoding an encoding gives the normalised text back, which without a
+character map is the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,11 +91,73 @@ def read_model(path: str) -> ModelFile:
             elif number == 3:
                 spec = dict(_fields(value))
                 out.charsmap, out.prefix, out.collapse = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-    if out.charsmap:
-        raise ValueError("models with a compiled character map are not supported")
     return out
 
 
+def read_charsmap(data: bytes) -> dict[str, str]:
+    """What each text is rewritten to, from a compiled character map: the size of a double-array trie over UTF-8 bytes,
+    the trie, and the results, each ended by a zero byte."""
+    if not data:
+        return {}
+    size = struct.unpack_from("<I", data)[0]
+    units, results = struct.unpack_from(f"<{size // 4}I", data, 4), data[4 + size :]
+
+    def children(unit: int) -> int:
+        # fixed values: the fields of a unit are 8 bits of label, one bit for a leaf, one for the scale, 22 of offset
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    out: dict[str, str] = {}
+    open_nodes = [(children(units[0]), b"")]
+    while open_nodes:
+        base, read = open_nodes.pop()
+        for byte in range(1, 256):
+            place = base ^ byte
+            if place >= len(units) or units[place] & 0x800000FF != byte:
+                continue
+            below = place ^ children(units[place])
+            if units[place] >> 8 & 1:
+                at = units[below] & 0x7FFFFFFF
+                out[(read + bytes([byte])).decode("utf-8", "surrogateescape")] = results[at : results.index(b"\0", at)].decode()
+            open_nodes.append((below, read + bytes([byte])))
+    return out
+
+
+class Normaliser:
+    """Rewrites the longest known text at each place; pieces that users defined stand for themselves."""
+
+    def __init__(self, model: ModelFile):
+        self.rules = read_charsmap(model.charsmap)
+        self.kept = {p for p, _, kind in model.pieces if kind == _USER}
+        self.sizes: dict[str, list[int]] = {}
+        for text in {*self.rules, *(self.kept if self.rules else ())}:
+            if text:
+                self.sizes.setdefault(text[0], []).append(len(text))
+        self.sizes = {c: sorted(set(sizes), reverse=True) for c, sizes in self.sizes.items()}
+        self.starts = re.compile("[" + "".join(re.escape(c) for c in sorted(self.sizes)) + "]") if self.sizes else None
+        self.prefix, self.collapse = model.prefix, model.collapse
+
+    def plain(self, text: str) -> str:
+        """The text that an encoding stands for."""
+        text = text.replace(MARK, " ")
+        if self.starts is not None:
+            out, at = [], 0
+            while (m := self.starts.search(text, at)) is not None:
+                k = m.start()
+                out.append(text[at:k])
+                found = [text[k : k + n] for n in self.sizes[text[k]]]
+                kept = next((x for x in found if x in self.kept), None)
+                read = kept or next((x for x in found if x in self.rules), text[k])
+                out.append(read if kept else self.rules.get(read, read))
+                at = k + len(read)
+            out.append(text[at:])
+            text = "".join(out)
+        return re.sub(" +", " ", text).strip(" ") if self.collapse else text
+
+    def line(self, text: str) -> str:
+        """The normalised text with its marks."""
+        return ((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else ""
+
+
 class _Paths(dict):
     """Paths of segments, found when first asked for."""
 
@@ -111,6 +177,7 @@ class _Paths(dict):
 class Transducer:
     def __init__(self, model: ModelFile):
         self.model = model
+        self.normaliser = Normaliser(model)
         self.score = {p: s for p, s, kind in model.pieces if kind in (_NORMAL, _USER)}
         self.number = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (_NORMAL, _USER)}
         self.byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == _BYTE}
@@ -185,8 +252,9 @@ class Transducer:
         return found
 
     def _bpe_path(self, text: str) -> list[int]:
-        """The one path of finite weight, depth first, longer pieces first. A state is a place and the piece before
-        it; each prefix of a text has one finite path only, so a place is left at most once for good."""
+        """The path of least weight, zero, over states of a place and the piece before it: of the open states the one that
+        was opened last goes first, so longer pieces go before shorter ones. Each prefix of a text has one finite path
+        only, so a place is left at most once for good."""
         stack: list[tuple[int, str, list[str]]] = []
         pieces: list[str] = []
         at, last = 0, ""
@@ -239,11 +307,7 @@ class Transducer:
     # -- whole texts
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.model.collapse:
-            text = re.sub(" +", " ", text.replace(MARK, " ")).strip(" ")
-        line = (MARK if self.model.prefix else "") + text.replace(" ", MARK)
+        line = self.normaliser.line(self.normaliser.plain(text))
         if len(line) <= _SLICE:
             return list(chain.from_iterable(map(self.paths.__getitem__, self.segment.findall(line))))
         out: list[int] = []
@@ -261,7 +325,7 @@ def load(path: str = MODEL) -> Transducer:
 
 
 def encode(docs: DataFrame, transducer: Transducer) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip (decoding gives the text back) of every row."""
+    """doc_id, n_tokens, ids, round_trip (decoding gives the normalised text back) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(transducer)
 
     def run(batches):
@@ -271,7 +335,7 @@ def encode(docs: DataFrame, transducer: Transducer) -> DataFrame:
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
                 ids = [machine.encode(t) for t in texts]
-                back = [machine.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                back = [machine.decode(i) == machine.normaliser.plain(t) for i, t in zip(ids, texts)]
                 sizes = np.array([len(i) for i in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1])))

@@ -1,5 +1,6 @@
 import os
 import random
+import struct
 import time
 from collections import defaultdict
 from itertools import combinations
@@ -377,6 +378,78 @@ def test_encoding_equals_the_library():
         assert machine.decode(ids) == t.replace("▁", " ")
 
 
+def compiled_map(rules):
+    """A double-array trie over UTF-8 bytes and its results, built the plain way: each node's children get a free base."""
+    trie = {}
+    for key in rules:
+        node = trie
+        for b in key.encode():
+            node = node.setdefault(b, {})
+        node[0] = key
+    results, at = b"", {}
+    for key, value in rules.items():
+        at[key] = len(results)
+        results += value.encode() + b"\0"
+    units, used, bases = {}, {0}, set()
+
+    def place(node, here):
+        base = 256
+        while base in bases or any(base ^ b in used for b in node):
+            base += 1
+        bases.add(base)
+        used.update(base ^ b for b in node)
+        offset = here ^ base
+        units[here] = units.get(here, 0) | offset << 10 | (0x100 if 0 in node else 0)
+        for b, child in node.items():
+            if b == 0:
+                units[base] = 0x80000000 | at[child]
+            else:
+                units[base ^ b] = b
+                place(child, base ^ b)
+
+    place(trie, 0)
+    words = [units.get(k, 0) for k in range(max(units) + 257)]
+    return struct.pack("<I", 4 * len(words)) + struct.pack(f"<{len(words)}I", *words) + results
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_character_maps_are_rewritten(kind):
+    """The longest entry wins; what has none stays; spaces that the map makes are collapsed and marked."""
+    rules = {"ﬁ": "fi", "A": "a", "À": "a", "Àb": "xy", "\u3000": " ", "\t": " ", "\u00ad": "", "Ⅷ": "VIII"}
+    assert sentencepiece.read_charsmap(compiled_map(rules)) == rules
+    letters = "abcdefghixyVI" + sentencepiece.MARK
+    pieces = [("<unk>", 0.0, 2), *((c, -5.0, 1) for c in letters), ("fi", -1.0, 1), ("▁a", -2.0, 1), ("xy", -3.0, 1), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    machine = sentencepiece.Transducer(sentencepiece.ModelFile(pieces, kind=kind, prefix=True, collapse=True, charsmap=compiled_map(rules)))
+    for text, want in {"ﬁg": "fig", "Àbc": "xyc", "À b": "a b", "A\u3000\tB": "a B", "\u00ad": "", "Ⅷ\u00ad!": "VIII!", " é ": "é", "": ""}.items():
+        assert machine.normaliser.plain(text) == want
+        assert machine.decode(machine.encode(text)) == want
+        assert machine.encode(text) == machine.encode(want)
+
+
+def merged(machine, line):
+    """Repeated merging over the whole line, the best-scored pair first, the leftmost of equals."""
+    parts = list(line)
+    while True:
+        pairs = [(-machine.score[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in machine.score]
+        if not pairs:
+            return [i for p in parts for i in machine._write(p)]
+        _, k = min(pairs)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_pair_paths_equal_repeated_merging():
+    rng = random.Random(8)
+    for _ in range(15):
+        names = {"a", "b", "c", sentencepiece.MARK}
+        while len(names) < 20:
+            names.add("".join(rng.choices(sorted(names), k=2)))
+        order = sorted(names, key=lambda x: (len(x), rng.random()))
+        machine = sentencepiece.Transducer(sentencepiece.ModelFile([("<unk>", 0.0, 2), *((p, -float(k), 1) for k, p in enumerate(order))], kind=2, prefix=True, collapse=False))
+        for _ in range(40):
+            text = "".join(rng.choices("abc ", k=rng.randrange(1, 14)))
+            assert machine.encode(text) == merged(machine, sentencepiece.MARK + text.replace(" ", sentencepiece.MARK)), (order, text)
+
+
 def test_unigram_takes_the_least_weight():
     pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("▁a", -2.0, 1), ("b", -2.5, 1), ("ab", -1.0, 1), ("▁ab", -4.2, 1), ("c", -1.0, 1), ("bc", -1.5, 1), ("a", -2.0, 1)]
     machine = sentencepiece.Transducer(sentencepiece.ModelFile(pieces, kind=1, prefix=True, collapse=False))
@@ -456,3 +529,45 @@ def test_pages_follow_the_vote_of_their_host(spark):
     assert html_extract.main_text(pages).count() == len(rows)
     assert got[3] == (TEXT, len(TEXT)) and got[8][0] == "Short." and got[9][0].startswith("other words") and got[10] == ("", 0) and got[11] == ("", 0)
     assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>Sentence {k} of the article, with words enough to count as text.</p>" for k in range(4))
+BODY_TEXT = "\n".join(f"Sentence {k} of the article, with words enough to count as text." for k in range(4))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><div class='entry-header'><h1>Title</h1></div>{BODY}</article><footer><p>foot</p></footer>", "Title\n" + BODY_TEXT),
+    (f"<article><h1>Title</h1>{BODY}<section class='legal-analysis'><h2>Law</h2><p>What the law says.</p></section></article>", f"Title\n{BODY_TEXT}\nLaw\nWhat the law says."),
+    (f"<div class='content social-science'><h1>Title</h1>{BODY}</div><div class='footer'><p>A footer paragraph</p></div>", "Title\n" + BODY_TEXT),
+    (f"<div id='menu-wrap'><h1>Title</h1>{BODY}</div>", "Title\n" + BODY_TEXT),
+    (f"<div class='wrap'><h1>Title</h1>{BODY}<div class='sponsored-content'><p>Buy this now</p></div><div class='related-posts'><p>More to read</p></div></div>", "Title\n" + BODY_TEXT),
+])
+def test_names_are_about_their_last_word(page, want):
+    assert html_extract.extract(f"<html><body>{page}</body></html>", None) == want
+
+
+LAYOUTS = [
+    "<body><nav><a href='/'>Home</a></nav><div class='post-{n}'>{body}</div><div class='sidebar'><p>Side note</p></div></body>",
+    "<body><div id='page'><div class='head'><ul class='menu'><li>Home</li></ul></div><main>{body}</main><footer>Foot</footer></div></body>",
+    "<body><table><tr><td class='left'><a href='/a'>One</a><a href='/b'>Two</a></td><td class='text'>{body}</td></tr></table></body>",
+    "<body><section class='story s{n}'><header><h2>Kicker</h2></header>{body}<aside><p>Quote</p></aside></section><section class='comments'><p>Nice</p></section></body>",
+]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_hosts_of_differing_layouts(spark, most):
+    """Every host has a layout of its own; the winners and texts equal a vote counted one by one."""
+    rows = []
+    for h in range(12):
+        for n in range(1 + h % 5 * 3):
+            rows.append((len(rows), f"https://h{h}.example/{n}", LAYOUTS[h % 4].format(n=n, body=BODY.replace("Sentence", f"Host {h} page {n} sentence"))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    votes = defaultdict(lambda: defaultdict(int))
+    for _, url, source in rows:
+        votes[url.split("/")[2]][html_extract.vote(source)] += 1
+    winners = {h: max((n, p) for p, n in v.items())[1] for h, v in votes.items()}
+    got = {r.page_id: r.text for r in html_extract.main_text(pages, most_hosts=most).collect()}
+    for k, url, source in rows:
+        assert got[k] == html_extract.extract(source, winners[url.split("/")[2]])
+        assert BODY_TEXT.replace("Sentence", f"Host {url.split('/')[2][1:-8]} page {url.rsplit('/')[-1]} sentence") in got[k]
+        assert not any(x in got[k] for x in ("Home", "Side note", "Foot", "Nice", "Quote", "One"))
