@@ -60,6 +60,11 @@ _FOREIGN_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor sponsored sponsors comment comments commentlist respond disqus"
     " cookie cookies consent gdpr popup newsletter paywall disclaimer copyright breadcrumb breadcrumbs pagination pager".split()
 )
+#: Words that say nothing by themselves at the end of a name.
+_NEUTRAL = frozenset(
+    "wrap wrapper box container area section list block inner outer item items bar panel module row rows column group left right top bottom main"
+    " buttons button links link icons icon posts post articles stories slot unit card cards label body holder region zone text title".split()
+)
 _NEGATIONS = frozenset("has have with no without not hide overflow".split())
 #: Page builders call every block a widget.
 _BUILDERS = frozenset("elementor siteorigin sow fusion wpb avia".split())
@@ -115,7 +120,13 @@ def _names(tag: str, own: dict[str, str]) -> frozenset:
     for name in f"{own.get('class', '')} {own.get('id', '')}".split():
         words = [w.lower() for w in _WORDS.findall(name)]
         every.update(words)
-        mine = {w for k, w in enumerate(words) if w in _ASIDE_WORDS and not _NEGATIONS & set(words[:k])}
+        # a name is about its last word that says something: legal-analysis is an analysis, site-legal a legal notice
+        last = len(words)
+        while last > 1 and words[last - 1] in _NEUTRAL:
+            last -= 1
+        mine = {w for w in words[last - 1 : last] if w in _ASIDE_WORDS and not _NEGATIONS & set(words[: last - 1])}
+        if words and words[0] in _FOREIGN_WORDS | {"related", "recommended"} and set(words[1:]) <= _NEUTRAL | _ARTICLE_WORDS:
+            mine.add(words[0])
         if mine and _ARTICLE_WORDS & set(words):
             mine -= _HEADER_WORDS
         found |= mine
