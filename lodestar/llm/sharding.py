@@ -11,9 +11,9 @@ a small table of counts, plus its place in its bucket. The number of buckets fol
 move: a row is its id, source, size and checksum.
 
 Defined results: a null text counts as empty for size and checksum; null sources are a source of their own; null ids are
-hashed as text 'null'; ties are broken by id, checksum and size, so rows that are equal in all of these share an order
-that may vary; an empty table gives an empty result; other columns are ignored. Rows with equal texts are not kept
-together: the law is `rows`.
+hashed as text 'null'; ids that repeat are told apart by checksum and size, so rows that are equal in all of these share an
+order that may vary; an empty table gives an empty result; other columns are ignored. Rows with equal texts are not kept
+together: the law is `rows`, and README says how many rows that leaves apart.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import materialise
 
 SHARDS = 8
-PER_BUCKET = 20_000
+PER_BUCKET = 5_000
+_CHUNK = 1_000
 
 
 def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: str) -> DataFrame:
@@ -32,9 +33,15 @@ def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: st
     keys = ([group] if group else []) + ["__bucket"]
     rows = rows.withColumn("__bucket", bucket)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket") if group is None else Window.partitionBy(group).orderBy("__bucket")
-    whole = Window.partitionBy(group) if group else Window.partitionBy()
-    offsets = counts.withColumns({"__before": F.sum("__n").over(before) - F.col("__n"), "__size": F.sum("__n").over(whole)}).drop("__n")
+    # bucket counts are added up in chunks of buckets first, so that one task orders few of them at any size
+    counts = materialise(counts.withColumn("__chunk", F.floor(F.col("__bucket") / _CHUNK).cast("long")), "counts")
+    own = [group] if group else []
+    chunks = counts.groupBy(*own, "__chunk").agg(F.sum("__n").alias("__c"))
+    over = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
+    chunks = chunks.withColumns({"__lead": F.sum("__c").over(over.orderBy("__chunk")) - F.col("__c"), "__size": F.sum("__c").over(over)}).drop("__c")
+    within = Window.partitionBy(*own, "__chunk").orderBy("__bucket")
+    offsets = counts.withColumn("__in", F.sum("__n").over(within) - F.col("__n")).join(chunks, [*own, "__chunk"])
+    offsets = offsets.withColumn("__before", F.col("__lead") + F.col("__in")).drop("__n", "__chunk", "__lead", "__in")
     placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     return placed.join(offsets, keys).withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")  # __size stays: rows of the group
 
@@ -42,7 +49,9 @@ def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: st
 def interleave(docs: DataFrame, seed: int = 0, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    # size and checksum tell rows of one id apart, so that they fall into different buckets
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(text.cast("binary")).cast("string"), (F.octet_length(text) + 1).cast("string"))
+    shuffled = F.md5(name.cast("binary"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("__source"), F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shuffled.alias("__hash"),
@@ -51,11 +60,12 @@ def interleave(docs: DataFrame, seed: int = 0, shards: int = SHARDS, per_bucket:
     total = rows.count()
     buckets = max(1, -(-total // per_bucket))
     tie = ["__hash", "doc_id", "text_crc32", "size"]
-    bucket = F.floor(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
+    bucket = F.expr(f"conv(substring(__hash, 1, 8), 16, 10) * {buckets} div {1 << 32}")
     ranked = _with_rank(rows, "__source", bucket, tie, "__rank")
     ranked = ranked.withColumn("__share", (2 * F.col("__rank") + 1) / (2 * F.col("__size"))).drop("__size")
     ranked = materialise(ranked, "ranked")
-    # the order is that of the exact fractions: equal doubles come from equal fractions while sources have < 2^52 rows
+    # the order is that of the doubles: fractions of sources of more than about 10^8 rows that are closer than 2^-53
+    # count as equal, and then go by source
     placed = _with_rank(ranked, None, F.floor(F.col("__share") * buckets).cast("long"), ["__share", "__source", *tie], "__at")
     shard = F.expr(f"__at * {shards} div {max(1, total)}")
     first = F.expr(f"(__shard * {max(1, total)} + {shards - 1}) div {shards}")

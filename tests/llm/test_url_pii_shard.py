@@ -112,7 +112,8 @@ def test_shards_against_brute_force(spark, per_bucket):
     got = sharding.interleave(df, seed=5, per_bucket=per_bucket).collect()
     by = defaultdict(list)
     for i, t, s in rows:
-        by["null" if s is None else "=" + s].append((hashlib.md5(f"5|{i}".encode()).hexdigest(), i))
+        data = (t or "").encode()
+        by["null" if s is None else "=" + s].append((hashlib.md5(f"5|{i}|{zlib.crc32(data)}|{len(data) + 1}".encode()).hexdigest(), i))
     order = sorted(((2 * k + 1) / (2 * len(v)), s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
     want = {i: p * 8 // len(order) for p, (_, _, _, i) in enumerate(order)}
     text = {i: t or "" for i, t, _ in rows}
@@ -128,3 +129,6 @@ def test_shards_against_brute_force(spark, per_bucket):
     assert sharding.interleave(df.limit(0)).count() == 0
     same = sharding.interleave(df.limit(1).union(df.limit(1))).collect()
     assert sorted(r.slot for r in same) == [0, 0] and len({r.shard for r in same}) == 2
+    one_id = spark.createDataFrame([(None if k % 2 else 4, f"text {k}", "s") for k in range(60)], "doc_id long, text string, source string")
+    again = sharding.interleave(one_id, per_bucket=5).collect()
+    assert sorted(Counter(r.shard for r in again).values()) == [7] * 4 + [8] * 4 and len({(r.shard, r.slot) for r in again}) == 60
