@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -18,6 +19,10 @@ from lodestar.operators.rank import top
 from lodestar.plans.query import Options, Query, parse
 
 
+#: Sources that are read at the same time.
+THREADS = 20
+
+
 @dataclass
 class Metrics:
     candidates: int = 0
@@ -94,23 +99,39 @@ class Engine:
         return [s for s in wanted if self.enabled.get(s, True)]
 
     def candidates(self, query: Query, metrics: Metrics) -> DataFrame | None:
-        """All chosen sources' pages, with the order in which a sequential reader would meet the rows. A source that
-        fails is noted and left out; pages read before stay."""
-        terms, out, until = query.search_terms(), None, time.monotonic() + query.options.timeout_seconds
-        for k, name in enumerate(self.chosen(query.options)):
-            source = self.sources[name]
-            pages = range(1, query.options.max_pages + 1) if callable(source) else (1,)
-            for page in pages:
-                if time.monotonic() > until:
-                    metrics.stopping_reason = "timeout"
-                    return out
-                try:
-                    rows = source(self.spark, terms, page) if callable(source) else source
-                    if rows is None or (callable(source) and rows.isEmpty()):
-                        break
-                except Exception as error:  # noqa: BLE001  one source must not stop the others
-                    metrics.errors[name] = str(error)[:300]
-                    break
+        """All chosen sources' pages, with the order in which a sequential reader would meet the rows. Sources that are
+        functions are read at the same time, THREADS of them, until the deadline; each page is read to its end there, at
+        most as many rows as a source may give, so one that fails or is slow is noted and leaves the others alone; its
+        pages read before stay."""
+        terms, until = query.search_terms(), time.monotonic() + query.options.timeout_seconds
+        most = max(50, 3 * query.options.max_results)
+        chosen = self.chosen(query.options)
+        pages: dict[str, list[DataFrame]] = {name: [] for name in chosen}
+
+        def read(name: str) -> None:
+            source, left = self.sources[name], most
+            for page in range(1, query.options.max_pages + 1):
+                if time.monotonic() > until or left <= 0:
+                    return
+                rows = source(self.spark, terms, page)
+                found = rows.limit(left).collect() if rows is not None else []
+                if not found:
+                    return
+                left -= len(found)
+                pages[name].append(self.spark.createDataFrame(found, rows.schema))
+
+        pool = ThreadPoolExecutor(THREADS)
+        reading = {pool.submit(read, name): name for name in chosen if callable(self.sources[name])}
+        done, late = wait(reading, timeout=max(0.0, until - time.monotonic()))
+        pool.shutdown(wait=False, cancel_futures=True)
+        for future in done:
+            if (error := future.exception()) is not None:
+                metrics.errors[reading[future]] = str(error)[:300]
+        if late:
+            metrics.stopping_reason = "timeout"
+        out = None
+        for k, name in enumerate(chosen):
+            for page, rows in enumerate(list(pages[name]) if callable(self.sources[name]) else [self.sources[name]], 1):
                 place = F.col("ord") if "ord" in rows.columns else F.monotonically_increasing_id()
                 rows = rows.withColumn("ord", place + F.lit((k << 56) + (page << 48))).withColumn("source_id", F.lit(name))
                 out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -127,9 +148,11 @@ class Engine:
             now = F.lit(datetime.now(timezone.utc)) if as_of is None else as_of
             capped = source_cap(rows, query.options).observe(seen, F.count(F.lit(1)).alias("n"))
             found = text_match(structured_filter(capped, query.options), query).observe(matched, F.count(F.lit(1)).alias("n"))
-            results = [r.asDict(recursive=True) for r in top(merge(found).observe(merged, F.count(F.lit(1)).alias("n")), query, now).orderBy("rank").collect()]
-            metrics.candidates, metrics.matches, metrics.total_matches = seen.get["n"], matched.get["n"], merged.get["n"]
-            metrics.duplicates = metrics.matches - metrics.total_matches
+            enough = F.count(F.when(F.col("relevance_score") >= query.options.min_score, 1))
+            ranked = top(merge(found), query, now, lambda scored: scored.observe(merged, F.count(F.lit(1)).alias("n"), enough.alias("enough")))
+            results = [r.asDict(recursive=True) for r in ranked.orderBy("rank").collect()]
+            metrics.candidates, metrics.matches, metrics.total_matches = seen.get["n"], matched.get["n"], merged.get["enough"]
+            metrics.duplicates = metrics.matches - merged.get["n"]
         metrics.seconds = time.monotonic() - began
         response = Response(query, results, metrics)
         if query.options.allow_cache and metrics.stopping_reason == "completed":

@@ -34,6 +34,10 @@ def structured_filter(items: DataFrame, options: Options) -> DataFrame:
 def source_cap(items: DataFrame, options: Options) -> DataFrame:
     """The first max(50, 3 * max_results) rows of each source."""
     most = max(50, 3 * options.max_results)
+    # each task keeps its own first rows of every source before the shuffle, if the limit is below this setting
+    conf = items.sparkSession.conf
+    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) < most:
+        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("ord"))
     return items.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 

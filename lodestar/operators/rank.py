@@ -50,10 +50,11 @@ def ordering() -> list[Column]:
     return [F.col("relevance_score").desc(), (F.coalesce("download_url", F.lit("")) != "").desc(), F.length("title").asc(), F.col("ord").asc()]
 
 
-def top(items: DataFrame, query: Query, as_of: Column) -> DataFrame:
+def top(items: DataFrame, query: Query, as_of: Column, watch=None) -> DataFrame:
     """The first max_results rows by score, at least min_score, with ranks from 1. The cut comes before the numbering,
-    so each task keeps only its own best rows and one task numbers max_results of them."""
+    so each task keeps only its own best rows and one task numbers max_results of them. watch: sees all scored rows."""
     scored = items.withColumn("relevance_score", score_column(query, as_of))
+    scored = watch(scored) if watch is not None else scored
     first = scored.orderBy(*ordering()).limit(query.options.max_results)
     ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*ordering())).cast("int"))
     # rows below min_score sort last, so cutting them after the limit changes no other; before it, the filter would

@@ -258,11 +258,10 @@ def q_rank_topk(spark, sf_dir):
     return top(text_match(document_items(spark, sf_dir), q), q, F.expr(AS_OF)).select("id", F.col("relevance_score").alias("score"), "rank")
 
 
-@query("q_min_score", _score_sql("inging") + " SELECT id, score FROM scored WHERE score >= 20")
+@query("q_min_score", _score_sql("inging") + ", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id % 3 = 0 DESC, length(title), doc_id) AS rank FROM scored) SELECT id, score FROM best WHERE rank <= 500 AND score >= 20")
 def q_min_score(spark, sf_dir):
-    q = parse("inging", Options(max_results=500))
-    scored = text_match(document_items(spark, sf_dir), q).select("id", score_column(q, F.expr(AS_OF)).alias("score"))
-    return scored.where("score >= 20")
+    q = parse("inging", Options(max_results=500, min_score=20))
+    return top(text_match(document_items(spark, sf_dir), q), q, F.expr(AS_OF)).select("id", F.col("relevance_score").alias("score"))
 
 
 @query("q_source_cap", "SELECT 'doc:' || doc_id AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 50")
@@ -270,12 +269,12 @@ def q_source_cap(spark, sf_dir):
     return source_cap(document_items(spark, sf_dir), Options(max_results=10)).select("id")
 
 
-@query("q_search_e2e", _score_sql("the").replace("FROM hits WHERE ht > 0 OR hd > 0)", "FROM hits WHERE (ht > 0 OR hd > 0) AND lang = 'en')")
+@query("q_search_e2e", _score_sql("the").replace("FROM hits WHERE ht > 0 OR hd > 0)", "FROM hits WHERE (ht > 0 OR hd > 0) AND lang = 'en' AND doc_id IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 90))")
        + ", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id % 3 = 0 DESC, length(title), doc_id) AS rank FROM scored) SELECT id, title, score, rank::INT AS rank FROM best WHERE rank <= 30")
 def q_search_e2e(spark, sf_dir):
-    """Filter, match, merge by identity, score, order and cut."""
+    """Cap by source, filter, match, merge by identity, score, order and cut."""
     q = parse("the", Options(language="en"))
-    return search_frame(document_items(spark, sf_dir), q, F.expr(AS_OF), cap=False).select("id", "title", F.col("relevance_score").alias("score"), "rank")
+    return search_frame(document_items(spark, sf_dir), q, F.expr(AS_OF)).select("id", "title", F.col("relevance_score").alias("score"), "rank")
 
 
 @query("q_search_pages")
@@ -366,7 +365,7 @@ def q_distinct_hits(spark, sf_dir):
     return distinct_hits(hits).withColumn("k", F.substring_index("url", "/", -1).cast("bigint")).join(sizes, "k").select("hits", "url")
 
 
-@query("q_sources")
+@query("q_sources", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{id}', '{name}', '{kind}', {paged}, 5.0::DOUBLE, 10)" for k, (id, name, kind, paged) in enumerate(catalog.SOURCES)) + ") AS t(src_ord, id, name, payload, paged, rate_per_second, burst)")
 def q_sources(spark, sf_dir):
     """The registered sources."""
     return catalog.sources(spark).drop("enabled")

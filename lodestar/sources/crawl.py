@@ -52,6 +52,15 @@ def direct_link_items(hits: DataFrame) -> DataFrame:
     )
 
 
+def hit_items(hits: DataFrame) -> DataFrame:
+    """Items of hits alone, where their pages are not read."""
+    rows = hits.withColumn("p", urls.resolve_platform(F.col("url")))
+    return items(
+        rows, id=joined("web:", F.col("p.canonical_url")), canonical_url=F.col("p.canonical_url"), platform=F.col("p.platform"), platform_id=F.col("p.platform_id"), title=F.coalesce(F.nullif("title", F.lit("")), F.col("url")),
+        description=F.col("snippet"), item_type=F.lit("WEB_PAGE"), metadata_sources=F.array(F.lit("INFERRED")), source_id=F.lit("open_web"),
+    )
+
+
 def crawled(hits: DataFrame, pages: DataFrame, most: int = OPEN_WEB) -> DataFrame:
     """hits and fetched pages (url, content_type, html): items of the first hits' pages, merged. Hits are cut before the
     join, so it is small whatever the pages are; a page of another content type is one direct link."""

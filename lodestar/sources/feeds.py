@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import files, urls
 from lodestar.schema import items
-from lodestar.sources.json_payloads import api, either, one, tags
+from lodestar.sources.json_payloads import api, either, one, opensearch_hits, searxng_hits, tags
 from lodestar.sources.json_payloads import text as joined
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -134,8 +134,40 @@ def video_cards(payloads: DataFrame, platform: str, origin: str, card: str = r""
     )
 
 
-#: Links that lead back to search engines; only these very hosts.
-ENGINES = ("bing.com", "www.bing.com", "duckduckgo.com", "html.duckduckgo.com", "search.yahoo.com", "r.search.yahoo.com", "search.brave.com", "google.com", "www.google.com")
+#: Hosts whose links lead back to search engines; only these very hosts.
+ENGINES = tuple(f"{front}{host}" for host in ("duckduckgo.com", "google.com", "bing.com", "yandex.com", "yahoo.com", "qwant.com", "msn.com") for front in ("", "www.")) + (
+    "html.duckduckgo.com", "search.yahoo.com", "r.search.yahoo.com", "search.brave.com",
+)
+
+
+def _classed(element: str, *names: str) -> str:
+    """Pattern of the opening tag of an element that has one of the classes."""
+    return rf"""<{element}\b[^>]*\bclass=["'](?:[^"']*\s)?(?:{'|'.join(names)})(?:\s[^"']*)?["'][^>]*>"""
+
+
+#: Where a card of an engine's page begins, its link, and its snippet.
+CARDS = {
+    "bing": (_classed("li", "b_algo"), r"<h2\b[^>]*>.*?(<a\b.*?</a>)", r"<p\b[^>]*>(.*?)</p>"),
+    "brave": ("(?:" + _classed("div", "snippet", "search-result") + r"""|<div\b[^>]*\bdata-type=["']web["'][^>]*>)""", r"""(<a\b[^>]*\bhref=["']http[^>]*>.*?</a>)""", _classed("(?:div|p)", "snippet-description") + r"(.*?)</(?:div|p)>"),
+    "duckduckgo": (_classed("div", "result"), "(" + _classed("a", "result__a") + ".*?</a>)", _classed("[a-z]+", "result__snippet") + r"(.*?)</[a-z]+>"),
+    "yahoo": (r"""(?:<h3\b[^>]*>|""" + _classed("div", "compText") + r"""|<a\b[^>]*\bhref=["'][^"']*r\.search\.yahoo\.com)""", r"(<a\b.*?</a>)", None),
+}
+
+
+def hits_of(payloads: DataFrame, engine: str) -> DataFrame:
+    """url, title, snippet, ord of the cards of one engine's page, or of the results of one that answers in JSON."""
+    if engine not in CARDS:
+        found = opensearch_hits(payloads) if engine == "wikipedia" else searxng_hits(payloads)
+        return found.select("url", "title", "snippet", "ord").where(F.col("url").rlike("^https?://") & ~urls.hostname(F.col("url")).isin(*ENGINES))
+    begins, link, snippet = CARDS[engine]
+    at = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()
+    cards = F.slice(F.split(F.concat(F.lit(" "), F.col("payload")), f"(?is)(?={begins})"), 2, 1000)
+    rows = payloads.select(at.alias("__at"), F.posexplode(cards).alias("__pos", "card"))
+    a = F.regexp_extract("card", f"(?is){link}", 1)
+    to = urls.redirect_target(F.replace(attribute(a, "a", "href"), F.lit("&amp;"), F.lit("&")))
+    text = F.coalesce(F.nullif(plain(F.regexp_extract("card", f"(?is){snippet}", 1)), F.lit("")), F.lit("")) if snippet else F.lit("")
+    hits = rows.select(to.alias("url"), plain(a).alias("title"), text.alias("snippet"), (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where(F.col("url").rlike("^https?://"))
+    return hits.where(~urls.hostname(F.col("url")).isin(*ENGINES))
 
 
 def engine_hits(payloads: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Live reading: a Python data source with one partition per URL, a guard against private addresses, retries and a rate
-limit. Rows carry errors instead of raising, so one source does not stop the others."""
+"""Live reading: a Python data source with one partition and one rate limit per host, a guard against private addresses and
+retries. Rows carry errors instead of raising, so one source does not stop the others."""
 
 from __future__ import annotations
 
+import http.client
 import ipaddress
 import random
 import socket
+import ssl
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -14,6 +17,8 @@ from urllib.parse import urljoin, urlsplit
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIED = (429, 500, 502, 503, 504)
+#: Answers of more bytes are refused.
+MOST_BYTES = 20_000_000
 
 
 def is_public_url(url: str, resolve=socket.getaddrinfo) -> bool:
@@ -27,19 +32,28 @@ def is_public_url(url: str, resolve=socket.getaddrinfo) -> bool:
             found = [ipaddress.ip_address(host)]
         except ValueError:
             found = [ipaddress.ip_address(a[4][0].split("%")[0]) for a in resolve(host, parts.port or 443)]
-        return bool(found) and all(a.is_global and not a.is_multicast for a in found)
+        return bool(found) and all(map(_is_public, map(str, found)))
     except (ValueError, OSError):
         return False
 
 
+def _is_public(address: str) -> bool:
+    a = ipaddress.ip_address(address.split("%")[0])
+    return a.is_global and not a.is_multicast
+
+
 class Bucket:
     """So many requests a second, so many at once."""
 
     def __init__(self, rate: float = 5.0, burst: int = 10, clock=time.monotonic, sleep=time.sleep):
         self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
-        self.left, self.at = float(burst), clock()
+        self.left, self.at, self.lock = float(burst), clock(), threading.Lock()
 
     def take(self) -> None:
+        with self.lock:
+            self._take()
+
+    def _take(self) -> None:
         now = self.clock()
         self.left, self.at = min(self.burst, self.left + (now - self.at) * self.rate), now
         if self.left < 1:
@@ -54,17 +68,54 @@ class _Stay(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def open_url(url: str, timeout: float) -> tuple[int, dict, bytes]:
+def _connected(self) -> None:
+    """Connect to the first address of the host, if it is public: what is checked is what is used."""
+    found = [a[4] for a in socket.getaddrinfo(self.host, self.port, type=socket.SOCK_STREAM)]
+    if not found or not all(_is_public(a[0]) for a in found):
+        raise OSError(f"address not allowed: {self.host}")
+    self.sock = socket.create_connection(found[0][:2], self.timeout)
+
+
+class _Plain(http.client.HTTPConnection):
+    connect = _connected
+
+
+class _Secure(http.client.HTTPSConnection):
+    def connect(self) -> None:
+        _connected(self)
+        self.sock = self._context.wrap_socket(self.sock, server_hostname=self.host)
+
+
+class _PlainHandler(urllib.request.HTTPHandler):
+    def http_open(self, request):
+        return self.do_open(_Plain, request)
+
+
+class _SecureHandler(urllib.request.HTTPSHandler):
+    def https_open(self, request):
+        return self.do_open(_Secure, request, context=ssl.create_default_context())
+
+
+def open_url(url: str, timeout: float, body: bytes | None = None, headers: dict | None = None) -> tuple[int, dict, bytes]:
+    request = urllib.request.Request(url, data=body, headers={"User-Agent": "lodestar", **(headers or {})})
     try:
-        with urllib.request.build_opener(_Stay).open(urllib.request.Request(url, headers={"User-Agent": "lodestar"}), timeout=timeout) as r:
-            return r.status, dict(r.headers), r.read()
+        with urllib.request.build_opener(_Stay, _PlainHandler, _SecureHandler).open(request, timeout=timeout) as r:
+            return r.status, dict(r.headers), _read(r)
     except urllib.error.HTTPError as e:
-        return e.code, dict(e.headers), e.read()
+        return e.code, dict(e.headers), _read(e)
 
 
-def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True, opener=open_url, bucket: Bucket | None = None, sleep=time.sleep, guard=is_public_url) -> tuple[int, bytes]:
+def _read(response) -> bytes:
+    data = response.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError("the answer is too long")
+    return data
+
+
+def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True, opener=open_url, bucket: Bucket | None = None, sleep=time.sleep, guard=is_public_url, body: bytes | None = None, headers: dict | None = None) -> tuple[int, bytes]:
     """Status and body. Overload, server errors and broken connections are tried again, after Retry-After or a growing
-    pause; up to five redirects are followed, each checked anew."""
+    pause; up to five redirects are followed, each checked anew. body: sent by POST."""
+    sent = {k: v for k, v in (("body", body), ("headers", headers)) if v}
     for _ in range(6):
         if safe and not guard(url):
             raise ValueError(f"address not allowed: {url}")
@@ -72,26 +123,26 @@ def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True,
             if bucket is not None:
                 bucket.take()
             try:
-                status, headers, body = opener(url, timeout)
+                status, answered, content = opener(url, timeout, **sent)
             except OSError:
                 if attempt == retries:
                     raise
-                status, headers, body = 0, {}, b""
+                status, answered, content = 0, {}, b""
             if status and status not in RETRIED or attempt == retries:
                 break
-            after = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
+            after = {k.lower(): v for k, v in answered.items()}.get("retry-after", "")
             sleep(float(after) if after.isdigit() else 0.5 * 2**attempt + random.uniform(0, 0.1))
-        to = {k.lower(): v for k, v in headers.items()}.get("location")
+        to = {k.lower(): v for k, v in answered.items()}.get("location")
         if status in (301, 302, 303, 307, 308) and to:
-            url = urljoin(url, to)
+            url, sent = urljoin(url, to), {}
             continue
-        return status, body
+        return status, content
     raise ValueError("too many redirects")
 
 
-class _Page(InputPartition):
-    def __init__(self, url: str):
-        self.url = url
+class _Host(InputPartition):
+    def __init__(self, urls: list[str]):
+        self.urls = urls
 
 
 class _Reader(DataSourceReader):
@@ -100,16 +151,19 @@ class _Reader(DataSourceReader):
         self.timeout, self.safe = float(options.get("timeout", 12)), options.get("safe", "true") != "false"
 
     def partitions(self):
-        return [_Page(u) for u in self.urls] or [_Page("")]
+        hosts: dict[str, list[str]] = {}
+        for u in self.urls:
+            hosts.setdefault(urlsplit(u).netloc.lower(), []).append(u)
+        return [_Host(us) for us in hosts.values()] or [_Host([])]
 
     def read(self, partition):
-        if not partition.url:
-            return
-        try:
-            status, body = fetch(partition.url, self.timeout, safe=self.safe, bucket=Bucket())
-            yield partition.url, status, body.decode("utf-8", "replace"), None
-        except Exception as e:  # noqa: BLE001
-            yield partition.url, None, None, str(e)[:300]
+        bucket = Bucket()
+        for url in partition.urls:
+            try:
+                status, body = fetch(url, self.timeout, safe=self.safe, bucket=bucket)
+                yield url, status, body.decode("utf-8", "replace"), None
+            except Exception as e:  # noqa: BLE001
+                yield url, None, None, str(e)[:300]
 
 
 class WebSource(DataSource):
