@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 FACTS = (
     "title string, h1 string, h2 string, h5 string, canonical string, metas array<struct<name:string,content:string>>,"
@@ -136,11 +138,15 @@ def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     rest = [c for c in pages.columns if c != html]
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest] + [f.strip() for f in [FACTS]])
 
-    def run(frames):
-        for frame in frames:
-            facts = pd.DataFrame([read_page(h) for h in frame[html]], index=frame.index)
-            yield pd.concat([frame.drop(columns=[html]), facts], axis=1) if len(frame) else frame.drop(columns=[html]).reindex(columns=rest + ["title"])[:0]
+    kinds = to_arrow_schema(StructType.fromDDL(FACTS))
 
-    flat = pages.mapInPandas(run, schema)
-    names = [c for c in flat.columns if c not in rest]
-    return flat.select(*rest, F.struct(*names).alias("f"))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                facts = [read_page(h) for h in part.column(html).to_pylist()]
+                made = [pa.array([f[k.name] for f in facts], type=k.type) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], names=[*rest, *kinds.names])
+
+    flat = pages.mapInArrow(run, schema)
+    return flat.select(*rest, F.struct(*kinds.names).alias("f"))
