@@ -102,15 +102,15 @@ ORACLE = {
         ), raw AS (
             SELECT doc_id, source, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents
         ), sized AS (
-            SELECT doc_id, coalesce('=' || source, 'null') AS src, octet_length(encode(t)) + 1 AS size,
+            SELECT doc_id, md5('0|' || t) AS hash, coalesce('=' || source, 'null') AS src, octet_length(encode(t)) + 1 AS size,
                    xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(step[xor(c & 255, b) + 1], c >> 8))) AS text_crc32
             FROM raw, bits
         ), named AS (
-            SELECT *, md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32 || '|' || size) AS hash FROM sized
+            SELECT *, md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32 || '|' || size) AS own FROM sized
         ), ranked AS (
-            SELECT *, (2 * (row_number() OVER (PARTITION BY src ORDER BY hash, doc_id, text_crc32, size) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY src)) AS share FROM named
+            SELECT *, (2 * (row_number() OVER (PARTITION BY src ORDER BY hash, own, doc_id, text_crc32, size) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY src)) AS share FROM named
         ), placed AS (
-            SELECT *, row_number() OVER (ORDER BY share, src, hash, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
+            SELECT *, row_number() OVER (ORDER BY share, src, hash, own, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
         )
         SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // total)::INT AS shard,
                (place - ((place * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard

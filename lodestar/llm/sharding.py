@@ -1,19 +1,22 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled within each source by a seeded hash of their id, and ranked there. A row's fractional rank is
+Rows are shuffled within each source by a seeded hash of their text, equal texts by one of their id, and ranked there. So
+equal texts stand side by side, and as a hash is at about the same rank in every source, copies in several sources stand
+close together as well: only a group at one of the cuts between shards is divided. A row's fractional rank is
 (rank + 1/2) / rows of its source; sorted by it, every stretch of the whole order holds the sources in proportion.
 Cutting the order into equal stretches gives shards whose row counts differ by one at most and whose mixture is that of
 the whole, up to the few rows that a cut between ties of sources can shift.
 
-Neither ranking puts a source, or the whole, into one task. Within a source rows fall into buckets by their hash, and
+Neither ranking puts a source, a group of equal texts, or the whole, into one task. Within a source rows fall into buckets
+by their hash, a group larger than a bucket, which comes after the others of its bucket, into several of its own, and
 the whole order into buckets by fractional rank; a row's rank is the number of rows in the buckets before its own, from
 a small table of counts, plus its place in its bucket. The number of buckets follows the number of rows. Texts do not
 move: a row is its id, source, size and checksum.
 
 Defined results: a null text counts as empty for size and checksum; null sources are a source of their own; null ids are
 hashed as text 'null'; ids that repeat are told apart by checksum and size, so rows that are equal in all of these share an
-order that may vary; an empty table gives an empty result; other columns are ignored. Rows with equal texts are not kept
-together: the law is `rows`, and README says how many rows that leaves apart.
+order that may vary; an empty table gives an empty result; other columns are ignored. The law is `rows`, so groups of equal
+texts at a cut are divided, and those above a shard's size have to be; README says how many rows that leaves apart.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise
+from lodestar.llm.common import materialise, small
 
 SHARDS = 8
 PER_BUCKET = 5_000
@@ -29,12 +32,13 @@ _CHUNK = 1_000
 
 
 def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: str) -> DataFrame:
-    """rows with a gapless rank from 0 by (bucket, order) within group, each bucket ranked in a task of its own."""
+    """rows with a gapless rank from 0 by (bucket, order) within group, each bucket ranked in a task of its own. bucket: a
+    struct whose first field, b, is a number."""
     keys = ([group] if group else []) + ["__bucket"]
     rows = rows.withColumn("__bucket", bucket)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     # bucket counts are added up in chunks of buckets first, so that one task orders few of them at any size
-    counts = materialise(counts.withColumn("__chunk", F.floor(F.col("__bucket") / _CHUNK).cast("long")), "counts")
+    counts = materialise(counts.withColumn("__chunk", F.floor(F.col("__bucket.b") / _CHUNK).cast("long")), "counts")
     own = [group] if group else []
     chunks = counts.groupBy(*own, "__chunk").agg(F.sum("__n").alias("__c"))
     over = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
@@ -49,24 +53,29 @@ def _with_rank(rows: DataFrame, group: str | None, bucket, order: list, name: st
 def interleave(docs: DataFrame, seed: int = 0, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # size and checksum tell rows of one id apart, so that they fall into different buckets
+    # size and checksum tell rows of one id apart
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(text.cast("binary")).cast("string"), (F.octet_length(text) + 1).cast("string"))
-    shuffled = F.md5(name.cast("binary"))
+    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), text).cast("binary"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("__source"), F.col("source").cast("string").alias("source"),
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shuffled.alias("__hash"),
+        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shuffled.alias("__hash"), F.md5(name.cast("binary")).alias("__own"),
     )
     rows = materialise(rows, "sharding")
     total = rows.count()
     buckets = max(1, -(-total // per_bucket))
-    tie = ["__hash", "doc_id", "text_crc32", "size"]
-    bucket = F.expr(f"conv(substring(__hash, 1, 8), 16, 10) * {buckets} div {1 << 32}")
-    ranked = _with_rank(rows, "__source", bucket, tie, "__rank")
+    tie = ["__hash", "__own", "doc_id", "text_crc32", "size"]
+    large = rows.groupBy("__source", "__hash").agg(F.count("*").alias("__copies")).where(F.col("__copies") > per_bucket)
+    rows = rows.join(small(materialise(large, "copies")), ["__source", "__hash"], "left")
+    part = lambda column, parts: F.expr(f"cast(conv(substring({column}, 1, 8), 16, 10) as long) * {parts} div {1 << 32}")
+    own = F.when(F.col("__copies").isNotNull(), F.col("__hash")).otherwise("")
+    within = F.coalesce(part("__own", f"(__copies div {per_bucket} + 1)"), F.lit(0).cast("long"))
+    bucket = F.struct(part("__hash", buckets).alias("b"), own.alias("group"), within.alias("part"))
+    ranked = _with_rank(rows.withColumn("__bucket", bucket).drop("__copies"), "__source", F.col("__bucket"), tie, "__rank")
     ranked = ranked.withColumn("__share", (2 * F.col("__rank") + 1) / (2 * F.col("__size"))).drop("__size")
     ranked = materialise(ranked, "ranked")
     # the order is that of the doubles: fractions of sources of more than about 10^8 rows that are closer than 2^-53
     # count as equal, and then go by source
-    placed = _with_rank(ranked, None, F.floor(F.col("__share") * buckets).cast("long"), ["__share", "__source", *tie], "__at")
+    placed = _with_rank(ranked, None, F.struct(F.floor(F.col("__share") * buckets).cast("long").alias("b")), ["__share", "__source", *tie], "__at")
     shard = F.expr(f"__at * {shards} div {max(1, total)}")
     first = F.expr(f"(__shard * {max(1, total)} + {shards - 1}) div {shards}")
     return placed.withColumn("__shard", shard).select("doc_id", "source", "size", "text_crc32", F.col("__shard").cast("int").alias("shard"), (F.col("__at") - first).alias("slot"))

@@ -113,9 +113,14 @@ def test_shards_against_brute_force(spark, per_bucket):
     by = defaultdict(list)
     for i, t, s in rows:
         data = (t or "").encode()
-        by["null" if s is None else "=" + s].append((hashlib.md5(f"5|{i}|{zlib.crc32(data)}|{len(data) + 1}".encode()).hexdigest(), i))
-    order = sorted(((2 * k + 1) / (2 * len(v)), s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
-    want = {i: p * 8 // len(order) for p, (_, _, _, i) in enumerate(order)}
+        digest = lambda x: hashlib.md5(x).hexdigest()
+        by["null" if s is None else "=" + s].append((digest(b"5|" + data), digest(f"5|{i}|{zlib.crc32(data)}|{len(data) + 1}".encode()), i))
+    buckets, placed = -(-len(rows) // per_bucket), {}
+    for s, v in by.items():
+        often = Counter(h for h, _, _ in v)
+        placed[s] = sorted(v, key=lambda x: (int(x[0][:8], 16) * buckets >> 32, x[0] if often[x[0]] > per_bucket else "", x))
+    order = sorted(((2 * k + 1) / (2 * len(v)), s, h, o, i) for s, v in placed.items() for k, (h, o, i) in enumerate(v))
+    want = {i: p * 8 // len(order) for p, (_, _, _, _, i) in enumerate(order)}
     text = {i: t or "" for i, t, _ in rows}
     assert len(got) == len(rows)
     for r in got:
@@ -132,3 +137,10 @@ def test_shards_against_brute_force(spark, per_bucket):
     one_id = spark.createDataFrame([(None if k % 2 else 4, f"text {k}", "s") for k in range(60)], "doc_id long, text string, source string")
     again = sharding.interleave(one_id, per_bucket=5).collect()
     assert sorted(Counter(r.shard for r in again).values()) == [7] * 4 + [8] * 4 and len({(r.shard, r.slot) for r in again}) == 60
+    # groups of equal texts stay together but for those at a cut, in one source and in several
+    texts = [f"group {k // 6} of six" for k in range(1200)]
+    spread = spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    homes = defaultdict(Counter)
+    for r in sharding.interleave(spread).collect():
+        homes[r.doc_id // 6][r.shard] += 1
+    assert sum(len(c) == 1 for c in homes.values()) > 150
