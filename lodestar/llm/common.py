@@ -88,6 +88,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_column(df: DataFrame, name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

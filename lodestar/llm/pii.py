@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import free_names
+
 ROUNDS = 8
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 #: Characters of an IBAN by country (registry and countries that use the form).
@@ -78,8 +80,8 @@ def _shift(c: Column, by: Column) -> Column:
 
 
 def permute_characters(text: Column, key: str, kind: str) -> Column:
-    """Feistel network on the characters of text: letters stay letters, digits stay digits. 64 characters at most are
-    mixed with each other; longer texts go by such pieces."""
+    """Feistel network on the characters of text: letters stay letters, digits stay digits. Each half is
+    moved by 32 amounts drawn from the whole other half, which begin anew after every 32 characters."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
@@ -253,11 +255,12 @@ def pseudonymise(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     may = text.rlike("[0-9@]")
     # what no format can match is cheap to tell and stays as it is
     found = F.when(may, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    with_found = df.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    was, new = free_names(df, "__found", "__new")
+    with_found = df.withColumn(was, found).withColumn(new, F.transform(was, lambda m: pseudonym(m, key)))
     pieces = F.split(text, _ANY, -1)
     joined = F.array_join(
-        F.transform(pieces, lambda p, k: F.when(k == 0, p).otherwise(F.concat(F.coalesce(F.get(F.col("__new"), k - 1), F.get(F.col("__found"), k - 1)), p))), ""
+        F.transform(pieces, lambda p, k: F.when(k == 0, p).otherwise(F.concat(F.coalesce(F.get(F.col(new), k - 1), F.get(F.col(was), k - 1)), p))), ""
     )
     return with_found.withColumns({
-        column: F.when(F.size("__found") > 0, joined).otherwise(text), "n_pseudonyms": F.size(F.filter("__new", lambda x: x.isNotNull()))
-    }).drop("__found", "__new")
+        column: F.when(F.size(was) > 0, joined).otherwise(text), "n_pseudonyms": F.size(F.filter(new, lambda x: x.isNotNull()))
+    }).drop(was, new)

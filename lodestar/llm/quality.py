@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ class Model:
         keys = self.weights.keys()
         for k, t in enumerate(texts):
             known = keys & indicators(t)
-            out[k] = sum(map(get, known)) / max(1.0, len(known)) ** 0.5 + self.bias
+            out[k] = fsum(map(get, known)) / max(1.0, len(known)) ** 0.5 + self.bias
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:

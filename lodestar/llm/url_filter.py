@@ -13,7 +13,8 @@ nothing is exploded, joined or shuffled; rule sets of more than BLOCK rules are
 
 Defined results: a null URL, or one without "://", has an empty host and path, which no prefix rule fits; URLs of any
 length are read whole; repeated rows are kept; an empty table gives an empty result; of equally long prefix rules that
-fit, the later in text order wins; other columns are kept.
+fit, the later in text order wins; other columns are kept, but for those named as the results (host, path, rule, pattern,
+verdict), which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import free_names
+
 BLOCK = 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = re.compile("[a-z0-9]+")
@@ -142,13 +145,14 @@ def url_filter(df: DataFrame, rules: list[Rule], column: str = "url", block: int
         own = F.concat(_tokens(url), F.array(F.lit("")))
         found = _candidates(url, own, table, buckets)
         fits.append(F.filter(found, lambda e: F.regexp_like(F.when(e["kind"] == _PREFIX, target).otherwise(lowered), e["regex"])))
-    matched = with_parts.withColumn("__fit", fits[0] if len(fits) == 1 else F.concat(*fits))
-    best = F.array_max(F.transform(F.filter("__fit", lambda e: e["kind"] == _PREFIX), lambda e: F.struct(e["size"].alias("size"), e["text"].alias("text"), e["allow"].alias("allow"))))
-    pattern = F.array_max(F.transform(F.filter("__fit", lambda e: e["kind"] == _PATTERN), lambda e: F.struct(e["allow"].alias("allow"), e["text"].alias("text"))))
-    decided = matched.withColumns({"__best": best, "__pattern": pattern})
-    allowed = F.coalesce(F.col("__best.allow"), F.col("__pattern.allow"), F.lit(True))
+    fit, first, other = free_names(df, "__fit", "__best", "__pattern")
+    matched = with_parts.withColumn(fit, fits[0] if len(fits) == 1 else F.concat(*fits))
+    best = F.array_max(F.transform(F.filter(fit, lambda e: e["kind"] == _PREFIX), lambda e: F.struct(e["size"].alias("size"), e["text"].alias("text"), e["allow"].alias("allow"))))
+    pattern = F.array_max(F.transform(F.filter(fit, lambda e: e["kind"] == _PATTERN), lambda e: F.struct(e["allow"].alias("allow"), e["text"].alias("text"))))
+    decided = matched.withColumns({first: best, other: pattern})
+    allowed = F.coalesce(F.col(f"{first}.allow"), F.col(f"{other}.allow"), F.lit(True))
     return decided.withColumns({
-        "rule": F.col("__best.text"),
-        "pattern": F.when(F.col("__best").isNull(), F.col("__pattern.text")),
+        "rule": F.col(f"{first}.text"),
+        "pattern": F.when(F.col(first).isNull(), F.col(f"{other}.text")),
         "verdict": F.when(allowed, "allow").otherwise("block"),
-    }).drop("__fit", "__best", "__pattern")
+    }).drop(fit, first, other)

@@ -43,3 +43,21 @@ def test_stages_keep_the_columns(spark, sf_dir):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+
+
+def test_stages_take_rows_of_any_kind(spark, sf_dir):
+    """Null ids and texts, repeated rows, clashing names, empty tables: each stage after the other."""
+    rows = [(1, "a plain text", "x"), (1, "a plain text", "x"), (2, None, "x"), (None, "a plain text", "x"), (None, None, None), (3, "", "y"), (4, "another text altogether here", "z"), (5, "w " * 50_000, "z")]
+    schema = "doc_id long, text string, source string"
+    frame = spark.createDataFrame(rows, schema).selectExpr("*", "'v' as __id", "'v' as label", "1 as kept", "2 as fp", "3 as __salt", "4 as hot")
+    for start in (frame, frame.limit(0)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            after = stage(spark, docs, sf_dir)
+            if name != "sentencepiece":
+                assert after.columns == docs.columns, name
+            docs = corpus_pipeline.materialise(after, name)
+        got = docs.collect()
+        assert all(r.round_trip for r in got) and (len(got) > 0) == (start is frame)
+    first = exact_dedup.keep_first(frame)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in first.collect()) == [(1, "a plain text"), (3, ""), (4, "another text altogether here"), (5, "w " * 50_000)]

@@ -39,6 +39,16 @@ def test_url_rules(spark, block):
     assert url_filter.url_filter(df.limit(3), []).count() == 3
 
 
+def test_columns_of_the_helpers_names_stay(spark):
+    """Columns named as the results are replaced, all others stay, whatever they are called."""
+    pages = spark.createDataFrame([(1, "https://www.example.com/en/x", "h", "f", "b", "p", "_f")], "page_id long, url string, host string, __fit string, __best string, __pattern string, ___fit string")
+    got = url_filter.url_filter(pages, [url_filter.prefix_rule(*r) for r in URL_RULES]).first()
+    assert (got["host"], got["__fit"], got["__best"], got["__pattern"], got["___fit"], got["verdict"]) == ("www.example.com", "f", "b", "p", "_f", "allow")
+    texts = spark.createDataFrame([("call +1 980 555 6268", "a", "b", 3)], "text string, __found string, __new string, n_pseudonyms int")
+    got = pii.pseudonymise(texts, key="k").first()
+    assert (got["__found"], got["__new"], got["n_pseudonyms"]) == ("a", "b", 1) and got["text"] != "call +1 980 555 6268"
+
+
 def test_rules_are_filed_under_whole_tokens():
     assert url_filter.prefix_rule("block", "example.com", "/en/ab").tokens == ("example", "com", "en")
     assert url_filter.pattern_rule("/banner/*/img^").tokens == ("banner", "img")
