@@ -1,7 +1,12 @@
 """From raw documents to token ids: five stages, each over all rows that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents."""
+one's docs. All but the last return the columns of documents.
+
+Defined results, whatever the stage: a null text counts as the empty one, and rows with it are clean, equal to each other,
+and have no tokens; null ids count as one id that is larger than all others for near copies and smaller for exact ones; of
+rows that repeat an id and a text one stays; texts of any length are taken whole; a table without rows gives one without
+rows; other columns, whatever their names, are kept up to the last stage."""
 
 from __future__ import annotations
 
