@@ -157,7 +157,7 @@ CARDS = {
 def hits_of(payloads: DataFrame, engine: str) -> DataFrame:
     """url, title, snippet, ord of the cards of one engine's page, or of the results of one that answers in JSON."""
     if engine not in CARDS:
-        found = opensearch_hits(payloads) if engine == "wikipedia" else searxng_hits(payloads)
+        found = opensearch_hits(payloads, "ord") if engine == "wikipedia" else searxng_hits(payloads, "ord")
         return found.select("url", "title", "snippet", "ord").where(F.col("url").rlike("^https?://") & ~urls.hostname(F.col("url")).isin(*ENGINES))
     begins, link, snippet = CARDS[engine]
     at = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()

@@ -510,17 +510,17 @@ def _place(payloads: DataFrame) -> Column:
     return (F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()).alias("__at")
 
 
-def opensearch_hits(payloads: DataFrame) -> DataFrame:
-    """url, title, snippet of an OpenSearch reply: [query, titles, descriptions, urls]."""
+def opensearch_hits(payloads: DataFrame, *placed: str) -> DataFrame:
+    """url, title, snippet (and ord, if asked for) of an OpenSearch reply: [query, titles, descriptions, urls]."""
     j = F.from_json("payload", "array<string>")
     part = lambda k: F.from_json(F.get(j, F.lit(k)), "array<string>")
     zipped = F.arrays_zip(part(3).alias("url"), part(1).alias("title"), part(2).alias("snippet"))
     rows = payloads.select(_place(payloads), F.posexplode(zipped).alias("__pos", "h"))
-    return rows.select("h.url", "h.title", "h.snippet", (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''")
+    return rows.select("h.url", "h.title", "h.snippet", (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *placed)
 
 
-def searxng_hits(payloads: DataFrame) -> DataFrame:
-    """url, title, snippet of a SearXNG reply."""
+def searxng_hits(payloads: DataFrame, *placed: str) -> DataFrame:
+    """url, title, snippet (and ord, if asked for) of a SearXNG reply."""
     j = F.from_json("payload", "results array<struct<url:string,title:string,content:string>>")
     rows = payloads.select(_place(payloads), F.posexplode(j["results"]).alias("__pos", "h"))
-    return rows.select("h.url", "h.title", F.col("h.content").alias("snippet"), (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''")
+    return rows.select("h.url", "h.title", F.col("h.content").alias("snippet"), (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *placed)
