@@ -6,7 +6,7 @@ are never main text (menus, headers, footers, sidebars, forms, and those whose c
 comments or the like) do not count. A name alone proves little, as layout wrappers and page builders use the same words:
 a name does not count where it negates the word (has-sidebar), or where the element holds the page's main element, most of
 its text together with an article or its first heading, or nearly all of its text; and a page that would have no text is
-read without names. The best container's path, as tags and classes with digits generalised, is the
+read without names. Of a table that lays out the page, the cell with nearly all of its text is taken. The best container's path, as tags and classes with digits generalised, is the
 page's vote. Votes are added up per host in Spark, and the path with most votes wins. Every page then is read again:
 the text of its containers on its host's winning path is its main text, or that of its own best container where it has
 none there. So a page with little text, or much of something else, is read as the other pages of its host suggest.
@@ -284,6 +284,25 @@ def best(page: Page) -> _Node | None:
     found = max((n for n in page.nodes if not n.apart and n.tag not in _LEAF), key=lambda n: (n.score, -n.number), default=None)
     if found is None or found.score <= 0:
         return None
+    # of a table that only lays out the page, the cell that holds nearly all of it
+    if found.tag in ("table", "tbody", "tr"):
+        cells: dict[int, float] = {}
+        by_number = {n.number: n for n in page.nodes}
+        whole = 0.0
+        for _, node, worth in page.blocks:
+            cell = None
+            up = node.parent
+            while up is not None and up is not found:
+                if up.tag in ("td", "th") and cell is None:
+                    cell = up
+                up = up.parent
+            if up is found and not node.apart:
+                whole += worth
+                if cell is not None:
+                    cells[cell.number] = cells.get(cell.number, 0.0) + worth
+        top = max(cells, key=lambda k: (cells[k], -k), default=None)
+        if top is not None and cells[top] > _NEARLY_ALL * whole:
+            return by_number[top]
     # an article or main element around it is the container
     node = found
     while node is not None:
