@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, html_extract, pii, quality, sentencepiece, sharding, toxicity, url_filter
+from lodestar.llm import decontaminate, filter_audit, html_extract, pii, quality, runs, sentencepiece, sharding, substring_dedup, toxicity, url_filter
 from lodestar.llm.common import held_out, table
 from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.simhash import simhash_components
@@ -60,6 +60,19 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark, sf_dir):
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), made_periodic=True).drop("runs", "collapsed")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -71,8 +84,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+#: Words of a text, in SQL.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
     "op1_url_filter": """
         WITH parts AS (
@@ -121,4 +140,45 @@ ORACLE = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op11_substring_dedup": f"""
+        WITH texts AS (
+            SELECT doc_id, {_WORDS} AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS key FROM texts, unnest(range(1, greatest(len(w) - 18, 1))) AS t(i)
+        ), repeats AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS i FROM repeats, unnest(range(0, 20)) AS t(k)
+        ), listed AS (
+            SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM texts LEFT JOIN listed USING (doc_id)""",
+    "op12_filter_audit": f"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents
+        ), masks AS (
+            SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), min(doc_id) OVER (PARTITION BY t) IS NOT NULL)] AS f
+            FROM texts
+        ), known AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+        ), counted AS (
+            SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masks LEFT JOIN known USING (doc_id) GROUP BY part, f
+        ), letters AS (
+            SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) AS t(c, k)
+        ), orders AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+        ), steps AS (
+            SELECT filter_order, step::INT AS step, ks[step] AS own, ks[1:step - 1] AS prior FROM orders, unnest(range(1, 6)) AS t(step)
+        ), placed AS (
+            SELECT *, f[own] AS fails, len(list_filter(prior, lambda k: f[k])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS failed FROM counted, steps
+        )
+        SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND failed = 1), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+               coalesce(sum(n * (120 // greatest(failed, 1))) FILTER (fails), 0)::BIGINT AS shapley
+        FROM placed GROUP BY part, filter_order, step""",
 }
