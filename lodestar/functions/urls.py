@@ -143,7 +143,9 @@ def _resolve(u: Column) -> Column:
     for site in (s for s in SITES if s.platform != "Bunkr"):
         tries.append(F.when(_is_of(u["netloc"], site), let(F.regexp_extract(u["rest"], f"(?i)^/{_one_of(site.leads)}{_id(site.signs)}", 1), found_as(site.platform, site.canonical))))
     # owner and name of a repository, where its files are shown
-    repository = F.regexp_extract(u["path"], "(?i)^/([^/]+/[^/]+)/(?:archive|releases)", 1)
+    parts = F.split(u["path"], "/")
+    owner, name, shown = (F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in (1, 2, 3))
+    repository = F.when((owner != "") & (name != "") & F.lower(shown).isin("releases", "archive"), F.concat(owner, F.lit("/"), name)).otherwise("")
     tries.append(F.when((u["netloc"] == "github.com") | u["netloc"].endswith(".github.com"), let(repository, found_as("GitHub", None))))
     for mark in MARKS:
         for text in (u["norm"], u["raw"]):  # first in its normal form, then as given

@@ -14,7 +14,7 @@ from lodestar.plans.query import Options, parse
 from lodestar.schema import items
 from lodestar.sources import catalog
 from lodestar.sources.crawl import crawl_targets, file_host_targets
-from lodestar.sources.extract import extract_pages
+from lodestar.sources.extract import extract_pages, page_of
 from lodestar.sources.feeds import distinct_hits
 from lodestar.sources.html_facts import page_facts
 
@@ -291,7 +291,7 @@ def q_search_pages(spark, sf_dir):
 def q_extract_pages(spark, sf_dir):
     """All extractors over the raw pages; each of these pages has a title and no other metadata."""
     found = extract_pages(_table(spark, sf_dir, "pages"))
-    return found.select(F.floor(F.col("ord") / 1_000_000).cast("bigint").alias("page_id"), "id", F.col("n_merged").cast("int").alias("n_merged"), "title")
+    return found.select(page_of(F.col("ord")).alias("page_id"), "id", F.col("n_merged").cast("int").alias("n_merged"), "title")
 
 
 @query("q_extract_links", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, regexp_extract(html, '<a href="([^"]*)"', 1) AS first_href FROM pages""")

@@ -31,8 +31,8 @@ FIELDS = ("title", "file_name", "description", "tags", "categories", "uploader",
 SCHEMA = ", ".join(f"{n} {t}" for n, t in COLUMNS.items())
 
 
-def items(df: DataFrame, **given: Column) -> DataFrame:
-    """A frame of items: the given columns, defaults for the others, and origin columns if df has them."""
+def items(df: DataFrame, keep: list[str] | None = None, **given: Column) -> DataFrame:
+    """A frame of items: the given columns, defaults for the others, origin columns if df has them, and those to keep."""
     defaults = {
         "title": F.lit(""), "description": F.lit(""), "item_type": F.lit("FILE"), "tags": F.array(), "categories": F.array(), "metadata_sources": F.array(),
         "raw_metadata": F.create_map(), "relevance_score": F.lit(0.0),
@@ -50,7 +50,7 @@ def items(df: DataFrame, **given: Column) -> DataFrame:
             out.append(given[name].cast(kind).alias(name))
         elif name in df.columns:
             out.append(F.col(name).cast(kind).alias(name))
-    return df.select(*out)
+    return df.select(*out, *(keep or []))
 
 
 def netloc(url: Column) -> Column:

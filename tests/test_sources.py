@@ -109,7 +109,7 @@ def test_pages(spark):
     got = extract_pages(df).collect()
     by = {}
     for r in got:
-        by.setdefault(r.ord // 1_000_000, []).append(r)
+        by.setdefault(r.ord >> 20, []).append(r)
     (m,) = by[1]
     assert (m.title, m.download_url, m.file_size_bytes, m.item_type, m.n_merged) == ("MediaFire - x", "https://www.mediafire.com/dl/x.zip", 1572864, "ARCHIVE", 2)
     assert sorted(r.id for r in by[2]) == ["html:http://f.example.org/pub", "opendir:http://f.example.org/pub", "opendir_file:http://f.example.org/pub/a.iso"] or len(by[2]) == 2
