@@ -8,7 +8,8 @@ The search loses nothing. An item is cut into pieces of 5 characters, side by si
 a passage with at most k edits holds all but k of the pieces unchanged, at distances from their places in the item that
 differ by at most k. Every character of the text is looked up in the pieces of all items; where as many different pieces
 of an item meet as it must keep, the text around is verified by exact edit distance, unless too few of the item's
-5-grams (all of them, at every character) occur there for so few edits. Items that could lose all their pieces, which
+runs of two and three characters occur there, each near its place, for so few edits (all items that meet at a place are
+looked at together, so a text that holds an opening of thousands of items costs little). Items that could lose all their pieces, which
 takes a larger `max_edits`, are verified against the whole text.
 
 The method named for this operator, a random-walk embedding of edit into Hamming distance with bit-sampling LSH, cannot
@@ -45,6 +46,8 @@ _PIECE = 5
 _SHARE, _LEAST = 0.7, 4
 #: Cells for each piece that occurs.
 _ROOM = 2
+#: Items whose places in a text fall in one stretch of so many characters are looked at together.
+_STRETCH = 64
 #: Texts are searched together up to this many characters.
 _TOGETHER = 1 << 15
 _TEXT_BLOCK = 1 << 20
@@ -79,6 +82,69 @@ def _grams(codes: np.ndarray) -> np.ndarray:
         return (h4[:-1] * _BASE + h1[4:]) * np.uint64(0xD6E8FEB86659FD93)
 
 
+class _Near:
+    """The runs of n characters of all items, for a count of those that occur near their places. One edit spoils at most
+    n of an item's runs; the others stand where they should, give or take the edits."""
+
+    def __init__(self, items: list[np.ndarray], n: int):
+        self.n = n
+        runs = [self._runs(c) for c in items]
+        self.known, ids = np.unique(np.concatenate(runs), return_inverse=True) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.ids, self.at = ids.astype(np.int32), np.cumsum([0, *map(len, runs)])
+        #: scratch: row of each run in the part that is looked at
+        self.row = np.zeros(len(self.known), np.int32)
+
+    def _runs(self, codes: np.ndarray) -> np.ndarray:
+        wide = codes.astype(np.uint64)
+        if len(wide) < self.n:
+            return wide[:0]
+        out = wide[: len(wide) - self.n + 1]
+        for k in range(1, self.n):
+            out = out << np.uint64(21) | wide[k : len(out) + k]
+        return out
+
+    def enough(self, part: np.ndarray, items: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which of the items, at offsets from low to high give or take their edits, have enough of their runs in part."""
+        if not len(items) or not len(self.known):
+            return np.ones(len(items), bool)
+        runs = self._runs(part)
+        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
+        there = np.flatnonzero(self.known[at] == runs)
+        ids, row = np.unique(at[there], return_inverse=True)
+        # how often each run of the part stands before each place
+        width = len(runs) + 1
+        before = np.zeros((len(ids) + 1, width), np.int16)
+        before[row + 1, there + 1] = 1
+        np.cumsum(before, axis=1, out=before)
+        before = before.reshape(-1)
+        self.row[ids] = np.arange(1, len(ids) + 1, dtype=np.int32) * width
+        counts = self.at[items + 1] - self.at[items]
+        ends = np.cumsum(counts)
+        place = np.arange(int(ends[-1]), dtype=np.int32)
+        of = self.row[self.ids[place + np.repeat((self.at[items] - ends + counts).astype(np.int32), counts)]]
+        self.row[ids] = 0
+        # offsets in `before` of the first and last place at which each run may stand
+        first = place + np.repeat((low - most - ends + counts).astype(np.int32), counts)
+        last = first + np.repeat((high - low + 2 * most + 1).astype(np.int32), counts)
+        for bound in (first, last):
+            np.minimum(bound, len(runs), out=bound)
+            np.maximum(bound, 0, out=bound)
+            bound += of
+        there = before.take(last) > before.take(first)
+        kept = np.zeros(len(items), np.int64)
+        some = counts > 0
+        kept[some] = np.add.reduceat(there, (ends - counts)[some], dtype=np.int64)
+        return kept >= counts - self.n * most
+
+
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places in the order of first, then second."""
+    low, bits = int(second.max()).bit_length(), len(first).bit_length()
+    if int(first.max()).bit_length() + low + bits < 63:  # all in one number sorts several times as fast
+        return np.sort((first << low | second) << bits | np.arange(len(first))) & ((1 << bits) - 1)
+    return np.lexsort((second, first))
+
+
 def _string(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -163,7 +229,6 @@ class Index:
         seeded = [i for i, k in enumerate(keep) if k >= 1]
         # the commonest pieces of an item go, each with one of those it must keep, while a share of the latter is left
         whole = [_grams(c) for c in self.codes]
-        self.runs = whole
         known, often = np.unique(np.concatenate(whole), return_counts=True) if whole else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         grams, places = [], []
         for i in seeded:
@@ -182,6 +247,10 @@ class Index:
         self.need = np.repeat(np.array([keep[i] for i in seeded], dtype=np.int64), sizes)[order]
         self.narrow = np.repeat(np.array([1 / (self.most[i] + 1) for i in seeded], dtype=np.float64), sizes)[order]
         self.spread = self.item * np.int64(0x9E3779B1)
+        self.near = [_Near(self.codes, n) for n in (3, 2)]
+        self.sizes, self.limits = np.array([len(c) for c in self.codes], np.int64), np.array(self.most, np.int64)
+        #: comparisons made
+        self.compared = 0
         #: texts lie so far apart that no two of them meet in one item's cells
         self.gap = self.longest + 4 * (max(self.most, default=0) + 1)
         # pieces by the first bits of their hash
@@ -192,16 +261,17 @@ class Index:
         self.bucket[bucket[::-1]] = np.arange(len(bucket), dtype=np.int32)[::-1]
         self.fullest = int(np.unique(bucket, return_counts=True)[1].max()) if len(bucket) else 0
 
-    def _places(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(text, item, least and largest offset) where an item could start: enough of its different pieces occur, and
-        at distances from their places in it that differ by less than twice the item's edits. Sorted."""
+    def _places(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Rows (text, least and largest offset, item) where an item could start: enough of its different pieces occur, and
+        at distances from their places in it that differ by less than twice the item's edits. Sorted, each once."""
+        none = np.zeros((0, 4), np.int64)
         h = _grams(texts[0] if len(texts) == 1 else np.concatenate(texts))
         k = self.bucket[h >> self.shift]
         at = np.flatnonzero(k >= 0)
         k, h = k[at], h[at]
         hits = [(at[same], k[same] + j) for j in range(self.fullest) for same in [np.flatnonzero(self.grams[np.minimum(k + j, len(self.grams) - 1)] == h)]]
         if not sum(len(x) for x, _ in hits):
-            return []
+            return none
         at, k = (np.concatenate(x) for x in zip(*hits))
         k = np.minimum(k, len(self.grams) - 1)
         begin = np.cumsum([0, *map(len, texts)])
@@ -220,65 +290,74 @@ class Index:
         pair = count[1:-1] + np.maximum(count[:-2], count[2:])
         left = np.flatnonzero(pair[hashed] >= self.need[post])
         if not len(left):
-            return []
+            return none
         post, cell, diagonal = post[left], cell[left], diagonal[left]
-        order = np.lexsort((cell, self.item[post]))
+        order = _order(self.item[post] * (int(cell.max()) + 2) + cell, self.place[post])
         post, cell, diagonal = post[order], cell[order], diagonal[order]
-        item, need, place = self.item[post], self.need[post], self.place[post]
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(item) != 0)) + 1, [len(cell)]])
-        lead, size = cuts[:-1], np.diff(cuts)
-        meets = np.zeros(len(lead), dtype=bool)
-        meets[:-1] = (item[lead[1:]] == item[lead[:-1]]) & (cell[lead[1:]] == cell[lead[:-1]] + 1)
-        both = size + np.where(meets, np.append(size[1:], 0), 0)
-        found = set()
-        for g in np.flatnonzero(both >= need[lead]).tolist():
-            a, b = int(cuts[g]), int(cuts[g + (2 if meets[g] else 1)])
-            if len(set(place[a:b].tolist())) >= need[a]:
-                low, high = int(diagonal[a:b].min()), int(diagonal[a:b].max())
-                found.add((int(item[a]), low, high))
-        if not found:
-            return []
+        item, place = self.item[post], self.place[post]
+        new = np.ones(len(post), bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (item[1:] != item[:-1])
+        lead = np.flatnonzero(new)
+        # different pieces of each cell, and of it and the next one: at least as many as of both together
+        other = new.copy()
+        other[1:] |= place[1:] != place[:-1]
+        size = np.add.reduceat(other, lead, dtype=np.int64)
+        low, high = np.minimum.reduceat(diagonal, lead), np.maximum.reduceat(diagonal, lead)
+        item, cell, need = item[lead], cell[lead], self.need[post[lead]]
+        meets = np.flatnonzero((item[1:] == item[:-1]) & (cell[1:] == cell[:-1] + 1))
+        both = size.copy()
+        both[meets] += size[meets + 1]
+        wide, far = low.copy(), high.copy()
+        wide[meets], far[meets] = np.minimum(low[meets], low[meets + 1]), np.maximum(high[meets], high[meets + 1])
+        good = both >= need
+        item, wide, far = item[good], wide[good], far[good]
         # back from the offsets with gaps to the text and the offset in it
         starts = begin[:-1] + (np.arange(len(texts)) + 1) * self.gap
-        out = []
-        for i, low, high in found:
-            t = int(np.searchsorted(starts, low + self.longest, side="right")) - 1
-            out.append((t, i, low - int(starts[t]), high - int(starts[t])))
-        return sorted(out)
+        t = np.searchsorted(starts, wide + self.longest, side="right") - 1
+        rows = np.stack([t, wide - starts[t], far - starts[t], item], axis=1)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        once = np.ones(len(rows), bool)
+        once[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        return rows[once]
 
     def _verify(self, pieces: list[tuple[int, np.ndarray]], out: list[dict[int, int]]) -> None:
-        """Put the least numbers of edits into out, for texts and the parts of them in pieces."""
-        places = self._places([codes for _, codes in pieces]) if len(self.grams) else []
-        places += [(p, i, 0, len(codes)) for p, (_, codes) in enumerate(pieces) for i in self.anywhere]
-        runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for p, i, low, high in places:
-            t, codes = pieces[p]
-            item, most = self.number[i], self.most[i]
-            bound = min(most, out[t].get(item, most + 1) - 1)
-            if bound < 0:
-                continue
-            start, end = max(0, low - most), max(0, high + len(self.codes[i]) + most)
-            wanted = len(self.runs[i]) - _PIECE * bound
-            if wanted > 0:
-                if p not in runs:
-                    found = _grams(codes)
-                    order = np.argsort(found, kind="stable")
-                    runs[p] = found[order], order
-                found, order = runs[p]
-                # how many of the item's runs occur in the part
-                first, last = np.searchsorted(found, self.runs[i], "left"), np.searchsorted(found, self.runs[i], "right")
-                has = 0
-                for a, b in zip(first.tolist(), last.tolist()):
-                    if b - a == 1:
-                        has += start <= order[a] < end
-                    elif b > a:
-                        k = a + int(np.searchsorted(order[a:b], start))
-                        has += k < b and order[k] < end
-                if has < wanted:
-                    continue
-            edits = within(self.codes[i], codes[start:end], bound)
+        """Put the least numbers of edits into out, for texts and the parts of them in pieces. Items that may begin near
+        the same place are looked at together; an item is compared with equal parts of texts once."""
+        rows = self._places([codes for _, codes in pieces]) if len(self.grams) else np.zeros((0, 4), np.int64)
+        looked: dict[tuple, np.ndarray] = {}
+        compared: dict[tuple[int, bytes], int | None] = {}
+
+        def compare(t: int, i: int, part: np.ndarray) -> None:
+            item, key = self.number[i], (i, part.tobytes())
+            if out[t].get(item) == 0:
+                return
+            if key not in compared:
+                self.compared += 1
+                compared[key] = within(self.codes[i], part, self.most[i])
+            edits = compared[key]
             if edits is not None:
-                out[t][item] = edits
+                out[t][item] = min(edits, out[t].get(item, edits))
+
+        # rows of one text whose least offsets fall in one stretch
+        stretch = rows[:, 1] // _STRETCH
+        edges = np.concatenate([[0], np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (stretch[1:] != stretch[:-1])) + 1, [len(rows)]]).tolist() if len(rows) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            t, codes = pieces[int(rows[a, 0])]
+            low, high, items = rows[a:b, 1:].T
+            first, last = low - self.limits[items], high + self.sizes[items] + self.limits[items]
+            start = max(0, int(first.min()))
+            part = codes[start : max(0, int(last.max()))]
+            key = (part.tobytes(), items.tobytes(), (low - start).tobytes(), (high - low).tobytes())
+            if key not in looked:
+                left = np.arange(len(items))
+                for grams in self.near:
+                    left = left[grams.enough(part, items[left], low[left] - start, high[left] - start, self.limits[items[left]])]
+                looked[key] = left
+            for k in looked[key].tolist():
+                compare(t, int(items[k]), codes[max(0, int(first[k])) : max(0, int(last[k]))])
+        for t, codes in pieces:
+            for i in self.anywhere:
+                compare(t, i, codes)
 
     def _short_items(self, text: str, found: dict[int, int]) -> None:
         for number, item, most, pieces in self.short:

@@ -331,16 +331,58 @@ def test_exhaustive_comparison(spark, rate):
                 assert (d, i) not in got or got[d, i][1] == 1 - want / len(code)
 
 
+def template(n, seed):
+    """Items of about 100 characters that share an opening of 48."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(20_000)]
+    prose = lambda size: " ".join(r.choice(words) for _ in range(size // 6 + 1))[:size].strip()
+    opening = "which of the following best describes the reason"
+    return opening, [(k, f"{opening} {prose(52)}") for k in range(n)], prose
+
+
 def test_shared_openings_cost_little():
     """Items from one template: a text that holds the opening alone is compared by counts, not item by item at length."""
-    opening = "which of the following best describes the reason that "
-    items = [(k, opening + p) for k, p in enumerate(passages(800, 5))]
+    opening, items, prose = template(2000, 5)
     index = decontaminate.Index(items)
-    texts = [f"{passages(1, k)[0]} {opening} nothing at all happens here {k}" for k in range(8)] + [items[17][1]]
-    began = time.time()
-    found = index.search(texts)
-    assert time.time() - began < 20
-    assert not any(found[:8]) and found[8] == {17: 0}
+    texts = [f"{prose(3000)} {opening} {prose(3000)}" for _ in range(20)]
+    began = time.process_time()
+    found = index.search([*texts, "see " + items[17][1]])
+    assert time.process_time() - began < 1  # 11 s before items were looked at together
+    assert not any(found[:20]) and found[20] == {17: 0}
+    assert index.compared < 400  # of 40 000 pairs of an item and a place
+
+
+def test_a_repeated_opening_costs_little():
+    opening, items, prose = template(2000, 6)
+    index = decontaminate.Index(items)
+    began = time.process_time()
+    assert index.search([f"{opening} " * 205]) == [{}]
+    assert time.process_time() - began < 3 and index.compared < 100  # 167 s before
+    filled = " ".join(f"{opening} {prose(60)}" for _ in range(90))
+    began = time.process_time()
+    assert index.search([filled, filled + " " + items[3][1]]) == [{}, {3: 0}]
+    assert time.process_time() - began < 5
+
+
+def test_openings_lose_nothing():
+    """Items of a template against all passages of a text, by exact distance."""
+    opening, items, prose = template(40, 7)
+    r = random.Random(8)
+    for most in (0.15, 0.3):
+        index = decontaminate.Index(items, most)
+        for k in range(12):
+            text = list(f"{prose(300)} {opening} {prose(80)} {items[k][1]} {prose(40)} {opening} {prose(100)}")
+            for _ in range(r.randint(0, 60)):
+                text[r.randrange(len(text))] = r.choice("etaoin ")
+            text = "".join(text)
+            codes = decontaminate.normalise(text)
+            want = {}
+            for n, (_, item) in enumerate(items):
+                item = decontaminate.normalise(item)
+                edits = decontaminate.within(item, codes, int(most * len(item)))
+                if edits is not None:
+                    want[n] = edits
+            assert index.search([text]) == [want]
 
 
 def test_repeated_ids_use_their_own_lengths(spark):
