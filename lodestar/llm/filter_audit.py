@@ -68,13 +68,14 @@ def _within(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     return rows.join(small(classes.select(key)), key, "left_semi")
 
 
-def copies(docs: DataFrame, text: str, doc_id: str, keep: list[str], hashed=F.xxhash64) -> DataFrame:
-    """The rows (columns `keep`) whose text equals that of a row with a smaller id. hashed: of the blocks."""
+def copies(docs: DataFrame, text: str, doc_id: str, keep: list[str], hashed=F.xxhash64, more: dict[str, Column] | None = None) -> DataFrame:
+    """The rows (columns `keep`) whose text equals that of a row with a smaller id. hashed: of the blocks. more: columns
+    that are computed for the documents left after the first block alone."""
     begun = docs.select("*", F.length(text).alias("__length"))
     lengths = _repeated(begun, "__length")
     begun = _within(begun, lengths, "__length").withColumn("__class", hashed("__length", F.substring(text, 1, BLOCK)))
     classes = _repeated(begun, "__class")
-    alive = materialise(_within(begun, classes, "__class"), "alive")
+    alive = materialise(_within(begun, classes, "__class").withColumns(more or {}), "alive")
     remove(docs.sparkSession, lengths)
     longest = alive.agg(F.max("__length")).first()[0] or 0
     left = alive
@@ -100,15 +101,15 @@ def copies(docs: DataFrame, text: str, doc_id: str, keep: list[str], hashed=F.xx
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask and the numbers of documents, good ones and toxic ones; written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text_column(docs).alias("text"))
-    rows = rows.withColumn("mask", failures(F.col("text")))
+    mask = failures(F.col("text"))
     known = (
         labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     )
     known = small(materialise(known, "labels"))
     counted = [F.count("*").alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic")]
-    whole = rows.select("id", "part", "mask").join(known, "id", "left").groupBy("part", "mask").agg(*counted)
-    late = materialise(copies(rows, "text", "id", ["id", "part", "mask"]).join(known, "id", "left").groupBy("part", "mask").agg(*counted), "late")
+    whole = rows.select("id", "part", mask.alias("mask")).join(known, "id", "left").groupBy("part", "mask").agg(*counted)
+    late = materialise(copies(rows, "text", "id", ["id", "part", "mask"], more={"mask": mask}).join(known, "id", "left").groupBy("part", "mask").agg(*counted), "late")
     less = late.select("part", "mask", *(F.negate(c).alias(c) for c in ("n", "good", "toxic")))
     more = late.withColumn("mask", F.col("mask").bitwiseOR(COPY))
     summed = [F.sum(c).cast("long").alias(c) for c in ("n", "good", "toxic")]
