@@ -15,7 +15,8 @@ Within a container, character references are decoded, white space inside a block
 in page order by a line feed, and nothing else is dropped or cut.
 
 Defined results: null or empty html gives the empty text; a null url, or one without "://", has the empty host, whose
-pages vote together; unclosed and stray tags are tolerated; pages of any length are read whole; repeated rows get equal
+pages vote together; unclosed and stray tags are tolerated, and an element without text of its own (a video, a drawing, a
+button) hides nothing unless it is closed within its parent; pages of any length are read whole; repeated rows get equal
 results; of paths with equally many votes the last in text order wins; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -37,7 +38,9 @@ from lodestar.llm.url_filter import host_of
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Fixed values of HTML: elements by how they nest.
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select button video audio xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that show no text of their own, but hold markup.
+_SKIPPED = frozenset("noscript template svg object canvas select button video audio annotation annotation-xml".split())
 _BLOCK = frozenset(
     "html head body div section article main nav header footer aside ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset"
     " blockquote p h1 h2 h3 h4 h5 h6 pre figure figcaption address details summary dialog menu center hgroup search label".split()
@@ -47,6 +50,8 @@ _CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Of an article's header these hold links, tags and addresses; the rest is its title and lead.
+_LISTS = frozenset("ul ol dl menu address details".split())
 _SCOPE = frozenset("table ul ol dl div section article main body blockquote td th".split())
 _ASIDE_TAGS = frozenset("head nav header footer aside form dialog menu search label".split())
 _ASIDE_WORDS = frozenset(
@@ -87,6 +92,19 @@ class _Node:
     score: float = 0.0
 
 
+@dataclass
+class _Skipped:
+    """An open element whose text is not shown, and what stood before it."""
+
+    tag: str
+    parts: list
+    links: int
+    blocks: int
+    depth: int
+    node: _Node
+    open: int = 1
+
+
 @dataclass
 class Page:
     """Blocks of a page in order (text, node, length outside links), and its nodes."""
@@ -202,6 +220,7 @@ def read(source: str, by_name: bool = True) -> Page:
     parts: list[str] = []
     links = 0
     in_link = False
+    skipped: _Skipped | None = None
 
     def flush() -> None:
         nonlocal links
@@ -214,9 +233,27 @@ def read(source: str, by_name: bool = True) -> Page:
         links = 0
 
     def close(k: int) -> None:
+        nonlocal skipped
+        if skipped is not None and k < skipped.depth:
+            reveal()
         flush()
         del stack[k:]
 
+    def reveal() -> None:
+        """An element that is skipped has no end tag where it should: what follows its start is text like any other."""
+        nonlocal skipped, links
+        now, skipped = skipped, None
+        if len(page.blocks) == now.blocks:
+            parts[:0] = now.parts
+            links += now.links
+        else:
+            text, worth = " ".join(entities.unescape("".join(now.parts)).split()), -2.0 * now.links
+            if text and page.blocks[now.blocks][1] is now.node:  # the line goes on behind the start
+                more, _, worth_of_more = page.blocks.pop(now.blocks)
+                text, worth = f"{text} {more}", worth + worth_of_more - len(more)
+            if text:
+                page.blocks.insert(now.blocks, (text, now.node, max(0.0, len(text) + worth)))
+
     at, size = 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
@@ -236,8 +273,20 @@ def read(source: str, by_name: bool = True) -> Page:
             if not ends and not m.group(3).endswith("/"):
                 found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                 at = found.end() if found else size
-            if tag not in ("svg", "math"):
-                parts.append(" ")
+            parts.append(" ")
+            continue
+        if tag in _SKIPPED and not m.group(3).endswith("/"):
+            if skipped is None and not ends:
+                skipped = _Skipped(tag, parts[:], links, len(page.blocks), len(stack), stack[-1])
+                parts.clear()
+                links = 0
+            elif skipped is not None and skipped.tag == tag:
+                skipped.open += -1 if ends else 1
+                if not skipped.open:
+                    # what it held goes
+                    del page.blocks[skipped.blocks :], stack[skipped.depth :]
+                    parts[:], links = skipped.parts + [" "] * (tag != "svg"), skipped.links
+                    skipped = None
             continue
         if tag == "a":
             in_link = not ends
@@ -269,11 +318,13 @@ def read(source: str, by_name: bool = True) -> Page:
         aside = parent.aside or _is_aside(tag, own)
         if tag == "header" and not parent.aside and any(n.tag in ("article", "main") for n in stack):
             aside = False  # an article's own header holds its title
-        if parent.tag == "header" and not parent.aside and tag not in _HEADINGS and tag not in ("div", "hgroup"):
+        if parent.tag == "header" and not parent.aside and tag in _LISTS:
             aside = True
         node = _Node(tag, f"{parent.path}/{_step(tag, own)}", parent, aside, len(page.nodes), _names(tag, own))
         page.nodes.append(node)
         stack.append(node)
+    if skipped is not None:
+        reveal()
     flush()
     _judge(page, by_name)
     return page
