@@ -125,15 +125,41 @@ ORACLE = {
                    xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(step[xor(c & 255, b) + 1], c >> 8))) AS text_crc32
             FROM raw, bits
         ), named AS (
-            SELECT *, md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32 || '|' || size) AS own FROM sized
+            SELECT *, md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32 || '|' || size) AS own, count(*) OVER () AS total FROM sized
+        ), groups AS (
+            SELECT hash, count(*) AS n, min(src) AS first, any_value(total) AS total FROM named GROUP BY hash HAVING count(*) > 1 AND count(*) * 16 <= any_value(total)
+        ), led AS (
+            SELECT *, (sum(n) OVER (PARTITION BY first ORDER BY hash) - n)::BIGINT AS lead, (sum(n) OVER (PARTITION BY first))::BIGINT AS mass FROM groups
+        ), housed AS (
+            SELECT hash, n, total, 8 * (2 * lead + n) // (2 * mass) AS home FROM led
+        ), homes AS (
+            SELECT hash, home FROM (SELECT *, sum(n) OVER (PARTITION BY home ORDER BY hash) AS upto FROM housed) WHERE upto <= total // 8
+        ), marked AS (
+            SELECT named.*, home FROM named LEFT JOIN homes USING (hash)
+        ), shards AS (
+            SELECT k, (k + 1) * total // 8 - k * total // 8 AS size, g, (k + 1) * total // 8 - k * total // 8 - g AS f
+            FROM (SELECT t.k, (SELECT count(*) FROM named) AS total, (SELECT count(*) FROM marked WHERE home = t.k) AS g FROM range(8) AS t(k))
+        ), fronts AS (
+            SELECT *, (sum(f) OVER (ORDER BY k) - f)::BIGINT AS first FROM shards
+        ), owing AS (
+            SELECT src, count(*) FILTER (home IS NULL) AS others, list_transform(range(8), lambda k: greatest(0, count(*) - 8 * len(list_filter(list(home), lambda h: h = k)))) AS owed FROM marked GROUP BY src
+        ), quotas AS (
+            SELECT *, list_transform(range(9), lambda k: coalesce(list_sum(owed[1:k]), 0)::BIGINT) AS upto FROM owing
         ), ranked AS (
-            SELECT *, (2 * (row_number() OVER (PARTITION BY src ORDER BY hash, own, doc_id, text_crc32, size) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY src)) AS share FROM named
-        ), placed AS (
-            SELECT *, row_number() OVER (ORDER BY share, src, hash, own, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
+            SELECT marked.*, owed, upto, (2 * (row_number() OVER (PARTITION BY src ORDER BY hash, own, doc_id, text_crc32, size) - 1) + 1)::DOUBLE * upto[9]::DOUBLE / (2 * others)::DOUBLE AS spot
+            FROM marked JOIN quotas USING (src) WHERE home IS NULL
+        ), timed AS (
+            SELECT *, k + (spot - upto[k + 1]) / owed[k + 1] AS time FROM (SELECT *, len(list_filter(upto, lambda x: x <= spot)) - 1 AS k FROM ranked)
+        ), ordered AS (
+            SELECT *, row_number() OVER (ORDER BY time, src, hash, own, doc_id, text_crc32, size) - 1 AS place FROM timed
+        ), others AS (
+            SELECT o.doc_id, o.size, o.text_crc32, s.k AS shard, o.place - s.first AS j, s.g, s.f FROM ordered o JOIN fronts s ON o.place >= s.first AND o.place < s.first + s.f
+        ), grouped AS (
+            SELECT m.doc_id, m.size, m.text_crc32, home, s.g, s.f, row_number() OVER (PARTITION BY home ORDER BY hash, own, doc_id, text_crc32, m.size) - 1 AS r FROM marked m JOIN shards s ON s.k = m.home
         )
-        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // total)::INT AS shard,
-               (place - ((place * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
-        FROM placed""",
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (j + greatest(0, least(g, (2 * g * (j + 1) + f - 1) // (2 * f))))::BIGINT AS slot, NULL::INT AS grown_shard FROM others
+        UNION ALL
+        SELECT doc_id, size::BIGINT, text_crc32::BIGINT, 'rows', home::INT, (r + f * (2 * r + 1) // (2 * g))::BIGINT, NULL::INT FROM grouped""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,

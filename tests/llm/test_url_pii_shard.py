@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,42 +116,110 @@ def test_permutations_are_one_to_one(spark):
         assert tuple(df.select(pii.pseudonym(F.col("t"), "k").alias("p")).agg(F.count("p"), F.countDistinct("p")).first()) == (n, n)
 
 
+def sharded(rows, seed, per_bucket, shards=8):
+    """Shard and slot of each id, step by step."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    total, buckets = len(rows), -(-len(rows) // per_bucket)
+    made = []
+    for i, t, s in rows:
+        data = (t or "").encode()
+        made.append(("null" if s is None else "=" + s, digest(f"{seed}|{t or ''}"), digest(f"{seed}|{i}|{zlib.crc32(data)}|{len(data) + 1}"), i))
+    copies, first = Counter(h for _, h, _, _ in made), {}
+    for s, h, _, _ in made:
+        first[h] = min(s, first.get(h, s))
+    prefix = lambda h, parts: int(h[:8], 16) * parts >> 32
+    # homes
+    home, lead, mass = {}, Counter(), Counter()
+    whole = sorted(h for h, n in copies.items() if n > 1 and n * 2 * shards <= total)
+    for h in whole:
+        mass[first[h]] += copies[h]
+    for h in whole:
+        home[h] = shards * (2 * lead[first[h]] + copies[h]) // (2 * mass[first[h]])
+        lead[first[h]] += copies[h]
+    upto = Counter()
+    for h in whole:
+        upto[home[h]] += copies[h]
+        if max(Counter({k: sum(copies[x] for x in whole if home.get(x) == k) for k in range(shards)}).values()) > total // shards and upto[home[h]] > total // shards:
+            home[h] = None
+    home = {h: k for h, k in home.items() if k is not None}
+    held = Counter(home[h] for _, h, _, _ in made if h in home)
+    # quotas and places
+    order = lambda x: (prefix(x[1], buckets), x[1] if copies[x[1]] > per_bucket else "", prefix(x[2], copies[x[1]] // per_bucket + 1) if copies[x[1]] > per_bucket else 0, x[1], x[2], x[3])
+    timed = []
+    for s in {x[0] for x in made}:
+        mine = [x for x in made if x[0] == s]
+        owed = [max(0, len(mine) - shards * sum(home.get(x[1]) == k for x in mine)) for k in range(shards)]
+        front = [sum(owed[:k]) for k in range(shards + 1)]
+        single = sorted((x for x in mine if x[1] not in home), key=order)
+        for r, x in enumerate(single):
+            at = float(2 * r + 1) * front[shards] / (2 * len(single))
+            k = sum(f <= at for f in front) - 1
+            timed.append((k + (at - front[k]) / owed[k], *x))
+    timed.sort()
+    out, at = {}, 0
+    for k in range(shards):
+        size = (k + 1) * total // shards - k * total // shards
+        others = timed[at : at + size - held[k]]
+        at += len(others)
+        own = sorted((x for x in made if home.get(x[1]) == k), key=order)
+        merged = sorted([(j, 1, x) for j, x in enumerate(others)] + [(len(others) * (2 * r + 1) // (2 * len(own)), 0, r, x) for r, x in enumerate(own)], key=lambda y: y[:3] if y[1] == 0 else y[:2])
+        for slot, y in enumerate(merged):
+            out[y[-1][-1]] = k, slot
+    return out
+
+
+def some_rows(kind):
+    r = random.Random(kind)
+    if kind == "groups":  # all rows in groups, within and across sources
+        return [(k, f"group {k // 6} of six", f"s{k % 2}") for k in range(1200)]
+    if kind == "large":  # one text holds a third, few others
+        return [(k, None if k % 50 == 0 else "same" if k % 3 == 0 else f"té{k % 9}", "hot" if k % 3 else f"s{k % 7}" if k % 2 else None) for k in range(317)]
+    if kind == "full":  # groups of near half a shard overfill some shards
+        return [(k, f"g{k // 12}", "one") for k in range(203)]
+    return [(k, f"text {k}" if r.random() < 0.7 else f"copy {r.randrange(60)}", r.choice(["a", "b", "c", None, "hot", "hot", "hot"])) for k in range(900)]
+
+
 @pytest.mark.parametrize("per_bucket", [20_000, 7])
-def test_shards_against_brute_force(spark, per_bucket):
-    rows = [(k, None if k % 50 == 0 else f"té{k % 9}", "hot" if k % 3 else f"s{k % 7}" if k % 2 else None) for k in range(317)]
+@pytest.mark.parametrize("kind", ["mixed", "groups", "large", "full"])
+def test_shards_against_brute_force(spark, kind, per_bucket):
+    rows = some_rows(kind)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("shard", F.lit("x"))
     got = sharding.interleave(df, seed=5, per_bucket=per_bucket).collect()
-    by = defaultdict(list)
-    for i, t, s in rows:
-        data = (t or "").encode()
-        digest = lambda x: hashlib.md5(x).hexdigest()
-        by["null" if s is None else "=" + s].append((digest(b"5|" + data), digest(f"5|{i}|{zlib.crc32(data)}|{len(data) + 1}".encode()), i))
-    buckets, placed = -(-len(rows) // per_bucket), {}
-    for s, v in by.items():
-        often = Counter(h for h, _, _ in v)
-        placed[s] = sorted(v, key=lambda x: (int(x[0][:8], 16) * buckets >> 32, x[0] if often[x[0]] > per_bucket else "", x))
-    order = sorted(((2 * k + 1) / (2 * len(v)), s, h, o, i) for s, v in placed.items() for k, (h, o, i) in enumerate(v))
-    want = {i: p * 8 // len(order) for p, (_, _, _, _, i) in enumerate(order)}
-    text = {i: t or "" for i, t, _ in rows}
+    want, text = sharded(rows, 5, per_bucket), {i: t or "" for i, t, _ in rows}
     assert len(got) == len(rows)
     for r in got:
-        assert (r.shard, r.size, r.text_crc32) == (want[r.doc_id], len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode()))
+        assert ((r.shard, r.slot), r.size, r.text_crc32) == (want[r.doc_id], len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode()))
     sizes = Counter(r.shard for r in got)
     assert max(sizes.values()) - min(sizes.values()) <= 1
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k]))
-    hot = Counter(r.shard for r in got if r.source == "hot")
-    assert max(hot.values()) - min(hot.values()) <= 4
+    homes = defaultdict(set)
+    for r in got:
+        homes[text[r.doc_id]].add(r.shard)
+    if kind == "mixed":  # no group is divided, and the mixture is kept
+        assert all(len(v) == 1 for v in homes.values())
+        for s in ("hot", "a", "b", "c", None):
+            shares = Counter(r.shard for r in got if r.source == s)
+            assert max(shares.values()) - min(shares.values()) <= 3
+    if kind == "groups":
+        assert sum(len(v) > 1 for v in homes.values()) <= 8
+
+
+def test_shards_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     assert sharding.interleave(df.limit(0)).count() == 0
-    same = sharding.interleave(df.limit(1).union(df.limit(1))).collect()
+    assert [(r.shard, r.slot) for r in sharding.interleave(df).collect()] == [(7, 0)]
+    same = sharding.interleave(df.union(df)).collect()
     assert sorted(r.slot for r in same) == [0, 0] and len({r.shard for r in same}) == 2
     one_id = spark.createDataFrame([(None if k % 2 else 4, f"text {k}", "s") for k in range(60)], "doc_id long, text string, source string")
     again = sharding.interleave(one_id, per_bucket=5).collect()
     assert sorted(Counter(r.shard for r in again).values()) == [7] * 4 + [8] * 4 and len({(r.shard, r.slot) for r in again}) == 60
-    # groups of equal texts stay together but for those at a cut, in one source and in several
-    texts = [f"group {k // 6} of six" for k in range(1200)]
-    spread = spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
-    homes = defaultdict(Counter)
-    for r in sharding.interleave(spread).collect():
-        homes[r.doc_id // 6][r.shard] += 1
-    assert sum(len(c) == 1 for c in homes.values()) > 150
+    # groups joined as a table, not broadcast
+    rows = some_rows("mixed")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = sharding.BROADCAST_ROWS
+    try:
+        sharding.BROADCAST_ROWS = 0
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, per_bucket=50).collect()} == sharded(rows, 0, 50)
+    finally:
+        sharding.BROADCAST_ROWS = before
