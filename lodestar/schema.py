@@ -53,6 +53,16 @@ def items(df: DataFrame, keep: list[str] | None = None, **given: Column) -> Data
     return df.select(*out, *(keep or []))
 
 
+#: Bits of ord for a row's place within its payload or page.
+PLACE_BITS = 20
+
+
+def placed(at: Column, place: Column) -> Column:
+    """ord of a row by the place of its payload and its place in there. Order is kept for 2^43 payloads and 2^20 rows of
+    each; beyond, rows share a place, and none is lost."""
+    return F.shiftleft(at.cast("bigint"), PLACE_BITS) + F.least(place, F.lit((1 << PLACE_BITS) - 1))
+
+
 def netloc(url: Column) -> Column:
     """Host with port and user, as written."""
     return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)

@@ -1,6 +1,6 @@
 """Feeds and result pages: RSS, MediaRSS, Atom, torrent feeds, store and video cards, search-engine pages.
 
-They are regular enough for expressions: split into entries, then one pattern per field."""
+Feeds are regular enough for expressions: split into entries, then one pattern per field. Cards of pages are elements."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import files, urls
-from lodestar.schema import items
+from lodestar.schema import items, placed
+from lodestar.sources.elements import Element, cards
 from lodestar.sources.json_payloads import api, either, one, opensearch_hits, searxng_hits, tags
 from lodestar.sources.json_payloads import text as joined
 
@@ -36,7 +37,7 @@ def attribute(entry: Column, name: str, key: str) -> Column:
 def entries(payloads: DataFrame, pattern: str) -> DataFrame:
     at = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()
     rows = payloads.withColumn("__at", at).select("*", F.posexplode(F.regexp_extract_all("payload", F.lit(pattern), F.lit(0))).alias("__pos", "e"))
-    return rows.withColumn("ord", F.col("__at") * 1_000_000 + F.col("__pos"))
+    return rows.withColumn("ord", placed(F.col("__at"), F.col("__pos")))
 
 
 def mrss(payloads: DataFrame) -> DataFrame:
@@ -90,47 +91,50 @@ def torrents(payloads: DataFrame, platform: str = "Nyaa") -> DataFrame:
 
 
 def steam(payloads: DataFrame) -> DataFrame:
-    e = F.col("e")
-    own = F.substring_index(attribute(e, "a", "data-ds-appid"), ",", 1)
-    rows = entries(payloads, r"""(?is)<a\b[^>]*class=["'][^"']*search_result_row.*?</a>""").where(own.isNotNull())
-    by_class = lambda c: F.nullif(plain(F.regexp_extract(e, rf"""(?is)<\w+[^>]*class=["'][^"']*\b{c}\b[^"']*["'][^>]*>(.*?)</""", 1)), F.lit(""))
-    out = by_class("search_released")
+    card = Element(F.col("e"))
+    rows = cards(payloads, "a.search_result_row[data-ds-appid]").withColumns({
+        "own": F.substring_index(card.attr("data-ds-appid"), ",", 1), "link": F.substring_index(card.attr("href"), "?", 1), "name": card.text(".title"), "out": card.text(".search_released"),
+        "price": F.coalesce(card.text(".discount_final_price"), card.text(".discount_original_price")), "picture": card.attr("src", "img"),
+    }).where("own is not null")
+    own, out, price = F.col("own"), F.col("out"), F.col("price")
     date = F.coalesce(*[F.try_to_timestamp(out, F.lit(p)) for p in ("d MMM, yyyy", "MMM d, yyyy", "MMM yyyy")])
-    price = either(by_class("discount_final_price"), by_class("discount_original_price"))
     return items(
-        rows, source_id=F.lit("steam"), id=joined("steam:", own), canonical_url=F.substring_index(attribute(e, "a", "href"), "?", 1), platform=F.lit("Steam"), platform_id=own, title=either(by_class("title"), joined("Steam app ", own)),
-        description=joined("Steam game — released ", out, F.when(price.isNotNull(), joined(", ", price))), item_type=F.lit("SOFTWARE"), thumbnail_url=attribute(e, "img", "src"), publication_date=date, tags=tags("game", "steam"),
+        rows, source_id=F.lit("steam"), id=joined("steam:", own), canonical_url=F.col("link"), platform=F.lit("Steam"), platform_id=own, title=either(F.col("name"), joined("Steam app ", own)),
+        description=joined("Steam game — released ", out, F.when(price.isNotNull(), joined(", ", price))), item_type=F.lit("SOFTWARE"), thumbnail_url=F.col("picture"), publication_date=date, tags=tags("game", "steam"),
         metadata_sources=F.array(F.lit("HTML_META")),
     )
 
 
 def itchio(payloads: DataFrame) -> DataFrame:
-    e = F.col("e")
-    link = attribute(e, "a", "href")
-    rows = entries(payloads, r"""(?is)<div\b[^>]*class=["'][^"']*\bgame_cell\b.*?(?=<div\b[^>]*class=["'][^"']*\bgame_cell\b|\z)""").where(link.isNotNull())
-    by_class = lambda c: F.nullif(plain(F.regexp_extract(e, rf"""(?is)<\w+[^>]*class=["'](?:[^"']*\s)?(?:{c})(?:\s[^"']*)?["'][^>]*>(.*?)</""", 1)), F.lit(""))
-    genre, last = by_class("game_genre|genre"), F.substring_index(F.regexp_replace(link, "/+$", ""), "/", -1)
+    card = Element(F.col("e"))
+    rows = cards(payloads, "div.game_cell").withColumns({
+        "link": F.coalesce(card.attr("href", "a.game_link[href]"), card.attr("href", "a[href]")), "genre": card.text(".game_genre, .genre"), "name": card.text(".game_title, .title, .game_link"),
+        "words": card.text(".game_text, .description"), "picture": F.coalesce(card.attr("data-lazy_src", "img"), card.attr("src", "img")),
+    }).where("link is not null")
+    link, genre = F.col("link"), F.col("genre")
+    last = F.substring_index(F.regexp_replace(link, "/+$", ""), "/", -1)
     return items(
-        rows, source_id=F.lit("itchio"), id=joined("itchio:", link), canonical_url=link, platform=F.lit("itch.io"), platform_id=last, title=either(by_class("game_title|title|game_link"), last),
-        description=either(by_class("game_text|description"), joined("Indie game on itch.io", F.when(genre.isNotNull(), joined(" (", genre, ")")))), item_type=F.lit("SOFTWARE"),
-        uploader_name=F.when(link.contains(".itch.io"), F.substring_index(F.substring_index(link, "//", -1), ".itch.io", 1)), thumbnail_url=either(attribute(e, "img", "data-lazy_src"), attribute(e, "img", "src")),
+        rows, source_id=F.lit("itchio"), id=joined("itchio:", link), canonical_url=link, platform=F.lit("itch.io"), platform_id=last, title=either(F.col("name"), last),
+        description=either(F.col("words"), joined("Indie game on itch.io", F.when(genre.isNotNull(), joined(" (", genre, ")")))), item_type=F.lit("SOFTWARE"),
+        uploader_name=F.when(link.contains(".itch.io"), F.substring_index(F.substring_index(link, "//", -1), ".itch.io", 1)), thumbnail_url=F.col("picture"),
         tags=tags("game", "indie", "itchio", more=one(F.lower(genre))), metadata_sources=F.array(F.lit("HTML_META")),
     )
 
 
-def video_cards(payloads: DataFrame, platform: str, origin: str, card: str = r"""(?is)<div\b[^>]*\bdata-id=.*?(?=<div\b[^>]*\bdata-id=|\z)""") -> DataFrame:
-    """Cards of video sites: a block with data-id, a link, a title attribute or text, duration and views as text."""
-    e = F.col("e")
-    own = F.nullif(F.regexp_extract(e, r"""(?i)\bdata-id=["']?([^"'\s>]+)""", 1), F.lit(""))
-    link = attribute(e, "a", "href")
-    rows = entries(payloads, card).where(own.isNotNull() & link.isNotNull())
+def video_cards(payloads: DataFrame, platform: str, origin: str, card: str = "div[data-id]") -> DataFrame:
+    """Cards of video sites: a block with an id of its own, a link, a title attribute or text, duration and views as text."""
+    e = Element(F.col("e"))
+    rows = cards(payloads, card).withColumns({
+        "own": F.coalesce(e.attr("data-id"), e.attr("data-video-id")), "link": e.attr("href", "a[href]"), "words": e.text(),
+        "name": F.coalesce(e.attr("title", "a[title]"), e.attr("aria-label", "a[aria-label]"), e.attr("alt", "img[alt]"), e.text("a")),
+        "picture": F.coalesce(e.attr("data-src", "img"), e.attr("data-original", "img"), e.attr("src", "img")),
+    })
+    own, link, thumb = F.coalesce("own", F.substring_index(F.regexp_replace("link", "[/?#]+$", ""), "/", -1)), F.col("link"), F.col("picture")
     whole = F.when(link.startswith("//"), joined("https:", link)).when(link.startswith("/"), joined(origin, link)).otherwise(link)
-    thumb = either(attribute(e, "img", "data-src"), attribute(e, "img", "data-original"), attribute(e, "img", "src"))
-    text = plain(e)
     return items(
-        rows, source_id=F.lit("adult_web"), id=joined(platform.lower() + ":", own), canonical_url=whole, platform=F.lit(platform), platform_id=own, title=either(attribute(e, "a", "title"), attribute(e, "a", "aria-label"), attribute(e, "img", "alt"), tag(e, "a")),
-        item_type=F.lit("VIDEO"), thumbnail_url=F.when(thumb.startswith("//"), joined("https:", thumb)).otherwise(thumb), duration_seconds=files.clock_duration(text),
-        view_count=files.view_count(F.nullif(F.regexp_extract(text, r"(?i)([0-9][0-9.,]*\s*[KMB]?)\s*views", 1), F.lit(""))), metadata_sources=F.array(F.lit("HTML_META")),
+        rows.where(link.isNotNull()), source_id=F.lit("adult_web"), id=joined(platform.lower() + ":", own), canonical_url=whole, platform=F.lit(platform), platform_id=own, title=F.col("name"),
+        item_type=F.lit("VIDEO"), thumbnail_url=F.when(thumb.startswith("//"), joined("https:", thumb)).otherwise(thumb), duration_seconds=files.clock_duration(F.col("words")),
+        view_count=files.view_count(F.nullif(F.regexp_extract("words", r"(?i)([0-9][0-9.,]*\s*[KMB]?)\s*views", 1), F.lit(""))), metadata_sources=F.array(F.lit("HTML_META")),
     )
 
 
@@ -140,17 +144,12 @@ ENGINES = tuple(f"{front}{host}" for host in ("duckduckgo.com", "google.com", "b
 )
 
 
-def _classed(element: str, *names: str) -> str:
-    """Pattern of the opening tag of an element that has one of the classes."""
-    return rf"""<{element}\b[^>]*\bclass=["'](?:[^"']*\s)?(?:{'|'.join(names)})(?:\s[^"']*)?["'][^>]*>"""
-
-
-#: Where a card of an engine's page begins, its link, and its snippet.
+#: Cards of an engine's page, the link in one, and its snippet.
 CARDS = {
-    "bing": (_classed("li", "b_algo"), r"<h2\b[^>]*>.*?(<a\b.*?</a>)", r"<p\b[^>]*>(.*?)</p>"),
-    "brave": ("(?:" + _classed("div", "snippet", "search-result") + r"""|<div\b[^>]*\bdata-type=["']web["'][^>]*>)""", r"""(<a\b[^>]*\bhref=["']http[^>]*>.*?</a>)""", _classed("(?:div|p)", "snippet-description") + r"(.*?)</(?:div|p)>"),
-    "duckduckgo": (_classed("div", "result"), "(" + _classed("a", "result__a") + ".*?</a>)", _classed("[a-z]+", "result__snippet") + r"(.*?)</[a-z]+>"),
-    "yahoo": (r"""(?:<h3\b[^>]*>|""" + _classed("div", "compText") + r"""|<a\b[^>]*\bhref=["'][^"']*r\.search\.yahoo\.com)""", r"(<a\b.*?</a>)", None),
+    "bing": ("li.b_algo", "h2 a[href]", "p"),
+    "brave": ("div.snippet, div.search-result, div[data-type=web]", "a[href^=http]", ".snippet-description"),
+    "duckduckgo": ("div.result", "a.result__a[href]", ".result__snippet"),
+    "yahoo": ("h3, div.compText, a[href*='r.search.yahoo.com']", "a[href]", None),
 }
 
 
@@ -159,14 +158,11 @@ def hits_of(payloads: DataFrame, engine: str) -> DataFrame:
     if engine not in CARDS:
         found = opensearch_hits(payloads, "ord") if engine == "wikipedia" else searxng_hits(payloads, "ord")
         return found.select("url", "title", "snippet", "ord").where(F.col("url").rlike("^https?://") & ~urls.hostname(F.col("url")).isin(*ENGINES))
-    begins, link, snippet = CARDS[engine]
-    at = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()
-    cards = F.slice(F.split(F.concat(F.lit(" "), F.col("payload")), f"(?is)(?={begins})"), 2, 1000)
-    rows = payloads.select(at.alias("__at"), F.posexplode(cards).alias("__pos", "card"))
-    a = F.regexp_extract("card", f"(?is){link}", 1)
-    to = urls.redirect_target(F.replace(attribute(a, "a", "href"), F.lit("&amp;"), F.lit("&")))
-    text = F.coalesce(F.nullif(plain(F.regexp_extract("card", f"(?is){snippet}", 1)), F.lit("")), F.lit("")) if snippet else F.lit("")
-    hits = rows.select(to.alias("url"), plain(a).alias("title"), text.alias("snippet"), (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where(F.col("url").rlike("^https?://"))
+    card, link, snippet = CARDS[engine]
+    e = Element(F.col("e"))
+    text = F.coalesce(e.text(snippet), F.lit("")) if snippet else F.lit("")
+    rows = cards(payloads, card).select(e.attr("href", link).alias("href"), F.coalesce(e.text(link), F.lit("")).alias("title"), text.alias("snippet"), "ord")
+    hits = rows.select(urls.redirect_target(F.col("href")).alias("url"), "title", "snippet", "ord").where(F.col("url").rlike("^https?://"))
     return hits.where(~urls.hostname(F.col("url")).isin(*ENGINES))
 
 

@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import files
-from lodestar.schema import items
-
-_PER_PAYLOAD = 1_000_000
+from lodestar.schema import items, placed
 
 
 def c(name: str) -> Column:
@@ -104,7 +102,7 @@ def parse(payloads: DataFrame, id: str) -> DataFrame:
     more = columns.pop("explode", None)
     if more is not None:
         flat = flat.select("__at", (F.col("__pos") * 100).alias("__p"), "r", F.posexplode_outer(more).alias("__k", "e")).withColumn("__pos", F.col("__p") + F.coalesce("__k", F.lit(0)))
-    return items(flat, source_id=F.lit(id.split("/")[0]), ord=F.col("__at") * _PER_PAYLOAD + F.col("__pos"), **columns)
+    return items(flat, source_id=F.lit(id.split("/")[0]), ord=placed(F.col("__at"), F.col("__pos")), **columns)
 
 
 # ---------------------------------------------------------------- video
@@ -510,17 +508,17 @@ def _place(payloads: DataFrame) -> Column:
     return (F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()).alias("__at")
 
 
-def opensearch_hits(payloads: DataFrame, *placed: str) -> DataFrame:
+def opensearch_hits(payloads: DataFrame, *more: str) -> DataFrame:
     """url, title, snippet (and ord, if asked for) of an OpenSearch reply: [query, titles, descriptions, urls]."""
     j = F.from_json("payload", "array<string>")
     part = lambda k: F.from_json(F.get(j, F.lit(k)), "array<string>")
     zipped = F.arrays_zip(part(3).alias("url"), part(1).alias("title"), part(2).alias("snippet"))
     rows = payloads.select(_place(payloads), F.posexplode(zipped).alias("__pos", "h"))
-    return rows.select("h.url", "h.title", "h.snippet", (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *placed)
+    return rows.select("h.url", "h.title", "h.snippet", placed(F.col("__at"), F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *more)
 
 
-def searxng_hits(payloads: DataFrame, *placed: str) -> DataFrame:
+def searxng_hits(payloads: DataFrame, *more: str) -> DataFrame:
     """url, title, snippet (and ord, if asked for) of a SearXNG reply."""
     j = F.from_json("payload", "results array<struct<url:string,title:string,content:string>>")
     rows = payloads.select(_place(payloads), F.posexplode(j["results"]).alias("__pos", "h"))
-    return rows.select("h.url", "h.title", F.col("h.content").alias("snippet"), (F.col("__at") * 1000 + F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *placed)
+    return rows.select("h.url", "h.title", F.col("h.content").alias("snippet"), placed(F.col("__at"), F.col("__pos")).alias("ord")).where("url <> ''").select("url", "title", "snippet", *more)
