@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     from lodestar.engine import Engine
     from lodestar.plans.query import Options
     from lodestar.sources import catalog
-    from lodestar.sources.requests import Live
+    from lodestar.sources.reading import Live
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     options = Options(

@@ -19,7 +19,7 @@ SOURCES = [
     ("doaj", "DOAJ", "json", True), ("crossref", "Crossref", "json", True), ("semanticscholar", "Semantic Scholar", "json", True),
 ]
 _PARSERS = {
-    "open_web": extract_pages, "file_hosts": extract_pages, "web": extract_pages, "mrss": feeds.mrss, "arxiv": feeds.arxiv, "nyaa": feeds.torrents, "steam": feeds.steam, "itchio": feeds.itchio,
+    "open_web": extract_pages, "file_hosts": extract_pages, "web": extract_pages, "mrss": feeds.mrss, "arxiv": feeds.arxiv, "nyaa": feeds.torrents, "nyaa/sukebei": lambda p: feeds.torrents(p, "Sukebei"), "steam": feeds.steam, "itchio": feeds.itchio,
     "adult_web": lambda p: feeds.video_cards(p, "Video site", "https://video.example.org"),
 }
 

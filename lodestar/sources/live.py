@@ -6,19 +6,21 @@ from __future__ import annotations
 import http.client
 import ipaddress
 import random
+import re
 import socket
 import ssl
 import threading
 import time
 import urllib.error
 import urllib.request
+from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIED = (429, 500, 502, 503, 504)
-#: Answers of more bytes are refused.
-MOST_BYTES = 20_000_000
+#: Texts of more bytes are refused; files of any size are known by their headers.
+MOST_BYTES = 200_000_000
 
 
 def is_public_url(url: str, resolve=socket.getaddrinfo) -> bool:
@@ -96,11 +98,18 @@ class _SecureHandler(urllib.request.HTTPSHandler):
         return self.do_open(_Secure, request, context=ssl.create_default_context())
 
 
+def is_text(content_type: str | None) -> bool:
+    """Is an answer of this type read? Without a type it is taken for a page."""
+    kind = (content_type or "text/html").split(";")[0].strip().lower()
+    return kind.startswith("text/") or kind.endswith(("json", "xml", "javascript"))
+
+
 def open_url(url: str, timeout: float, body: bytes | None = None, headers: dict | None = None) -> tuple[int, dict, bytes]:
+    """Status, headers and, of answers of text, content: files are not read."""
     request = urllib.request.Request(url, data=body, headers={"User-Agent": "lodestar", **(headers or {})})
     try:
         with urllib.request.build_opener(_Stay, _PlainHandler, _SecureHandler).open(request, timeout=timeout) as r:
-            return r.status, dict(r.headers), _read(r)
+            return r.status, dict(r.headers), _read(r) if is_text(r.headers.get("Content-Type")) else b""
     except urllib.error.HTTPError as e:
         return e.code, dict(e.headers), _read(e)
 
@@ -112,10 +121,33 @@ def _read(response) -> bytes:
     return data
 
 
-def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True, opener=open_url, bucket: Bucket | None = None, sleep=time.sleep, guard=is_public_url, body: bytes | None = None, headers: dict | None = None) -> tuple[int, bytes]:
-    """Status and body. Overload, server errors and broken connections are tried again, after Retry-After or a growing
-    pause; up to five redirects are followed, each checked anew. body: sent by POST."""
+@dataclass(frozen=True)
+class Answer:
+    status: int
+    url: str
+    content_type: str | None
+    content: bytes
+
+    def text(self) -> str:
+        found = re.search(r"charset=[\"']?([\w-]+)", self.content_type or "", re.I)
+        try:
+            return self.content.decode(found[1] if found else "utf-8", "replace")
+        except LookupError:
+            return self.content.decode("utf-8", "replace")
+
+
+def ask(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True, opener=open_url, bucket: Bucket | None = None, sleep=time.sleep, guard=is_public_url, body: bytes | None = None, headers: dict | None = None, until: float | None = None) -> Answer:
+    """What an address answers. Overload, server errors and broken connections are tried again, after Retry-After or a
+    growing pause; up to five redirects are followed, each checked anew. body: sent by POST. until: seconds since 1970
+    after which nothing is sent any more, and to which waiting is cut."""
     sent = {k: v for k, v in (("body", body), ("headers", headers)) if v}
+
+    def left() -> float:
+        rest = float("inf") if until is None else until - time.time()
+        if rest <= 0:
+            raise TimeoutError("no time is left")
+        return rest
+
     for _ in range(6):
         if safe and not guard(url):
             raise ValueError(f"address not allowed: {url}")
@@ -123,7 +155,12 @@ def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True,
             if bucket is not None:
                 bucket.take()
             try:
-                status, answered, content = opener(url, timeout, **sent)
+                status, answered, content = opener(url, min(timeout, left()), **sent)
+            except TimeoutError:
+                left()
+                if attempt == retries:
+                    raise
+                status, answered, content = 0, {}, b""
             except OSError:
                 if attempt == retries:
                     raise
@@ -131,15 +168,21 @@ def fetch(url: str, timeout: float = 12.0, retries: int = 3, safe: bool = True,
             if status and status not in RETRIED or attempt == retries:
                 break
             after = {k.lower(): v for k, v in answered.items()}.get("retry-after", "")
-            sleep(float(after) if after.isdigit() else 0.5 * 2**attempt + random.uniform(0, 0.1))
-        to = {k.lower(): v for k, v in answered.items()}.get("location")
-        if status in (301, 302, 303, 307, 308) and to:
-            url, sent = urljoin(url, to), {}
+            sleep(min(left(), float(after) if after.isdigit() else 0.5 * 2**attempt + random.uniform(0, 0.1)))
+        answered = {k.lower(): v for k, v in answered.items()}
+        if status in (301, 302, 303, 307, 308) and answered.get("location"):
+            url, sent = urljoin(url, answered["location"]), {}
             continue
-        return status, content
+        return Answer(status, url, answered.get("content-type"), content)
     raise ValueError("too many redirects")
 
 
+def fetch(url: str, *args, **options) -> tuple[int, bytes]:
+    """Status and content."""
+    found = ask(url, *args, **options)
+    return found.status, found.content
+
+
 class _Host(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls

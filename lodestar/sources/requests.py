@@ -1,28 +1,25 @@
-"""What a search asks of each live source: addresses and parameters, alternatives, and the scans that depend on a first one.
+"""What a search asks of each live source: addresses and parameters, and alternatives.
 
 A source is a list of alternatives, tried in order until one answers with items; an alternative is a list of requests that
 are sent together. Payloads come back to the same parsers that read captured ones."""
 
 from __future__ import annotations
 
-import json
 import os
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import quote_plus, urlencode
 
-from pyspark.sql import DataFrame, SparkSession
+from lodestar.functions import urls
+from lodestar.sources import catalog, crawl
 
-from lodestar.sources import catalog, crawl, feeds, json_payloads
-from lodestar.sources.live import Bucket, fetch
-
-#: Public mirrors and meta-search instances.
-MIRRORS = ("https://inv.tux.pizza", "https://invidious.nerdvpn.de", "https://vid.priv.au", "https://invidious.no-logs.com")
-INSTANCES = ("https://search.ononoki.org", "https://searx.be", "https://priv.au", "https://search.sapti.me", "https://search.mdosch.de")
 _PAGE = 15
 
 
+def setting(name: str) -> list[str]:
+    """Addresses that the environment variable LODESTAR_<name> lists, with spaces between."""
+    return os.environ.get(f"LODESTAR_{name}", "").split()
+
+
 @dataclass(frozen=True)
 class Ask:
     """One request. Values of params may hold {q}, {page}, {page0} (from 0), {skip} (rows before the page) and {most}."""
@@ -57,12 +54,10 @@ def _ask(parser: str, url: str, params: str = "", **rest) -> Ask:
 SOURCES: dict[str, list[list[Ask]]] = {
     "youtube": [
         [_ask("youtube", "https://www.googleapis.com/youtube/v3/search", "q={q} part=snippet type=video maxResults={most}", key="YOUTUBE_API_KEY", key_as="key")],
-        *[[_ask("youtube/mirror", f"{m}/api/v1/search", "q={q} page={page} type=video")] for m in MIRRORS],
     ],
     "vimeo": [[_ask("vimeo", "https://api.vimeo.com/videos", "query={q} page={page} per_page={most}", key="VIMEO_ACCESS_TOKEN", key_as="Bearer")]],
     "dailymotion": [[_ask("dailymotion", "https://api.dailymotion.com/videos", "search={q} page={page} limit={most} fields=id,title,description,tags,duration,owner.screenname,owner.url,created_time,thumbnail_720_url,views_total,likes_total")]],
     "ia": [[Ask("ia", "https://archive.org/advancedsearch.php", (("q", "({q}) AND mediatype:(movies)"), *(("fl[]", f) for f in "identifier title description creator date runtime subject downloads publicdate".split()), ("rows", "{most}"), ("page", "{page}"), ("output", "json")))]],
-    "peertube": [[_ask("peertube", "https://sepiasearch.org/api/v1/search/videos", "search={q} start={skip} count={most}", more=(("index", "https://sepiasearch.org"),))]],
     "github": [[_ask("github", "https://api.github.com/search/repositories", "q={q} sort=stars order=desc per_page=15 page={page}", key="GITHUB_TOKEN", key_as="Bearer")]],
     "huggingface": [[_ask("huggingface", "https://huggingface.co/api/models", "search={q} limit=20 sort=downloads direction=-1"), _ask("huggingface/datasets", "https://huggingface.co/api/datasets", "search={q} limit=15 sort=downloads direction=-1")]],
     "zenodo": [[_ask("zenodo", "https://zenodo.org/api/records", "q={q} size=15 page={page} sort=bestmatch")]],
@@ -96,7 +91,6 @@ ENGINES: dict[str, Ask] = {
     "bing": _ask("bing", "https://www.bing.com/search", "q={q}"), "brave": _ask("brave", "https://search.brave.com/search", "q={q}"), "yahoo": _ask("yahoo", "https://search.yahoo.com/search", "p={q}"),
     "duckduckgo": _ask("duckduckgo", "https://html.duckduckgo.com/html/", "q={q} kp=-2", post=True),
     "wikipedia": _ask("wikipedia", "https://en.wikipedia.org/w/api.php", "action=opensearch search={q} limit=10 namespace=0 format=json"),
-    **{f"searxng{k}": _ask("searxng", f"{i}/search", "q={q} format=json pageno={page} safesearch=0 categories=general,files") for k, i in enumerate(INSTANCES)},
 }
 
 
@@ -118,104 +112,68 @@ def build(ask: Ask, terms: str, page: int = 1, most: int = 50) -> Request | None
     return Request(ask.parser, url + ("?" + urlencode(params) if params else ""), None, headers, ask.more)
 
 
-def _payload(request: Request, body: bytes) -> str:
-    text = body.decode("utf-8", "replace")
-    if not request.more:
-        return text
-    try:
-        return json.dumps({**json.loads(text), **dict(request.more)})
-    except (ValueError, TypeError):
-        return text
-
-
-class Live:
-    """The live sources by id, each with one rate limit. opener: as in live.fetch, but with body and headers."""
-
-    def __init__(self, opener: Callable | None = None, rate: float = 5.0, burst: int = 10, safe: bool = True, threads: int = 8):
-        self.opener, self.safe, self.threads, self.rate, self.burst = opener, safe, threads, rate, burst
-        self.buckets: dict[str, Bucket] = {}
-
-    def send(self, id: str, requests: list[Request]) -> list[tuple[Request, str]]:
-        """Payloads of the requests that are answered; raises if none is, and one fails."""
-        bucket = self.buckets.setdefault(id, Bucket(self.rate, self.burst))
-
-        def one(request: Request):
-            try:
-                status, body = fetch(request.url, safe=self.safe, bucket=bucket, body=request.body, headers=request.headers, **({"opener": self.opener} if self.opener else {}))
-                return (request, _payload(request, body)) if status == 200 else ValueError(f"status {status}: {request.url}")
-            except Exception as error:  # noqa: BLE001  one address must not stop the others
-                return error
-
-        with ThreadPoolExecutor(self.threads) as pool:
-            found = list(pool.map(one, requests))
-        good = [x for x in found if isinstance(x, tuple)]
-        if not good and found:
-            raise found[0]
-        return good
-
-    def page(self, spark: SparkSession, id: str, terms: str, page: int = 1, most: int = 50) -> DataFrame | None:
-        """Items of one page of a source; None where it has no more."""
-        if id == "open_web":
-            return self.open_web(spark, terms, page) if terms.strip() else None
-        if id == "web":
-            url = crawl.page_of_query(terms)
-            return catalog.parse(self.pages(spark, "web", [url]), "web") if url and page == 1 else None
-        paged = {s[0]: s[3] for s in catalog.SOURCES}[id]
-        if page > 1 and not paged or not terms.strip():
-            return None
-        failed = None
-        for alternative in SOURCES.get(id, []):
-            asked = [r for r in (build(a, terms, page, most) for a in alternative) if r is not None]
-            if not asked:
-                continue
-            try:
-                out = None
-                for k, (request, payload) in enumerate(self.send(id, asked)):
-                    rows = catalog.parse(spark.createDataFrame([(k, payload)], "ord long, payload string"), request.parser)
-                    out = rows if out is None else out.unionByName(rows)
-                if out is not None and not out.isEmpty():
-                    return out.unionByName(more) if id == "github" and page == 1 and (more := self.releases(spark, out)) is not None else out
-            except Exception as error:  # noqa: BLE001  the next alternative may answer
-                failed = error
-        if failed is not None:
-            raise failed
-        return None
+def _peertube(index: str) -> Ask:
+    return _ask("peertube", f"{index}/api/v1/search/videos", "search={q} start={skip} count={most}", more=(("index", index),))
+
+
+def _searxng(instance: str) -> Ask:
+    return _ask("searxng", f"{instance}/search", "q={q} format=json pageno={page} safesearch=0 categories=general,files")
+
+
+#: Sites of one question to an engine; fixed values: where families of hosts are found.
+_TOGETHER = 4
+_FAMILIES = {"cyberfile": "cyberfile.me", "bunkr": "bunkr.is"}
+
+
+def _quoted(terms: str, rest: str) -> str:
+    return f'"{terms}" ({rest})'
+
+
+def file_questions(terms: str) -> list[str]:
+    """Questions to engines that name every known file host, so many sites each."""
+    domains = [_FAMILIES.get(site.domains[0], site.domains[0]) for site in urls.SITES if site.key]
+    return [_quoted(terms, " OR ".join(f"site:{d}" for d in domains[k : k + _TOGETHER])) for k in range(0, len(domains), _TOGETHER)]
+
+
+def directory_question(terms: str) -> str:
+    return _quoted(terms, '"index of/" OR "parent directory"')
+
+
+def alternatives(id: str, terms: str, page: int = 1, most: int = 50) -> list[list[Request]]:
+    """The requests for one page of a source, by alternative; those without their key are left out."""
+    if id == "web":
+        url = crawl.page_of_query(terms)
+        return [[Request("page", url, None, {"User-Agent": "lodestar"})]] if url else []
+    if not terms.strip():
+        return []
+    if id == "open_web":
+        asks = [build(a, terms, page) for a in ENGINES.values()] if page == 1 else []
+        asks += [build(_searxng(i), terms, page) for i in setting("SEARXNG")]
+        if page == 1:
+            asks += [build(ENGINES[name], question) for name, question in (*(("bing", q) for q in (*file_questions(terms)[:2], directory_question(terms))), ("yahoo", file_questions(terms)[0]))]
+        found = [asks]
+    elif id == "file_hosts":
+        found = [[build(ENGINES[name], q) for q in file_questions(terms) for name in ("yahoo", "bing", "duckduckgo")] + [Request("albums", i + quote_plus(terms.replace("_", " ").strip()), None, {"User-Agent": "lodestar"}) for i in setting("ALBUMS")]]
+    elif id == "mrss":
+        found = [[Request("mrss", feed, None, {"User-Agent": "lodestar"}) for feed in setting("FEEDS")]]
+    else:
+        asks = SOURCES.get(id, [])
+        if id == "youtube":
+            asks = asks + [[_ask("youtube/mirror", f"{m}/api/v1/search", "q={q} page={page} type=video")] for m in setting("MIRRORS")]
+        if id == "peertube":
+            asks = [[_peertube(index)] for index in ("https://sepiasearch.org", *setting("PEERTUBE"))]
+        if id == "nyaa" and catalog.enabled("adult_web"):
+            asks = [asks[0] + [_ask("nyaa/sukebei", "https://sukebei.nyaa.si/", "page=rss q={q}")]]
+        found = [[build(a, terms, page, most) for a in alternative] for alternative in asks]
+    return [made for made in ([r for r in alternative if r is not None] for alternative in found) if made]
+
+
+_PAGED = {s[0]: s[3] for s in catalog.SOURCES} | {"open_web": True}
+
+
+def paged(id: str) -> bool:
+    return _PAGED.get(id, False)
+
 
-    def releases(self, spark: SparkSession, repositories: DataFrame) -> DataFrame | None:
-        """Files of the latest releases of the first repositories."""
-        targets = [r.asDict() for r in crawl.release_targets(repositories).collect()]
-        asked = [Request("github/release", t["url"], None, {"User-Agent": "lodestar"}, (("repo", t["repo"]),)) for t in targets]
-        try:
-            found = self.send("github", asked)
-        except Exception:  # noqa: BLE001  a repository without releases
-            return None
-        rows = [(k, payload) for k, (_, payload) in enumerate(found)]
-        return json_payloads.parse(spark.createDataFrame(rows, "ord long, payload string"), "github/release") if rows else None
-
-    def pages(self, spark: SparkSession, id: str, addresses: list[str]) -> DataFrame:
-        """url, content_type, html of the pages that answer."""
-        found = self.send(id, [Request("page", u, None, {"User-Agent": "lodestar"}) for u in addresses]) if addresses else []
-        return spark.createDataFrame([(r.url, "text/html", text) for r, text in found], "url string, content_type string, html string")
-
-    def open_web(self, spark: SparkSession, terms: str, page: int = 1) -> DataFrame | None:
-        """Hits of all engines, each URL once, and what the first of them hold."""
-        asked = [r for name, a in ENGINES.items() if (page == 1 or name.startswith("searxng")) and (r := build(a, terms, page)) is not None]
-        hits = None
-        for k, (request, payload) in enumerate(self.send("open_web", asked)):
-            rows = feeds.hits_of(spark.createDataFrame([(k, payload)], "ord long, payload string"), request.parser)
-            hits = rows if hits is None else hits.unionByName(rows)
-        targets = crawl.crawl_targets(hits).collect() if hits is not None else []
-        if not targets:
-            return None
-        chosen = spark.createDataFrame([tuple(t) for t in targets], "url string, title string, snippet string, ord long")
-        try:
-            pages = self.pages(spark, "open_web", [t.url for t in targets])
-        except Exception:  # noqa: BLE001  no page answers: the hits themselves are items
-            return crawl.hit_items(chosen)
-        left = chosen.join(pages.select("url"), "url", "left_anti")
-        return crawl.crawled(chosen, pages).unionByName(crawl.hit_items(left), allowMissingColumns=True)
-
-    def sources(self, ids: list[str] | None = None) -> dict[str, Callable]:
-        """Sources as the engine takes them."""
-        ids = ids or [s[0] for s in catalog.SOURCES if s[0] in SOURCES or s[0] in ("open_web", "web")]
-        return {id: (lambda spark, terms, page, id=id: self.page(spark, id, terms, page)) for id in ids}
+#: Sources that can be asked.
+ASKED = [s[0] for s in catalog.SOURCES if s[0] in SOURCES or s[0] in ("open_web", "file_hosts", "web", "mrss", "peertube")]
