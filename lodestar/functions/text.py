@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +48,18 @@ def word_pattern(text: str, phrase: bool = False) -> str | None:
     return FLAGS + BEFORE + JOINT.join(parts) + AFTER if parts else FLAGS + quote(clean)
 
 
+@lru_cache(maxsize=2048)
+def low_pattern(text: str, phrase: bool = False) -> str | None:
+    """The same for text that `low_column` has lowered: no flags, so it is several times as fast. None if the text is not
+    plain ASCII."""
+    clean = fold(text).strip().lower()
+    if not clean.isascii() or not re.search("[a-z0-9]", clean):
+        return None
+    if not phrase and " " not in clean:
+        return BEFORE + quote(clean) + AFTER
+    return BEFORE + r"[\p{IsWhite_Space}\-_./]+".join(tokens(clean)) + AFTER
+
+
 def stem(word: str) -> str:
     w = word.lower()
     if len(w) > 3:
@@ -70,48 +83,63 @@ def variants(text: str) -> list[str]:
 # ---------------------------------------------------------------- columns
 
 
-def _accents() -> tuple[str, str]:
-    plain = {c: strip_accents(c) for c in map(chr, range(0xC0, 0x250))}
-    pairs = [(c, p) for c, p in plain.items() if len(p) == 1 and p.isascii()]
-    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+#: Characters outside ASCII that case folding takes for ASCII letters, where lower case does not do it.
+_FOLDED = {c: c.upper().lower()[:1] if c.upper().isascii() else c.lower()[:1] for c in ("\u0130", "\u0131", "\u017f")}
+
+
+def low_column(text: Column) -> Column:
+    """Lower case, in which every character that case folding takes for an ASCII letter is that letter."""
+    for written, letter in _FOLDED.items():
+        text = F.replace(text, F.lit(written), F.lit(letter))
+    return F.lower(text)
 
 
-def plain_column(text: Column) -> Column:
-    """Lower-cased, without the accents of Latin letters."""
-    return F.lower(F.translate(text, *_accents()))
+def plain_struct(fields: Column, names: list[str]) -> Column:
+    """The fields of a struct of strings, lower-cased and without accents, of all scripts: compatibility decompositions
+    without their combining marks, made in Arrow batches."""
 
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def plain(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.map(lambda t: t if t is None else t.lower() if t.isascii() else strip_accents(t).lower())
 
-def token_column(text: Column) -> Column:
-    return F.regexp_extract_all(plain_column(text), F.lit("[a-z0-9_]+"), F.lit(0))
+    return plain(fields)
 
 
-def stem_column(word: Column) -> Column:
-    w = F.lower(word)
-    out = w
+# Spans and stems are written as SQL: as columns of nested lambdas they take seconds to put together.
+
+
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def stem_sql(word: str) -> str:
+    """Stem of a lower-cased word."""
+    out = word
     for suffix, other in reversed(SUFFIXES):
-        cut = F.concat(F.substring(w, F.lit(1), F.length(w) - len(suffix)), F.lit(other))
-        twice = (F.length(cut) >= 4) & (F.substring(cut, -1, 1) == F.substring(cut, -2, 1))
-        s = F.when(twice, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-        out = F.when(w.endswith(suffix) & (F.length(s) >= 3), s).otherwise(out)
-    return F.when(F.length(w) <= 3, w).otherwise(out)
+        cut = f"concat(substr({word}, 1, length({word}) - {len(suffix)}), '{other}')"
+        once = f"CASE WHEN length({cut}) >= 4 AND right({cut}, 1) = substr({cut}, length({cut}) - 1, 1) THEN substr({cut}, 1, length({cut}) - 1) ELSE {cut} END"
+        out = f"CASE WHEN right({word}, {len(suffix)}) = '{suffix}' AND length({once}) >= 3 THEN {once} ELSE {out} END"
+    return f"CASE WHEN length({word}) <= 3 THEN {word} ELSE {out} END"
+
+
+def stem_words_sql(plain: str, term: str) -> str:
+    """Words of a text without accents that have the term's stem, once for each occurrence, but the term itself."""
+    return f"filter(regexp_extract_all({plain}, '[a-z0-9_]+', 0), w -> {stem_sql('w')} = {literal(stem(term))} AND w <> {literal(term.lower())})"
 
 
-def span_column(text: Column, pattern: Column, field: str, term: str, phrase: bool = False, stemmed: bool = False) -> Column:
+def spans_sql(text: str, pattern: str, field: str, term: str, phrase: bool = False, stemmed: bool = False) -> str:
     """All hits of pattern in text, as spans with offsets in code points. Offsets add up from the pieces between hits."""
-    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("out"))
-
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    places = F.aggregate(pairs, start, add, lambda s: s["out"])
-    return F.transform(places, lambda p: F.struct(
-        F.lit(field).alias("field"), F.lit(term).alias("term"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"),
-        F.lit(phrase).alias("is_exact_phrase"), F.lit(stemmed).alias("is_stemmed"),
-    ))
+    hits = f"regexp_extract_all({text}, {pattern}, 0)"
+    pairs = f"zip_with({hits}, slice(split({text}, {pattern}, -1), 1, size({hits})), (h, g) -> struct(h AS hit, g AS gap))"
+    start = "struct(0 AS at, cast(array() AS array<struct<start:int,end:int,text:string>>) AS out)"
+    begin = "s.at + length(p.gap)"
+    add = f"struct({begin} + length(p.hit) AS at, array_append(s.out, struct({begin} AS start, {begin} + length(p.hit) AS end, p.hit AS text)) AS out)"
+    places = f"aggregate({pairs}, {start}, (s, p) -> {add}, s -> s.out)"
+    return (
+        f"transform({places}, p -> struct({literal(field)} AS field, {literal(term)} AS term, p.start AS start, p.end AS end, p.text AS text,"
+        f" {str(phrase).lower()} AS is_exact_phrase, {str(stemmed).lower()} AS is_stemmed))"
+    )
 
 
 def highlight(text: Column, terms: list[str]) -> Column:

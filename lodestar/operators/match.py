@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.compile import Compiler
@@ -33,19 +35,54 @@ def structured_filter(items: DataFrame, options: Options) -> DataFrame:
 
 def source_cap(items: DataFrame, options: Options) -> DataFrame:
     """The first max(50, 3 * max_results) rows of each source."""
-    most = max(50, 3 * options.max_results)
-    # each task keeps its own first rows of every source before the shuffle, if the limit is below this setting
-    conf = items.sparkSession.conf
-    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) < most:
-        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("ord"))
-    return items.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+    return first_of_each(items, "source_id", "ord", max(50, 3 * options.max_results))
+
+
+def _place(order: str) -> Column:
+    """Rows without a place are the first."""
+    return F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 63)))
+
+
+#: Tasks among which a key's first rows meet before the last round.
+_MEETINGS = 64
+
+
+def first_of_each(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The first `most` rows of each key by order. Two narrow columns tell where each key ends: every task keeps a key's
+    first places in a heap of that size, heaps meet in salted groups of tasks and then by key, so no task sees all rows of
+    a key whatever `most` is. Rows behind the end are filtered where they are."""
+    narrow = rows.select(F.col(key).alias("k"), _place(order).alias("o"))
+    kind = narrow.schema["k"].dataType.simpleString()
+
+    def keep(batches):
+        held: dict = {}
+        for batch in batches:
+            codes = batch.column("k").dictionary_encode()
+            places = batch.column("o").to_numpy(zero_copy_only=False)
+            index = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
+            for n, name in enumerate([*codes.dictionary.to_pylist(), None]):
+                own = places[index == n]
+                if len(own):
+                    own = np.concatenate([held[name], own]) if name in held else own
+                    held[name] = np.partition(own, most - 1)[:most] if len(own) > most else own
+        for name, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), batch.schema.field("k").type), pa.array(own, pa.int64())], names=["k", "o"])
+
+    found = narrow.mapInArrow(keep, f"k {kind}, o bigint")
+    for by in (["k", F.pmod(F.spark_partition_id(), F.lit(_MEETINGS))], ["k"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("o"))
+        found = found.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+    ends = found.groupBy("k").agg(F.max("o").alias("__end"))
+    near = rows.join(ends, rows[key].eqNullSafe(ends["k"])).where(_place(order) <= F.col("__end")).drop("k", "__end")
+    # `most` rows a key are left, and what ties with the last one
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return near.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 
 
 def text_match(items: DataFrame, query: Query) -> DataFrame:
     """Rows that the query matches, with provenance. Spans are computed after the filter, in a projection of their own."""
     compiler = Compiler(query)
-    found = searchable(items).where(compiler.predicate()).withColumn("__spans", compiler.all_spans())
+    found = compiler.prepared(searchable(items)).where(compiler.predicate()).withColumn("__spans", compiler.all_spans())
     of = lambda name: F.array_distinct(F.transform("__spans", lambda s: s[name]))
     found = found.withColumns({"__fields": of("field"), "__terms": of("term")})
     title = F.arrays_overlap("__fields", F.array(F.lit("title"), F.lit("file_name")))
@@ -59,7 +96,7 @@ def text_match(items: DataFrame, query: Query) -> DataFrame:
         kind.alias("match_type"), F.col("__spans").alias("match_spans"), F.lit(None).cast("string").alias("query_variation_used"), F.lit(None).cast("double").alias("fetch_latency_ms"),
         F.lit(None).cast("string").alias("raw_source_record_id"), F.array("platform").alias("all_discovery_sources"),
     )
-    return found.withColumn("provenance", provenance.cast(COLUMNS["provenance"])).drop("__text", "__spans", "__fields", "__terms")
+    return found.withColumn("provenance", provenance.cast(COLUMNS["provenance"])).drop("__text", "__plain", "__spans", "__fields", "__terms")
 
 
 def direct_only(items: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Merge of duplicates by identity: one group-by, each column with an order-aware aggregate.
+"""Merge of duplicates by identity: two rounds of one ordered fold.
 
-The fold is associative once rows carry their order, so Spark aggregates partially before the shuffle. Groups of one row
-pass through as they are."""
+The fold is associative over rows in their order, and its results are rows of the same kind. A first round merges the rows
+of an identity whose places lie in one stretch of the order, a second one those results, so an identity of any number of
+rows is shared out over as many tasks as it has stretches, and a task holds the rows of one stretch at a time. Within a
+round Spark aggregates partially before the shuffle. Groups of one row pass through as they are."""
 
 from __future__ import annotations
 
@@ -29,25 +31,38 @@ def _truthy(name: str) -> Column:
     return F.col(name).isNotNull() if empty is None else F.coalesce(F.col(name), empty) != empty
 
 
+#: Bits of the order within a stretch.
+STRETCH_BITS = 14
+
+
 def _in_order(value: Column) -> Column:
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("ord"), value.alias("v")))), lambda s: s["v"])
     return F.filter(listed, lambda v: v.isNotNull())
 
 
-def merge(items: DataFrame, key: Column | None = None) -> DataFrame:
+def merge(items: DataFrame, key: Column | None = None, stretch: int = STRETCH_BITS) -> DataFrame:
     """One row for each identity, in the order (ord) of its first row; n_merged rows went into it."""
+    if "source_id" not in items.columns:
+        items = items.withColumn("source_id", F.lit(None).cast("string"))
+    rows = items.withColumns({"identity": identity_key() if key is None else key, "n_merged": F.lit(1).cast("bigint")})
+    once = _fold(rows, "identity", F.shiftright("ord", stretch).alias("__stretch")).drop("__stretch")
+    return _fold(once, "identity").select(*COLUMNS, "source_id", "ord", "n_merged", "identity")
+
+
+def _fold(items: DataFrame, *keys) -> DataFrame:
     pick = lambda name: F.min_by(name, "ord").alias(name)
-    aggregates = [F.count("*").alias("n_merged"), F.min("ord").alias("ord"), F.min_by("source_id", "ord").alias("source_id") if "source_id" in items.columns else F.lit(None).cast("string").alias("source_id")]
+    total = F.sum("n_merged")
+    aggregates = [total.alias("n_merged"), F.min("ord").alias("ord"), pick("source_id")]
     aggregates += [pick(c) for c in _FIRST]
     aggregates += [F.max_by(c, F.struct(F.length(c).alias("n"), (-F.col("ord")).alias("o"))).alias(c) for c in _LONGEST]
     # one row alone keeps "" and 0, which count as missing only when rows meet
-    aggregates += [F.coalesce(F.min_by(F.when(_truthy(c), F.col(c)), F.when(_truthy(c), F.col("ord"))), F.when(F.count("*") == 1, F.first(c))).alias(c) for c in _TRUTHY]
+    aggregates += [F.coalesce(F.min_by(F.when(_truthy(c), F.col(c)), F.when(_truthy(c), F.col("ord"))), F.when(total == 1, F.first(c))).alias(c) for c in _TRUTHY]
     typed = F.when(F.col("item_type") != "FILE", F.col("item_type"))
     aggregates += [F.coalesce(F.min_by(typed, F.when(typed.isNotNull(), F.col("ord"))), F.lit("FILE")).alias("item_type")]
-    aggregates += [F.when(F.count("*") == 1, F.first(c)).otherwise(F.max(F.nullif(F.col(c), F.lit(0).cast("bigint")))).alias(c) for c in _MOST]
+    aggregates += [F.when(total == 1, F.first(c)).otherwise(F.max(F.nullif(F.col(c), F.lit(0).cast("bigint")))).alias(c) for c in _MOST]
     aggregates += [F.array_distinct(F.flatten(_in_order(F.col(c)))).alias(c) for c in _LISTS]
     aggregates += [_in_order(F.map_entries("raw_metadata")).alias("__maps"), _in_order(F.col("provenance")).alias("__found")]
-    grouped = items.groupBy((identity_key() if key is None else key).alias("identity")).agg(*aggregates)
+    grouped = items.groupBy(*keys).agg(*aggregates)
 
     both = lambda name: F.array_distinct(F.flatten(F.transform("__found", lambda p: p[name])))
     first = F.get("__found", F.lit(0))
@@ -60,9 +75,8 @@ def merge(items: DataFrame, key: Column | None = None) -> DataFrame:
     entries = F.flatten("__maps")
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"]))
-    out = grouped.withColumns({
+    return grouped.withColumns({
         "raw_metadata": F.coalesce(last, F.create_map().cast("map<string,string>")),
         "provenance": F.when(F.size("__found") == 1, first).when(F.size("__found") > 1, joined.cast(COLUMNS["provenance"])),
         "relevance_score": F.lit(0.0), "rank": F.lit(None).cast("int"),
-    })
-    return out.select(*COLUMNS, "source_id", "ord", "n_merged", "identity")
+    }).drop("__maps", "__found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
@@ -44,17 +44,19 @@ class Compiler:
         domain = scope is None and bool(_DOMAIN.fullmatch(node.value))
         return text.word_pattern(node.value, phrase=domain), self._scope(scope), False
 
-    def _stem_words(self, content: Column, term: str) -> Column:
-        """Content words of the term's stem, once for each occurrence."""
-        return F.filter(text.token_column(content), lambda t: (text.stem_column(t) == text.stem(term)) & (t != term.lower()))
+    def prepared(self, items: DataFrame) -> DataFrame:
+        """items (with __text) with what the columns of this compiler read beside it: in stem mode all fields without
+        accents, made once."""
+        return items.withColumn("__plain", text.plain_struct(F.col("__text"), list(FIELDS))) if self.stems else items
 
-    def _cheap(self, pattern: str | None, node: Term | Phrase, content: Column) -> Column:
-        """A plain substring that every hit has, tried before the regular expression."""
-        words = [w for w in re.findall("[a-z0-9]+", node.value.lower()) if w.isascii()]
-        # letters that fold to ASCII from outside it would be missed
-        if not words or not node.value.isascii() or set("".join(words)) & set("ks"):
+    def _test(self, pattern: str, node: Term | Phrase, content: Column, phrase: bool, scope: str | None) -> Column:
+        """Does the pattern occur? Where the term is plain, in lowered text: a plain substring that every hit has is tried
+        before the regular expression, which then needs no folding of its own."""
+        low = text.low_pattern(node.value, phrase) if scope != "site" else None
+        if low is None:
             return content.rlike(pattern)
-        return F.lower(content).contains(max(words, key=len)) & content.rlike(pattern)
+        folded = text.low_column(content)
+        return folded.contains(max(re.findall("[a-z0-9]+", node.value.lower()), key=len)) & folded.rlike(low)
 
     def matches(self, node, scope: str | None = None) -> Column:
         match node:
@@ -65,9 +67,9 @@ class Compiler:
                 tests = []
                 for f in fields:
                     content = F.col(f"__text.{f}")
-                    hit = self._cheap(pattern, node, content)
+                    hit = self._test(pattern, node, content, phrase or scope is None and bool(_DOMAIN.fullmatch(node.value)), scope)
                     if self.stems and not phrase and not (scope == "site" and "." in node.value):
-                        hit = hit | self._stem_hit(content, node.value)
+                        hit = hit | self._stem_hit(f, node.value)
                     tests.append(hit)
                 return reduce(lambda a, b: a | b, tests)
             case Field(name, child):
@@ -80,30 +82,28 @@ class Compiler:
                 return self.matches(a, scope) | self.matches(b, scope)
         return F.lit(False)
 
-    def _stem_hit(self, content: Column, term: str) -> Column:
-        """A word of the same stem that stands in the content as written."""
-        return F.exists(self._stem_words(content, term), lambda t: F.regexp_like(content, self._whole_word(t)))
-
     @staticmethod
-    def _whole_word(word: Column) -> Column:
-        return F.concat(F.lit(text.FLAGS + text.BEFORE), word, F.lit(text.AFTER))
+    def _whole_word(word: str) -> str:
+        return f"concat({text.literal(text.FLAGS + text.BEFORE)}, {word}, {text.literal(text.AFTER)})"
+
+    def _stem_hit(self, name: str, term: str) -> Column:
+        """A word of the same stem that stands in the field as written."""
+        return F.expr(f"exists({text.stem_words_sql(f'__plain.{name}', term)}, w -> regexp_like(__text.{name}, {self._whole_word('w')}))")
 
-    def _stem_spans(self, content: Column, name: str, term: str) -> Column:
+    def _stem_spans(self, name: str, term: str) -> str:
         """Hits of each word of the stem, for each of its occurrences."""
-        return F.flatten(F.transform(self._stem_words(content, term), lambda t: text.span_column(content, self._whole_word(t), name, term, stemmed=True)))
+        return f"flatten(transform({text.stem_words_sql(f'__plain.{name}', term)}, w -> {text.spans_sql(f'__text.{name}', self._whole_word('w'), name, term, stemmed=True)}))"
 
     def _leaf_spans(self, node: Term | Phrase, scope: str | None) -> Column:
         pattern, fields, phrase = self._leaf(node, scope)
         if pattern is None or not fields:
             return _no_spans()
-        out = []
+        none, out = f"cast(array() AS array<{SPAN}>)", []
         for f in fields:
-            content = F.col(f"__text.{f}")
-            found = F.when(content.rlike(pattern), text.span_column(content, F.lit(pattern), f, node.value, phrase))
-            if self.stems and not phrase and not (scope == "site" and "." in node.value):
-                found = found.otherwise(self._stem_spans(content, f, node.value))
-            out.append(F.coalesce(found, _no_spans()))
-        return F.concat(*out).cast(f"array<{SPAN}>")
+            content, written = f"__text.{f}", text.literal(pattern)
+            other = self._stem_spans(f, node.value) if self.stems and not phrase and not (scope == "site" and "." in node.value) else none
+            out.append(f"CASE WHEN {content} RLIKE {written} THEN {text.spans_sql(content, written, f, node.value, phrase)} ELSE {other} END")
+        return F.expr(f"cast(concat({', '.join(out)}) AS array<{SPAN}>)")
 
     def spans(self, node, scope: str | None = None) -> Column:
         """Spans of the leaves that hold, left to right; none below NOT or a failed AND or OR."""

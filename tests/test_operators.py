@@ -135,6 +135,63 @@ def test_merge(spark):
     assert merge(make(spark, rows).limit(0)).count() == 0
 
 
+def folded(rows):
+    """The merge of one identity's rows, one after the other."""
+    out = None
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        r = {"tags": [], "raw_metadata": {}, "view_count": None, "download_url": None, "description": "", **r}
+        if out is None:
+            out = {**r, "n": 1, "tags": list(dict.fromkeys(r["tags"])), "raw_metadata": dict(r["raw_metadata"])}
+            continue
+        out["n"] += 1
+        out["title"] = r["title"] if len(r["title"]) > len(out["title"]) else out["title"]
+        out["download_url"] = out["download_url"] or r["download_url"]
+        out["view_count"] = max((v for v in (out["view_count"], r["view_count"]) if v), default=None)
+        out["tags"] = list(dict.fromkeys(out["tags"] + r["tags"]))
+        out["raw_metadata"] |= r["raw_metadata"]
+    return out
+
+
+@pytest.mark.parametrize("stretch", [0, 3, 40])
+def test_merge_in_rounds_is_the_fold(spark, stretch):
+    rng = random.Random(stretch)
+    rows = [dict(id=str(k), canonical_url="https://a.com/x", platform="P", platform_id=str(k % 3), title="t" * rng.randint(1, 9) + str(k), tags=[f"g{rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))], view_count=rng.choice([None, 0, k]),
+                 download_url=rng.choice([None, "", f"d{k}"]), raw_metadata={f"m{rng.randint(0, 4)}": str(k)}, ord=o) for k, o in enumerate(rng.sample(range(1000), 120))]
+    found = text_match(make(spark, [{**r, "description": "water"} for r in rows]), parse("water"))
+    spans = {r.ord: r.provenance.match_spans for r in found.collect()}
+    got = {r.platform_id: r for r in merge(found.repartition(7), stretch=stretch).collect()}
+    for own in "012":
+        mine = [r for r in rows if r["platform_id"] == own]
+        want, r = folded(mine), got[own]
+        assert (r.id, r.ord, r.n_merged, r.title, r.tags, r.raw_metadata, r.view_count, r.download_url) == (want["id"], want["ord"], want["n"], want["title"], want["tags"], want["raw_metadata"], want["view_count"], want["download_url"])
+        assert r.provenance.match_spans == [s for o in sorted(x["ord"] for x in mine) for s in spans[o]]
+
+
+def test_a_million_rows_of_one_identity(spark):
+    """They are shared out by stretches of the order: no task holds more rows of the identity than a stretch."""
+    rows = spark.range(1_000_000).repartition(8).select(F.col("id").alias("ord"), F.concat(F.lit("t"), F.col("id") % 1000).alias("t"))
+    df = items(rows, id=F.col("ord").cast("string"), canonical_url=F.lit(""), platform=F.lit(""), title=F.col("t"), tags=F.array(F.concat(F.lit("g"), F.col("ord") % 50)), view_count=F.col("ord"))
+    (r,) = merge(df).collect()
+    assert (r.n_merged, r.id, r.title, r.view_count, r.tags) == (1_000_000, "0", "t100", 999_999, [f"g{k}" for k in range(50)])
+
+
+def test_cap_of_large_sources(spark):
+    before = dict(spark.conf.getAll)
+    rows = spark.range(40_000).select(F.when(F.col("id") % 7 == 0, "small").when(F.col("id") % 4001 == 0, None).otherwise("large").alias("source_id"), ((F.col("id") * 7919) % 40_009).alias("ord"), F.col("id").alias("n"))
+    for most in (17, 500):
+        want = {}
+        for r in rows.collect():
+            want.setdefault(r.source_id, []).append(r.ord)
+        got = {}
+        for r in source_cap(rows.repartition(9), Options(max_results=most)).collect():
+            got.setdefault(r.source_id, []).append(r.ord)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[: max(50, 3 * most)] for k, v in want.items()}
+    assert dict(spark.conf.getAll) == before
+    ties = rows.withColumn("ord", F.col("n") % 3)
+    assert source_cap(ties.where("source_id = 'large'"), Options(max_results=10)).groupBy("ord").count().collect() == [(0, 50)]
+    assert source_cap(rows.limit(0), Options()).count() == 0
+
+
 def test_score_by_hand(spark):
     q = parse("deep")
     row = dict(id="1", canonical_url="u", platform="P", title="deep deep", description="deep water that is long enough", download_url="d", file_extension="zip", file_size_human="1 KB", uploader_name="A", tags=["t"], publication_date=datetime(2025, 12, 22))

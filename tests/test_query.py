@@ -58,3 +58,35 @@ def test_word_patterns():
     assert hit("cat", "a Cat.") and hit("cat", "my_cat_x") and not hit("cat", "category bobcat") and hit("caf", "café") and hit("c++", "in c++ now")
     assert hit("deep learning", "Deep_-learning") and not hit("deep learning", "learning deep") and hit("a.b", "x a.b y") and hit("!?", "what!?", True)
     assert text.word_pattern("  ") is None
+
+
+def test_accents_of_all_scripts(spark):
+    """Every assigned code point decomposes as the Unicode tables say."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from lodestar.functions import text
+
+    chars = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    chunks = ["|".join(f"a{c}b" for c in chars[k : k + 500]) for k in range(0, len(chars), 500)]
+    rows = spark.createDataFrame(list(enumerate(chunks)), "k int, t string")
+    got = rows.select("k", text.plain_struct(F.struct("t"), ["t"])["t"].alias("p")).collect()
+    for r in got:
+        want = "".join(c for c in unicodedata.normalize("NFKD", chunks[r.k]) if not unicodedata.combining(c)).lower()
+        assert r.p == want
+
+
+def test_lowered_patterns_are_those_that_fold(spark):
+    """A plain term is found in lowered text exactly where the folding pattern finds it."""
+    from pyspark.sql import functions as F
+
+    from lodestar.functions import text
+
+    odd = [chr(c) for c in range(1, 0x3000) if chr(c).lower() != chr(c) or chr(c).upper() != chr(c) or chr(c).isspace()]
+    texts = [t for c in odd for t in (f"{c}sk", f"sk{c}", f"s{c}k", f"{c}k i", f"ki{c}ss", f"{c}iss", f"a{c}k")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for term, phrase in (("sk", False), ("kiss", False), ("k", False), ("i", False), ("s k", True), ("sk i", True)):
+        low, full = text.low_pattern(term, phrase), text.word_pattern(term, phrase)
+        wrong = rows.where(text.low_column(F.col("t")).rlike(low) != F.col("t").rlike(full)).collect()
+        assert not wrong, (term, [hex(ord(c)) for r in wrong[:5] for c in r.t])
