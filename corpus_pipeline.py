@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, exact_dedup, sentencepiece, simhash, toxicity
-from lodestar.llm.common import materialise, table
+from lodestar.llm.common import materialise, remove, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. A stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        made = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            remove(spark, docs)
+        docs = made
     return docs
