@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import files, urls
 from lodestar.operators.merge import merge
-from lodestar.schema import items
+from lodestar.schema import items, placed
 from lodestar.sources.elements import Element, cards
 from lodestar.sources.extract import extract_pages, join_url
 from lodestar.sources.feeds import distinct_hits
@@ -75,7 +75,8 @@ def page_items(answers: DataFrame) -> DataFrame:
     found = answers.where("error is null")
     web = F.coalesce(F.lower("content_type"), F.lit("text/html")).rlike("html|xml|text/plain")
     pages = found.where(web & F.col("payload").isNotNull()).select(F.col("ord").alias("page_id"), F.coalesce("final", "url").alias("url"), F.col("payload").alias("html"))
-    return extract_pages(pages, merged=False).unionByName(direct_link_items(found.where(~web | F.col("payload").isNull())), allowMissingColumns=True)
+    direct = found.where(~web | F.col("payload").isNull()).withColumn("ord", placed(F.col("ord"), F.lit(0)))
+    return extract_pages(pages, merged=False).unionByName(direct_link_items(direct), allowMissingColumns=True)
 
 
 def crawled(hits: DataFrame, pages: DataFrame, most: int = OPEN_WEB) -> DataFrame:
