@@ -42,7 +42,7 @@ def score_column(query: Query, as_of: Column) -> Column:
     score += has(F.length("description") > 20, 1.0) + has(filled("uploader_name"), 0.5) + has(filled("thumbnail_url"), 0.5)
     score += has(F.col("publication_date").isNotNull(), 0.5) + has(F.size("tags") > 0, 0.5)
     days = F.greatest(F.lit(1.0), (F.unix_micros(as_of) - F.unix_micros("publication_date")) / 86_400e6)
-    score += F.coalesce(F.greatest(F.lit(0.0), 1.5 - F.log10(days) * 0.5), F.lit(0.0))
+    score += has(F.col("publication_date").isNotNull(), F.greatest(F.lit(0.0), 1.5 - F.log10(days) * 0.5))
     return F.when(found.isNull(), 0.0).otherwise(F.round(score, 2))
 
 

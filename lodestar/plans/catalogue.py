@@ -365,10 +365,11 @@ def q_distinct_hits(spark, sf_dir):
     return distinct_hits(hits).withColumn("k", F.substring_index("url", "/", -1).cast("bigint")).join(sizes, "k").select("hits", "url")
 
 
-@query("q_sources", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{id}', '{name}', '{kind}', {paged}, 5.0::DOUBLE, 10)" for k, (id, name, kind, paged) in enumerate(catalog.SOURCES)) + ") AS t(src_ord, id, name, payload, paged, rate_per_second, burst)")
+@query("q_sources", "WITH n AS (SELECT doc_id % " + str(len(catalog.SOURCES)) + " AS src_ord, count(*) AS n_rows FROM documents GROUP BY 1) SELECT t.*, coalesce(n_rows, 0) AS n_rows FROM (VALUES " + ", ".join(f"({k}, '{id}', '{name}', '{kind}', {paged}, 5.0::DOUBLE, 10)" for k, (id, name, kind, paged) in enumerate(catalog.SOURCES)) + ") AS t(src_ord, id, name, payload, paged, rate_per_second, burst) LEFT JOIN n USING (src_ord)")
 def q_sources(spark, sf_dir):
-    """The registered sources."""
-    return catalog.sources(spark).drop("enabled")
+    """The registered sources, with the rows that each gives if documents are dealt to them by their ids."""
+    dealt = _table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % len(catalog.SOURCES)).cast("int").alias("src_ord")).agg(F.count("*").alias("n_rows"))
+    return catalog.sources(spark).drop("enabled").join(dealt, "src_ord", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
 
 
 @query("q_union_sources", """SELECT source_id, count(*) AS n FROM (SELECT 'pages' AS source_id FROM pages UNION ALL SELECT source FROM documents) GROUP BY 1""")

@@ -315,3 +315,11 @@ ORACLE["q_stem"] = f"""
         regexp_split_to_array(lower(text), '[^a-z0-9]+') AS written FROM documents),
     n AS (SELECT doc_id, exact, CASE WHEN exact THEN len(list_filter(written, lambda x: x = 'thening')) ELSE coalesce(list_sum(list_transform(words, lambda w: len(list_filter(written, lambda x: x = w)))), 0) END AS n_spans FROM d)
     SELECT 'doc:' || doc_id AS id, CASE WHEN exact THEN 'METADATA_ONLY' ELSE 'STEMMED_OR_EXPANDED' END AS match_type, n_spans::INT AS n_spans FROM n WHERE n_spans > 0"""
+
+ORACLE["q_search_pages"] = """
+    WITH titled AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages),
+    words AS (SELECT *, regexp_split_to_array(lower(title), '[^a-z0-9]+') AS w FROM titled),
+    found AS (SELECT *, len(list_filter(w, lambda x: x = 'the')) AS hits FROM words WHERE list_contains(w, 'the') AND NOT list_contains(w, 'de')),
+    scored AS (SELECT *, round(5 + 10 + list_sum(list_transform(range(1, hits + 1), lambda k: 10.0 / sqrt(k))) + 1.5, 2) AS score FROM found),
+    best AS (SELECT *, row_number() OVER (ORDER BY score DESC, length(title), page_id) AS rank FROM scored)
+    SELECT 'page:' || page_id AS id, url AS canonical_url, title, score, rank::INT AS rank FROM best WHERE rank <= 30"""

@@ -199,6 +199,13 @@ def test_score_by_hand(spark):
     assert got == round(6 + 10 + 10 + 10 / 2**0.5 + 1.5 + 4 + 3 + 1 + 1.5 + 1 + 0.5 + 0.5 + 0.5 + 1.5 - 0.5, 2)
 
 
+def test_what_has_no_date_is_not_recent(spark):
+    q = parse("deep")
+    dated, undated = (dict(id="1", canonical_url="u", platform="P", title="deep", publication_date=d) for d in (datetime(2025, 12, 22), None))
+    score = lambda row: text_match(make(spark, [dict(row, language="en")]), q).select(score_column(q, F.expr("TIMESTAMP'2026-01-01'"))).first()[0]
+    assert score(undated) == 25.0 and score(dated) == 25.0 + 0.5 + 1.5 - 0.5
+
+
 def rows_of(source, n, title="needle in title", start=0):
     return [dict(id=f"{source}{k}", canonical_url=f"https://{source}.org/{k + start}", platform=source, title=title + "!" * k, source_id=source, ord=k) for k in range(n)]
 
