@@ -221,7 +221,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, group_bytes: int = G
     ranges = max(1, 1 << bits >> _BLOCK_BITS)
     dealt = rows.withColumn("grp", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(groups)))
     name = f"lodestar_dealt_{uuid.uuid4().hex}"
-    dealt.repartition(groups, "grp").write.bucketBy(groups, "grp").sortBy("grp").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    dealt.repartition(groups, "grp").write.bucketBy(groups, "grp").sortBy("grp").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     dealt = spark.table(name)
 
     message = "row int, block long, grp long, cells binary"
