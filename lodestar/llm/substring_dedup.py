@@ -38,7 +38,7 @@ from lodestar.llm.words import joined, numbered, split_words
 
 WINDOW = 20
 #: Bytes of text that are handled together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 #: Counters of a block of the sketch.
 _BLOCK_BITS = 22
 _ROWS = 2
@@ -80,14 +80,19 @@ class _Group:
         self.ids = rows["doc_id"].combine_chunks()
         self.offsets, self.words = split_words(rows["text"].combine_chunks())
         self.window, n = window, len(self.words)
-        lengths = np.diff(self.offsets)
-        left = np.repeat(self.offsets[1:], lengths) - np.arange(n)
+        del rows
+        left = np.repeat(self.offsets[1:], np.diff(self.offsets))
+        left -= np.arange(n)
         self.starts = np.flatnonzero(left >= window)
+        del left
         codes, vocabulary = numbered(self.words)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], np.uint64)[codes]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in vocabulary), np.uint64, len(vocabulary))[codes]
+        del codes, vocabulary
         whole = np.zeros(max(0, n - window + 1), np.uint64)
         for k in range(window):
-            whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(whole) + k]
+            whole *= np.uint64(0x9E3779B97F4A7C15)
+            whole += hashes[k : len(whole) + k]
+        del hashes
         self.hashes = whole[self.starts]
 
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
