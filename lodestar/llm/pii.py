@@ -196,7 +196,7 @@ def _ssn(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
     ten = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    american = ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & (m.rlike(r"[ ().+-]")) & (~m.startswith("+") | m.startswith("+1"))
+    american = ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & m.rlike("^(?:" + _AMERICAN + ")$") & m.rlike("[^0-9]")
 
     def make(s):
         new = F.concat((s["l"] + 200).cast("string"), (s["r"] + 2_000_000).cast("string"))
