@@ -212,8 +212,9 @@ def q_oembed(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
+    """A folder for recorded answers, as an address that readers beside Spark take as well."""
     folder = f"{shared_dir(spark)}/lodestar-recorded-{uuid.uuid4().hex}"
-    return folder if "://" in folder else f"file://{folder}"
+    return folder if "://" in folder else "file://" + folder.removeprefix("file:")
 
 
 def _live(spark: SparkSession, answers: DataFrame) -> Live:
