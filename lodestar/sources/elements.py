@@ -2,15 +2,18 @@
 
 One Python pass makes of each page its text and a table of elements, each with its tag, attributes, parent, last element
 inside it, and stretch of the text. Selectors are compiled to expressions over that table, so nested markup, which patterns
-over the source cannot follow, costs nothing more. A selector is a list, divided by commas, of compounds that stand inside
+over the source cannot follow, costs nothing more. Cards are cut out in that pass already: an expression over a page's whole
+table would look at it once for every card. A selector is a list, divided by commas, of compounds that stand inside
 each other (a space) or directly below each other (>); a compound is a tag or *, #id, .class and [name], [name=value] with
 =, ^=, $= or *=."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,8 +83,78 @@ def read(source: str | None) -> dict:
     except AssertionError:  # a declaration that does not end
         pass
     table.shut(0)
+    return {"text": "".join(table.text), "nodes": _named(table.nodes)}
+
+
+def _named(nodes: list) -> list[dict]:
     names = ("tag", "attrs", "parent", "last", "start", "stop")
-    return {"text": "".join(table.text), "nodes": [dict(zip(names, (n[0], list(n[1].items()), *n[2:]))) for n in table.nodes]}
+    return [dict(zip(names, (n[0], list(n[1].items()), *n[2:]))) for n in nodes]
+
+
+class _Cards(_Table):
+    """Only the elements that chains name and that lie in no other such one, each a table of its own. What is outside them
+    is forgotten when it closes, so a page of any number of cards is read once and holds one card at a time."""
+
+    def __init__(self, chains: list[list[Compound]]):
+        super().__init__()
+        self.chains, self.head, self.found = chains, None, []
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        at = len(self.nodes) - 1
+        if self.head is None and any(_stands(self.nodes, chain, at) for chain in self.chains):
+            self.head, self.nodes[at][4:] = at, [0, 0]
+        if tag in _VOID and self.head in (None, at):
+            self.forget()
+
+    def shut(self, k):
+        over = self.head is None or self.head in self.open[k:]
+        super().shut(k)
+        if over:
+            self.forget()
+
+    def forget(self):
+        """Outside a card only the open elements stay."""
+        if self.head is not None:
+            own = [(*n[:2], n[2] - self.head if place else -1, n[3] - self.head, *n[4:]) for place, n in enumerate(self.nodes[self.head :])]
+            self.found.append({"text": "".join(self.text), "nodes": _named(own)})
+        self.head, self.text, self.size = None, [], 0
+        del self.nodes[self.open[-1] + 1 if self.open else 0 :]
+
+    def handle_data(self, data):
+        if self.head is not None:
+            super().handle_data(data)
+
+
+def _stands(nodes: list[list], chain: list[Compound], at: int) -> bool:
+    """Does a chain name the element at a place? As find, over the elements as they are read."""
+    if not chain[-1].holds(nodes[at]):
+        return False
+    before, up = chain[:-1], nodes[at][2]
+    while before and up >= 0:
+        if _stands(nodes, before, up):
+            return True
+        up = -1 if chain[-1].child else nodes[up][2]
+    return not before
+
+
+#: Characters of a page that are read at a time.
+_PIECE = 1 << 20
+
+
+def read_cards(source: str | None, chains: list[list[Compound]]) -> Iterator[dict]:
+    """Tables of the cards of one page, in page order, as they end."""
+    table = _Cards(chains)
+    try:
+        for at in range(0, len(source or ""), _PIECE):
+            table.feed(source[at : at + _PIECE])
+            yield from table.found
+            table.found = []
+        table.close()
+    except AssertionError:  # a declaration that does not end
+        pass
+    table.shut(0)
+    yield from table.found
 
 
 def with_elements(pages: DataFrame, html: str, name: str = "page") -> DataFrame:
@@ -120,6 +193,14 @@ class Compound:
             }[sign](has), F.lit(False))
         return out
 
+    def holds(self, node: list) -> bool:
+        """The same of an element as it is read: its tag and attributes."""
+        attrs = node[1]
+        return self.tag in ("*", node[0]) and all(name in attrs and {
+            "": lambda h, v: True, "=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__,
+            "~=": lambda h, v: f" {v} " in " " + re.sub(r"\s+", " ", h, flags=re.ASCII) + " ",
+        }[sign](attrs[name], value) for name, sign, value in self.tests)
+
 
 _PART = re.compile(r"""\s*(?P<child>>)?\s*(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<tests>(?:[.#][\w-]+|\[[^\]]*\])*)""")
 _TEST = re.compile(r"""([.#])([\w-]+)|\[\s*([\w:-]+)\s*(?:([\^$*~]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]]*)))?\s*\]""")
@@ -195,14 +276,20 @@ class Element:
 def cards(payloads: DataFrame, selector: str, html: str = "payload") -> DataFrame:
     """A row for each element that a selector names and that lies in no other such one: the columns of payloads, `e` (the
     element's own table) and ord (place of the payload, then of the element)."""
-    at = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id()
-    rows = with_elements(payloads.withColumn("__at", at), html)
-    nodes = F.col("page.nodes")
-    found = rows.withColumn("__found", find(nodes, selector))
-    outer = F.filter("__found", lambda i: ~F.exists("__found", lambda j: (j < i) & (F.get(nodes, j)["last"] >= i)))
-    found = found.withColumn("__found", outer).select("*", F.posexplode("__found").alias("__pos", "__i"))
-    head, i = F.get(nodes, F.col("__i")), F.col("__i")
-    inner = F.transform(F.slice(nodes, i + 1, head["last"] - i + 1), lambda n: F.struct(
-        n["tag"].alias("tag"), n["attrs"].alias("attrs"), (n["parent"] - i).alias("parent"), (n["last"] - i).alias("last"), (n["start"] - head["start"]).alias("start"), (n["stop"] - head["start"]).alias("stop")))
-    e = F.struct(F.substring(F.col("page.text"), head["start"] + 1, head["stop"] - head["start"]).alias("text"), inner.alias("nodes"))
-    return found.withColumn("e", e).withColumn("ord", placed(F.col("__at"), F.col("__pos"))).drop("page", "__found", "__i", "__pos", "__at")
+    at, chains = F.col("ord") if "ord" in payloads.columns else F.monotonically_increasing_id(), parse_selector(selector)
+    rows = payloads.withColumn("__at", at)
+    rest = [c for c in rows.columns if c != html]
+    schema = StructType(rows.select(*rest).schema.fields + StructType.fromDDL(f"__pos bigint, e {ELEMENTS}").fields)
+    kind = to_arrow_type(schema["e"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                found = enumerate(read_cards(batch.column(html)[at].as_py(), chains))
+                while some := list(islice(found, 1024)):
+                    same = batch.select(rest).slice(at, 1).take(pa.array([0] * len(some)))
+                    places, made = zip(*some)
+                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(places, pa.int64()), pa.array(made, kind)], names=[*rest, "__pos", "e"])
+
+    found = rows.select(*rest, html).mapInArrow(run, schema)
+    return found.withColumn("ord", placed(F.col("__at"), F.col("__pos"))).drop("__pos", "__at")

@@ -1,6 +1,7 @@
 """Element tables and selectors."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,29 @@ def test_elements_of_a_table(spark, sf_dir):
     got = elements.with_elements(pages, "html").select("page_id", F.size(elements.find(nodes, "a[href]")).alias("n")).agg(F.sum("n")).first()[0]
     assert got == pages.select(F.expr("regexp_count(html, '<a [^>]*href=')").alias("n")).agg(F.sum("n")).first()[0]
     assert json.dumps(elements.read("<p>x")) == '{"text": "x", "nodes": [{"tag": "p", "attrs": [], "parent": -1, "last": 0, "start": 0, "stop": 1}]}'
+
+
+def test_a_page_of_very_many_cards(spark):
+    """The time of a page grows with its length: each card is cut out once, and holds only its own elements."""
+    many = "<ol>" + "".join(f'<li class="b_algo"><h2><a href="https://h.example/{k}">{k} <b>x</b></a></h2><p>s</p></li>' for k in range(20_000))
+    got = feeds.hits_of(spark.createDataFrame([(0, many)], "ord long, payload string"), "bing").selectExpr("count(distinct url)", "sum(if(title = concat(ord, ' x') and url = concat('https://h.example/', ord), 1, 0))").first()
+    assert tuple(got) == (20_000, 20_000)
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_cards_are_parts_of_the_whole_table(monkeypatch, piece):
+    """Cards of odd markup, read in pieces of any size, against cutting them out of all elements."""
+    monkeypatch.setattr(elements, "_PIECE", piece)
+    bits = "<div class=card>|<div class='x card'>|</div>|<p>|</p>|<li class=card>|<ul>|</ul>|text |a &amp; b|<br class=card>|<a href=x>|</a>|<script>no <b></script>|<td class=card>|<table>|</table>|<div class=card />|< |&am|p;|<![x|é".split("|")
+    rnd, some = random.Random(1), 0
+    for _ in range(800):
+        page, chains = "".join(rnd.choices(bits, k=rnd.randint(0, 40))), elements.parse_selector(rnd.choice(["div.card", "li.card, td.card", "div .card", "ul > li", "div > .card, p .card", "br.card"]))
+        whole = elements.read(page)
+        nodes = whole["nodes"]
+        rows = [[n["tag"], dict(n["attrs"]), n["parent"]] for n in nodes]
+        named = [k for k in range(len(nodes)) if any(elements._stands(rows, chain, k) for chain in chains)]
+        outer = [k for k in named if not any(j < k <= nodes[j]["last"] for j in named)]
+        want = [(whole["text"][nodes[k]["start"] : nodes[k]["stop"]], [(n["tag"], n["last"] - k, n["start"] - nodes[k]["start"], n["stop"] - nodes[k]["start"]) for n in nodes[k : nodes[k]["last"] + 1]]) for k in outer]
+        assert [(c["text"], [(n["tag"], n["last"], n["start"], n["stop"]) for n in c["nodes"]]) for c in elements.read_cards(page, chains)] == want, page
+        some += len(want)
+    assert some > 100
