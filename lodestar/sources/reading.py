@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.match import contains_any
 from lodestar.operators.merge import merge
-from lodestar.schema import items
+from lodestar.schema import PLACE_BITS, items
 from lodestar.sources import catalog, crawl, feeds, json_payloads, requests
 from lodestar.sources.scan import Transport, follow, register, scan
 from lodestar.storage import shared_dir
@@ -59,8 +59,10 @@ def items_of_answers(id: str, answers: DataFrame, parsers: list[str], terms: str
         hits = hits_of_answers(good, parsers)
         if hits is None:
             return _none(spark)
-        found = save(crawl.numbered(feeds.distinct_hits(hits)), "hits")
-        pages = save(fetch(found.where(F.col("ord") <= crawl.OPEN_WEB)), "pages")
+        found = save(feeds.distinct_hits(hits), "hits")
+        # only the first hits are numbered, as pages that come after every hit; all of them would go through one task
+        targets = crawl.numbered(crawl.crawl_targets(found)).withColumn("ord", F.col("ord") + (1 << PLACE_BITS))
+        pages = save(fetch(targets), "pages")
         return merge(crawl.hit_items(found).unionByName(crawl.page_items(pages), allowMissingColumns=True)).drop("n_merged", "identity")
     if id == "file_hosts":
         parts, hits = [], hits_of_answers(good, parsers)

@@ -184,6 +184,17 @@ def test_open_web_reads_the_pages_behind_the_hits(spark):
     assert (pdf.download_url, pdf.item_type, pdf.file_extension, "DIRECT_LINK" in pdf.metadata_sources) == ("https://files.example/f.pdf", "DOCUMENT", "pdf", True)
 
 
+def test_only_the_hits_that_are_read_are_numbered(spark, monkeypatch):
+    """Numbering takes one task, so it gets the first hits alone; the others stay as they are and in their order."""
+    links = "".join(f'<li class="b_algo"><h2><a href="https://h{k}.example/p">hit {k}</a></h2></li>' for k in range(45))
+    web, sizes, number = site({"site%3A": (404, ""), "index+of": (404, ""), "bing.com": (200, links), ".example/p": (200, "<title>The page behind</title>")}), [], crawl.numbered
+    monkeypatch.setattr(crawl, "numbered", lambda targets: sizes.append(targets.count()) or number(targets))
+    got = sorted(found(web, spark, "open_web", "x"), key=lambda r: r.ord)
+    assert sizes == [crawl.OPEN_WEB] and [r.canonical_url for r in got] == [f"https://h{k}.example/p" for k in range(45)]
+    assert [r.title for r in got] == ["The page behind"] * crawl.OPEN_WEB + [f"hit {k}" for k in range(30, 45)]
+    assert [r.metadata_sources for r in got] == [["INFERRED", "HTML_META"]] * crawl.OPEN_WEB + [["INFERRED"]] * 15
+
+
 @pytest.mark.parametrize("kind, sources", [("application/pdf", ["DIRECT_LINK"]), ("application/octet-stream", ["DIRECT_LINK"]), ("text/html", ["HTML_META"]), (None, ["HTML_META"])])
 def test_an_answer_is_what_its_type_says(spark, kind, sources):
     web = site({"x.example": (200, PAGE % ("T", "t"), kind)})
