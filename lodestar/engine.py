@@ -80,13 +80,13 @@ class Cache:
         return len(self.held)
 
 
-def search_frame(candidates: DataFrame, query: Query, as_of: Column | None = None, cap: bool = True) -> DataFrame:
+def search_frame(candidates: DataFrame, query: Query, as_of: Column | None = None, cap: bool = True, key: Column | None = None) -> DataFrame:
     """cap per source -> filter -> match -> merge -> score -> order -> cut, as one lazy plan: a shuffle for the cap, one
-    for the merge, and the top rows."""
+    for the merge, and the top rows. key: what is merged, if not rows of one identity."""
     as_of = F.current_timestamp() if as_of is None else as_of
     if cap:
         candidates = source_cap(candidates, query.options)
-    return top(merge(text_match(structured_filter(candidates, query.options), query)), query, as_of)
+    return top(merge(text_match(structured_filter(candidates, query.options), query), key), query, as_of)
 
 
 @dataclass
